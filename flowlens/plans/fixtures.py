@@ -159,18 +159,19 @@ def cic_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unsw_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """UNSW-style labelled rows with untrimmed, mixed-case header names."""
+    """UNSW-style labelled rows: marker columns as published, other headers
+    untrimmed and mixed case (normalised by the mapper)."""
     f = flows(spark, sf_dir)
     fid = F.col("flow_id")
     return f.select(
         fid.alias("flow_id"),
-        F.col("duration").cast("string").alias(" Dur "),
-        F.col("pkts_fwd").cast("string").alias("SPKTS"),
+        F.col("duration").cast("string").alias("dur"),
+        F.col("pkts_fwd").cast("string").alias("spkts"),
         F.col("pkts_rev").cast("string").alias("dpkts"),
         F.col("bytes_fwd").cast("string").alias("sbytes"),
-        F.col("bytes_rev").cast("string").alias("Dbytes"),
-        F.when(fid % 19 == 0, F.lit("gre")).otherwise(F.lower("proto")).alias("Proto"),
-        _label_text().alias("Label"),
+        F.col("bytes_rev").cast("string").alias("dbytes"),
+        F.when(fid % 19 == 0, F.lit("gre")).otherwise(F.lower("proto")).alias(" Proto "),
+        _label_text().alias("Label "),
     )
 
 

@@ -427,6 +427,8 @@ FROM t3)"""
 
 
 def with_layers(layers: list[str], select: str) -> str:
+    if not layers:
+        return select.strip()
     return "WITH " + ",\n".join(layers) + "\n" + select
 
 

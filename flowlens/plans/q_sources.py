@@ -1 +1,456 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: sources, sinks and flow normalisation (A, B, D01-D05, E18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import flows as fl
+from ..sources import bands as bands_src
+from ..sources.eve import iso_to_epoch, parse_eve_lines
+from ..sources.labelled import parse_csv_lines
+from ..sources.sinks import json_lines
+from ..sources.zeek import parse_zeek_lines, zeek_lines_from_rows
+from . import fixtures
+from .oracle_sql import FLOWS, scope_sql, v4num, with_layers
+from .registry import register
+
+# ---------------------------------------------------------------------------
+# SQL building blocks mirroring the derived views
+# ---------------------------------------------------------------------------
+EVE_SRC = FLOWS + """,
+eve AS (
+SELECT *,
+  strftime(make_timestamp(CAST(round(ts_unix * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f')
+    || CASE flow_id % 3 WHEN 0 THEN '+0000' WHEN 1 THEN 'Z' ELSE '+00:00' END AS ts_text,
+  strftime(make_timestamp(CAST(round((ts_unix + duration) * 1000000) AS BIGINT)), '%Y-%m-%dT%H:%M:%S.%f')
+    || CASE flow_id % 3 WHEN 0 THEN '+0000' WHEN 1 THEN 'Z' ELSE '+00:00' END AS end_text,
+  CASE WHEN flow_id % 4 = 0 THEN 0.0 ELSE duration END AS age
+FROM flows WHERE flow_id % 50 <> 0 AND flow_id % 10 <> 7)"""
+
+ZEEK_SRC = FLOWS + """,
+zeek_conn AS (
+SELECT ts_unix AS ts, 'C' || CAST(flow_id AS VARCHAR) AS uid, src_ip AS orig_h, src_port AS orig_p,
+  dest_ip AS resp_h, dest_port AS resp_p, lower(proto) AS proto,
+  CASE WHEN flow_id % 11 = 0 OR app_proto = '' THEN NULL ELSE app_proto END AS service,
+  duration, bytes_fwd AS orig_bytes, bytes_rev AS resp_bytes,
+  CASE flow_id % 7 WHEN 0 THEN 'S0' WHEN 1 THEN 'REJ' WHEN 2 THEN 'RSTO' WHEN 3 THEN 'SF' WHEN 4 THEN 'S1'
+                   WHEN 5 THEN 'OTH' ELSE 'RSTR' END AS conn_state,
+  true AS local_orig, false AS local_resp, CAST(0 AS BIGINT) AS missed_bytes,
+  CASE flow_id % 5 WHEN 0 THEN 'ShADadFf' WHEN 1 THEN 'Dd' WHEN 2 THEN 'S' WHEN 3 THEN 'ShR' ELSE NULL END AS history,
+  pkts_fwd AS orig_pkts, bytes_fwd + pkts_fwd * 20 AS orig_ip_bytes, pkts_rev AS resp_pkts,
+  bytes_rev + pkts_rev * 20 AS resp_ip_bytes, 0 AS tunnel_parents_n,
+  CASE proto WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 ELSE 1 END AS ip_proto,
+  'conn_' || CAST(flow_id % 3 AS VARCHAR) AS src_file
+FROM flows)"""
+
+LABEL_SQL = """CASE WHEN flow_id % 97 = 0 THEN NULL
+     WHEN label = 1 THEN CASE WHEN flow_id % 2 = 0 THEN 'DoS' ELSE '1' END
+     WHEN flow_id % 5 = 0 THEN ' normal ' WHEN flow_id % 5 = 1 THEN 'Legitimate'
+     WHEN flow_id % 5 = 2 THEN 'Non-Attack' WHEN flow_id % 5 = 3 THEN '0' ELSE 'BENIGN' END"""
+
+NORM_LABEL = """CAST(CASE WHEN lt IS NULL THEN 1
+     WHEN upper(trim(lt)) IN ('BENIGN', 'NORMAL', 'LEGITIMATE', 'NON-ATTACK', '0') THEN 0 ELSE 1 END AS TINYINT)"""
+
+
+def _compact_sql(dur_expr: str, proto_expr: str) -> str:
+    d = f"NULLIF({dur_expr}, 0)"
+    return f"""SELECT flow_id, pkts_fwd, pkts_rev, bytes_fwd, bytes_rev, {dur_expr} AS duration,
+  CASE WHEN {d} IS NULL OR isnan({d}) THEN 0.0 ELSE (pkts_fwd + pkts_rev) / {d} END AS pkt_rate,
+  CASE WHEN {d} IS NULL OR isnan({d}) THEN 0.0 ELSE (bytes_fwd + bytes_rev) / {d} END AS byte_rate,
+  CASE WHEN pkts_rev = 0 THEN CAST(pkts_fwd AS DOUBLE) ELSE pkts_fwd / pkts_rev END AS fwd_rev_ratio,
+  CAST({proto_expr} AS INTEGER) AS proto, {NORM_LABEL} AS label
+FROM (SELECT *, {LABEL_SQL} AS lt FROM flows) x"""
+
+
+def _eve_parsed(spark, sf):
+    return parse_eve_lines(fixtures.eve_lines(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# A01 / D01 / B01-B04
+# ---------------------------------------------------------------------------
+@register("a01_read_eve_flows", with_layers([EVE_SRC], """
+SELECT CASE WHEN flow_id % 13 = 0 THEN NULL ELSE flow_id END AS flow_id, ts_text AS timestamp,
+       CASE WHEN flow_id % 3 = 0 THEN CASE proto WHEN 'TCP' THEN '6' WHEN 'UDP' THEN '17' ELSE '1' END
+            ELSE proto END AS proto_raw, flow_id % 3 = 0 AS proto_is_number, app_proto FROM eve"""))
+def a01(spark, sf):
+    ev = _eve_parsed(spark, sf)
+    return ev.select(F.col("flow_id").try_cast("bigint").alias("flow_id"), "timestamp",
+                     F.col("proto").alias("proto_raw"), "proto_is_number", "app_proto")
+
+
+@register("d01_keep_flow_events", with_layers([EVE_SRC], """
+SELECT count(*) AS flow_events FROM eve"""))
+def d01(spark, sf):
+    return _eve_parsed(spark, sf).agg(F.count(F.lit(1)).alias("flow_events"))
+
+
+B01_SQL = with_layers([EVE_SRC], """
+SELECT ts_text AS timestamp, CASE WHEN flow_id % 13 = 0 THEN 0 ELSE flow_id END AS flow_id,
+  '1:' || CAST(flow_id AS VARCHAR) AS community_id, src_ip, src_port, dest_ip, dest_port, upper(proto) AS proto,
+  app_proto, ts_text AS flow_start, end_text AS flow_end, round(age, 6) AS flow_age, 'closed' AS flow_state,
+  'timeout' AS flow_reason, pkts_fwd AS pkts_toserver, pkts_rev AS pkts_toclient, bytes_fwd AS bytes_toserver,
+  bytes_rev AS bytes_toclient, pkts_fwd + pkts_rev AS pkts_total, bytes_fwd + bytes_rev AS bytes_total,
+  round(duration, 9) AS duration,
+  round((bytes_fwd + bytes_rev) / CASE WHEN duration > 0 THEN duration ELSE 1e-9 END, 6) AS bps,
+  round((pkts_fwd + pkts_rev) / CASE WHEN duration > 0 THEN duration ELSE 1e-9 END, 6) AS pps,
+  round(bytes_fwd / greatest(bytes_rev, 1), 6) AS bytes_ratio_ts_over_tc,
+  round(pkts_fwd / greatest(pkts_rev, 1), 6) AS pkts_ratio_ts_over_tc,
+  round(bytes_fwd / greatest(pkts_fwd, 1), 6) AS avg_bytes_per_pkt_ts,
+  round(bytes_rev / greatest(pkts_rev, 1), 6) AS avg_bytes_per_pkt_tc,
+  CAST(upper(proto) = 'TCP' AS INTEGER) AS is_tcp, CAST(upper(proto) = 'UDP' AS INTEGER) AS is_udp,
+  CAST(upper(proto) = 'ICMP' AS INTEGER) AS is_icmp
+FROM eve""")
+
+
+@register("b01_eve_flow_rows", B01_SQL)
+def b01(spark, sf):
+    return fl.eve_to_flow_rows(_eve_parsed(spark, sf))
+
+
+@register("b02_eve_proto_name", with_layers([EVE_SRC], """
+SELECT upper(proto) AS proto, count(*) AS n FROM eve GROUP BY upper(proto)"""))
+def b02(spark, sf):
+    ev = _eve_parsed(spark, sf)
+    return (ev.select(fl.proto_name(F.col("proto"), F.col("proto_is_number")).alias("proto"))
+            .groupBy("proto").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("b03_iso_time_parse", with_layers([EVE_SRC], """
+SELECT CASE WHEN flow_id % 13 = 0 THEN 0 ELSE flow_id END AS flow_id, ts_unix AS start_epoch,
+       ts_unix + duration AS end_epoch FROM eve"""))
+def b03(spark, sf):
+    ev = _eve_parsed(spark, sf)
+    return ev.select(F.coalesce(F.col("flow_id").try_cast("bigint"), F.lit(0)).alias("flow_id"),
+                     iso_to_epoch(F.col("flow.start")).alias("start_epoch"),
+                     iso_to_epoch(F.col("flow.end")).alias("end_epoch"))
+
+
+@register("b04_eve_duration", with_layers([EVE_SRC], """
+SELECT CASE WHEN flow_id % 13 = 0 THEN 0 ELSE flow_id END AS flow_id, duration FROM eve"""))
+def b04(spark, sf):
+    ev = _eve_parsed(spark, sf)
+    return ev.select(F.coalesce(F.col("flow_id").try_cast("bigint"), F.lit(0)).alias("flow_id"),
+                     fl.eve_duration(F.col("flow.start"), F.col("flow.end"),
+                                     F.coalesce(F.col("flow.age").try_cast("double"), F.lit(0.0)))
+                     .alias("duration"))
+
+
+# ---------------------------------------------------------------------------
+# A02 / B05-B09 Zeek
+# ---------------------------------------------------------------------------
+ZEEK_FIELDS = ["ts", "uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service",
+               "duration", "orig_bytes", "resp_bytes", "conn_state", "local_orig", "local_resp",
+               "missed_bytes", "history", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes",
+               "tunnel_parents", "ip_proto"]
+ZEEK_TYPES = ["time", "string", "addr", "port", "addr", "port", "enum", "string", "interval", "count",
+              "count", "string", "bool", "bool", "count", "string", "count", "count", "count", "count",
+              "set[string]", "count"]
+
+
+def zeek_log_lines(spark, sf, n_files: int = 3):
+    """TSV lines of the derived conn log, spread over ``n_files`` files, each with
+    its own header lines."""
+    conn = fixtures.zeek_conn(spark, sf).withColumn(
+        "tunnel_parents", F.array().cast("array<string>")).withColumn(
+        "_file", F.concat(F.lit("conn_"), (F.col("uid").substr(2, 20).cast("bigint") % n_files).cast("string")))
+    conn = conn.withColumn("service", F.when(F.col("service") == "-", F.lit(None)).otherwise(F.col("service")))
+    conn = conn.withColumn("history", F.when(F.col("history") == "-", F.lit(None)).otherwise(F.col("history")))
+    body = zeek_lines_from_rows(conn, "_file", ZEEK_FIELDS, ZEEK_TYPES)
+    heads = spark.range(n_files).select(F.concat(F.lit("conn_"), F.col("id").cast("string")).alias("file"))
+    h1 = heads.select("file", F.lit("#fields\t" + "\t".join(ZEEK_FIELDS)).alias("value"))
+    h2 = heads.select("file", F.lit("#types\t" + "\t".join(ZEEK_TYPES)).alias("value"))
+    h0 = heads.select("file", F.lit("#separator \\x09").alias("value"))
+    return h0.unionByName(h1).unionByName(h2).unionByName(body)
+
+
+def _zeek_parsed(spark, sf):
+    return parse_zeek_lines(zeek_log_lines(spark, sf))
+
+
+@register("a02_read_zeek_log", with_layers([ZEEK_SRC], """
+SELECT ts, uid, orig_h, orig_p, resp_h, resp_p, proto, service, duration, orig_bytes, resp_bytes, conn_state,
+       local_orig, local_resp, missed_bytes, history, orig_pkts, orig_ip_bytes, resp_pkts, resp_ip_bytes,
+       tunnel_parents_n, ip_proto, src_file FROM zeek_conn"""))
+def a02(spark, sf):
+    z = _zeek_parsed(spark, sf)
+    return z.select("ts", "uid", F.col("`id.orig_h`").alias("orig_h"), F.col("`id.orig_p`").alias("orig_p"),
+                    F.col("`id.resp_h`").alias("resp_h"), F.col("`id.resp_p`").alias("resp_p"), "proto",
+                    "service", "duration", "orig_bytes", "resp_bytes", "conn_state", "local_orig",
+                    "local_resp", "missed_bytes", "history", "orig_pkts", "orig_ip_bytes", "resp_pkts",
+                    "resp_ip_bytes", F.size("tunnel_parents").alias("tunnel_parents_n"),
+                    F.col("ip_proto").cast("int").alias("ip_proto"), F.col("_file").alias("src_file"))
+
+
+B05_SQL = with_layers([ZEEK_SRC], """
+SELECT ts AS start_ts, ts + CASE WHEN duration > 0 THEN duration ELSE 0 END AS end_ts, duration,
+  orig_h AS src_ip, orig_p AS src_port, resp_h AS dst_ip, resp_p AS dst_port,
+  CASE WHEN lower(proto) IN ('tcp', 'udp', 'icmp') THEN lower(proto) ELSE 'other' END AS proto,
+  coalesce(service, '-') AS app_proto,
+  CASE WHEN upper(conn_state) = 'S0' THEN 'attempted' WHEN upper(conn_state) = 'REJ' THEN 'rejected'
+       WHEN upper(conn_state) LIKE 'RST%' OR contains(coalesce(history, '-'), 'R') THEN 'reset'
+       WHEN contains(coalesce(history, '-'), 'D') THEN 'established'
+       WHEN upper(conn_state) = 'SF' THEN 'closed' ELSE 'other' END AS state,
+  orig_pkts AS pkts_toserver, resp_pkts AS pkts_toclient, orig_bytes AS bytes_toserver,
+  resp_bytes AS bytes_toclient, orig_pkts + resp_pkts AS pkts_total, orig_bytes + resp_bytes AS bytes_total,
+  orig_bytes / CASE WHEN orig_pkts > 0 THEN orig_pkts ELSE 1 END AS bpp_toserver,
+  resp_bytes / CASE WHEN resp_pkts > 0 THEN resp_pkts ELSE 1 END AS bpp_toclient,
+  orig_pkts / CASE WHEN duration > 0 THEN duration ELSE 1e-9 END AS pps_toserver,
+  resp_pkts / CASE WHEN duration > 0 THEN duration ELSE 1e-9 END AS pps_toclient,
+  orig_bytes / CASE WHEN resp_bytes > 0 THEN resp_bytes ELSE 1 END AS byte_ratio_ts_tc,
+  orig_pkts / CASE WHEN resp_pkts > 0 THEN resp_pkts ELSE 1 END AS pkt_ratio_ts_tc,
+  orig_bytes / CASE WHEN duration > 0 THEN duration ELSE 1e-9 END AS src2dst_rate,
+  resp_bytes / CASE WHEN duration > 0 THEN duration ELSE 1e-9 END AS dst2src_rate,
+  CAST(lower(proto) = 'tcp' AS INTEGER) AS is_tcp, CAST(lower(proto) = 'udp' AS INTEGER) AS is_udp,
+  CAST(lower(proto) = 'icmp' AS INTEGER) AS is_icmp,
+  CAST(contains(orig_h, ':') OR contains(resp_h, ':') AS INTEGER) AS is_ipv6,
+  uid AS zeek_uid, coalesce(history, '-') AS zeek_history
+FROM zeek_conn""")
+
+
+@register("b05_zeek_flow_rows", B05_SQL)
+def b05(spark, sf):
+    return fl.zeek_to_flow_rows(_zeek_parsed(spark, sf))
+
+
+@register("b06_zeek_null_tokens", with_layers([ZEEK_SRC], """
+SELECT uid, coalesce(service, '-') AS service_text, CAST(orig_p AS DOUBLE) AS orig_p_float,
+       CAST(resp_p AS BIGINT) AS resp_p_int, 0.0 AS history_as_float FROM zeek_conn"""))
+def b06(spark, sf):
+    z = fixtures.zeek_conn(spark, sf)
+    return z.select("uid", F.col("service").alias("service_text"),
+                    fl.nz_float(F.col("`id.orig_p`")).alias("orig_p_float"),
+                    fl.nz_int(F.col("`id.resp_p`")).alias("resp_p_int"),
+                    fl.nz_float(F.col("history")).alias("history_as_float"))
+
+
+@register("b07_proto_normalise", with_layers([ZEEK_SRC], """
+SELECT CASE WHEN lower(proto) IN ('tcp', 'udp', 'icmp') THEN lower(proto) ELSE 'other' END AS proto_norm,
+       count(*) AS n FROM zeek_conn GROUP BY 1"""))
+def b07(spark, sf):
+    z = fixtures.zeek_conn(spark, sf)
+    return z.groupBy(fl.norm_proto(F.col("proto")).alias("proto_norm")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("b08_conn_state_class", with_layers([ZEEK_SRC], """
+SELECT conn_state, coalesce(history, '-') AS history,
+  CASE WHEN upper(conn_state) = 'S0' THEN 'attempted' WHEN upper(conn_state) = 'REJ' THEN 'rejected'
+       WHEN upper(conn_state) LIKE 'RST%' OR contains(coalesce(history, '-'), 'R') THEN 'reset'
+       WHEN contains(coalesce(history, '-'), 'D') THEN 'established'
+       WHEN upper(conn_state) = 'SF' THEN 'closed' ELSE 'other' END AS state, count(*) AS n
+FROM zeek_conn GROUP BY 1, 2, 3"""))
+def b08(spark, sf):
+    z = fixtures.zeek_conn(spark, sf)
+    return (z.select("conn_state", "history",
+                     fl.conn_state_class(F.col("conn_state"), F.col("history")).alias("state"))
+            .groupBy("conn_state", "history", "state").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("b09_is_ipv6", with_layers([ZEEK_SRC], """
+SELECT CAST(contains(orig_h, ':') OR contains(resp_h, ':') AS INTEGER) AS is_ipv6, count(*) AS n
+FROM zeek_conn GROUP BY 1"""))
+def b09(spark, sf):
+    z = fixtures.zeek_conn(spark, sf)
+    return (z.select(fl.is_ipv6_pair(F.col("`id.orig_h`"), F.col("`id.resp_h`")).alias("is_ipv6"))
+            .groupBy("is_ipv6").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------------------
+# A03 / B10-B13 labelled datasets
+# ---------------------------------------------------------------------------
+CIC_COLS = ["flow_id", "Flow Duration", "Total Fwd Packets", "Total Backward Packets",
+            "Total Length of Fwd Packets", "Total Length of Bwd Packets", "Protocol", "Label"]
+CIC_DUR = "CASE WHEN flow_id % 31 = 0 THEN 'NaN'::DOUBLE ELSE CAST(CAST(duration * 1e6 AS BIGINT) AS DOUBLE) / 1e6 END"
+CIC_PROTO = "CASE WHEN flow_id % 17 = 0 THEN -1 WHEN proto = 'TCP' THEN 6 WHEN proto = 'UDP' THEN 17 ELSE 1 END"
+CIC_SQL = with_layers([FLOWS], _compact_sql(CIC_DUR, CIC_PROTO))
+
+
+@register("a03_read_labelled_csv", CIC_SQL)
+def a03(spark, sf):
+    raw = fixtures.cic_raw(spark, sf)
+    lines = raw.select(F.concat_ws(";", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+                                          for c in CIC_COLS]).alias("value"))
+    ddl = ", ".join(f"`{c}` STRING" for c in CIC_COLS)
+    parsed = parse_csv_lines(lines, ddl, sep=";")
+    parsed = parsed.withColumn("Label", F.when(F.col("Label") == "", F.lit(None)).otherwise(F.col("Label")))
+    return fl.map_cicids2017(parsed, keep=[F.col("flow_id").cast("bigint").alias("flow_id")])
+
+
+@register("b10_map_cicids2017", CIC_SQL)
+def b10(spark, sf):
+    return fl.map_cicids2017(fixtures.cic_raw(spark, sf), keep=["flow_id"])
+
+
+UNSW_PROTO = ("CASE WHEN flow_id % 19 = 0 THEN 0 WHEN proto = 'TCP' THEN 6 WHEN proto = 'UDP' THEN 17 "
+              "WHEN proto = 'ICMP' THEN 1 ELSE 0 END")
+
+
+@register("b11_map_unsw_nb15", with_layers([FLOWS], _compact_sql("duration", UNSW_PROTO)))
+def b11(spark, sf):
+    return fl.map_unsw_nb15(fixtures.unsw_raw(spark, sf), keep=["flow_id"])
+
+
+@register("b12_detect_dataset_type", with_layers([FLOWS], """
+SELECT 'CICIDS2017' AS dataset_type, count(*) AS n FROM flows
+UNION ALL SELECT 'UNSW_NB15' AS dataset_type, count(*) AS n FROM flows"""))
+def b12(spark, sf):
+    cic, unsw = fixtures.cic_raw(spark, sf), fixtures.unsw_raw(spark, sf)
+    a = cic.agg(F.count(F.lit(1)).alias("n")).select(F.lit(fl.detect_dataset_type(cic.columns)).alias("dataset_type"), "n")
+    b = unsw.agg(F.count(F.lit(1)).alias("n")).select(F.lit(fl.detect_dataset_type(unsw.columns)).alias("dataset_type"), "n")
+    return a.unionByName(b)
+
+
+@register("b13_normalize_label", with_layers([FLOWS], f"""
+SELECT lt AS label_text, {NORM_LABEL} AS label, count(*) AS n
+FROM (SELECT *, {LABEL_SQL} AS lt FROM flows) x GROUP BY 1, 2"""))
+def b13(spark, sf):
+    raw = fixtures.cic_raw(spark, sf)
+    return (raw.select(F.col("Label").alias("label_text"), fl.normalize_label(F.col("Label")).alias("label"))
+            .groupBy("label_text", "label").agg(F.count(F.lit(1)).alias("n")))
+
+
+# ---------------------------------------------------------------------------
+# B14-B17, D02 live features
+# ---------------------------------------------------------------------------
+def _priv(addr):
+    s = scope_sql(f"({v4num(addr)})", addr)
+    return s["private"]
+
+
+LIVE_SQL = with_layers([EVE_SRC], f"""
+SELECT CASE WHEN flow_id % 13 = 0 THEN src_ip || ':' || CAST(src_port AS VARCHAR) || '->' || dest_ip || ':'
+            || CAST(dest_port AS VARCHAR) ELSE CAST(flow_id AS VARCHAR) END AS flow_id,
+  ts_unix, src_ip, src_port, dest_ip, dest_port,
+  CASE WHEN flow_id % 3 = 0 THEN CASE proto WHEN 'TCP' THEN '6' WHEN 'UDP' THEN '17' ELSE '1' END ELSE proto END AS proto,
+  app_proto,
+  CASE WHEN {_priv('src_ip')} AND NOT {_priv('dest_ip')} THEN 'outbound'
+       WHEN NOT {_priv('src_ip')} AND {_priv('dest_ip')} THEN 'inbound'
+       WHEN {_priv('src_ip')} AND {_priv('dest_ip')} THEN 'lateral' ELSE 'unknown' END AS direction,
+  CAST(pkts_fwd AS DOUBLE) AS pkts_fwd, CAST(pkts_rev AS DOUBLE) AS pkts_rev,
+  CAST(bytes_fwd AS DOUBLE) AS bytes_fwd, CAST(bytes_rev AS DOUBLE) AS bytes_rev,
+  greatest(CASE WHEN age > 0 THEN age ELSE duration END, 0.01) AS duration,
+  (pkts_fwd + pkts_rev) / greatest(CASE WHEN age > 0 THEN age ELSE duration END, 0.01) AS pkt_rate,
+  (bytes_fwd + bytes_rev) / greatest(CASE WHEN age > 0 THEN age ELSE duration END, 0.01) AS byte_rate,
+  (bytes_fwd + 1.0) / (bytes_rev + 1.0) AS fwd_rev_ratio,
+  CASE proto WHEN 'ICMP' THEN 1.0 WHEN 'TCP' THEN 6.0 WHEN 'UDP' THEN 17.0 ELSE 0.0 END AS proto_feature
+FROM eve WHERE NOT (dest_port = 5353 OR src_port = 5353 OR dest_ip IN ('224.0.0.251', 'ff02::fb'))""")
+
+
+def _live(spark, sf):
+    return fl.live_flow_features(_eve_parsed(spark, sf))
+
+
+@register("b14_live_flow_features", LIVE_SQL)
+def b14(spark, sf):
+    return _live(spark, sf)
+
+
+@register("b15_proto_number", with_layers([EVE_SRC], """
+SELECT CASE proto WHEN 'ICMP' THEN 1 WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 ELSE 0 END AS proto_number, count(*) AS n
+FROM eve GROUP BY 1"""))
+def b15(spark, sf):
+    ev = _eve_parsed(spark, sf)
+    return (ev.select(fl.proto_number(F.col("proto"), F.col("proto_is_number")).alias("proto_number"))
+            .groupBy("proto_number").agg(F.count(F.lit(1)).alias("n")))
+
+
+@register("b16_flow_id_fallback", with_layers([EVE_SRC], """
+SELECT count(*) FILTER (WHERE flow_id % 13 = 0) AS fallback_ids, count(*) AS n FROM eve"""))
+def b16(spark, sf):
+    ev = _eve_parsed(spark, sf)
+    fid = fl.flow_id_fallback(F.col("flow_id"), F.col("src_ip"), F.col("src_port"), F.col("dest_ip"),
+                              F.col("dest_port"))
+    return ev.agg(F.count(F.when(fid.contains("->"), 1)).alias("fallback_ids"), F.count(F.lit(1)).alias("n"))
+
+
+@register("b17_private_direction", with_layers([], f"SELECT direction, count(*) AS n FROM ({LIVE_SQL}) x GROUP BY 1"))
+def b17(spark, sf):
+    return _live(spark, sf).groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("d02_drop_mdns", with_layers([EVE_SRC], """
+SELECT count(*) FILTER (WHERE dest_port = 5353 OR src_port = 5353 OR dest_ip IN ('224.0.0.251', 'ff02::fb'))
+       AS dropped, count(*) AS n FROM eve"""))
+def d02(spark, sf):
+    ev = _eve_parsed(spark, sf)
+    kept = fl.live_flow_features(ev).agg(F.count(F.lit(1)).alias("kept"))
+    total = ev.agg(F.count(F.lit(1)).alias("n"))
+    return total.crossJoin(kept).select((F.col("n") - F.col("kept")).alias("dropped"), "n")
+
+
+# ---------------------------------------------------------------------------
+# D03-D05, A08, E18, sinks
+# ---------------------------------------------------------------------------
+@register("d03_normal_rows", with_layers([FLOWS], """
+SELECT count(*) AS train_rows FROM flows WHERE label = 0"""))
+def d03(spark, sf):
+    comp = fl.compact_from_flows(fixtures.flows(spark, sf)).drop("flow_id")
+    return fl.normal_rows(comp).agg(F.count(F.lit(1)).alias("train_rows"))
+
+
+@register("d04_numeric_columns")
+def d04(spark, sf):
+    comp = fl.compact_from_flows(fixtures.flows(spark, sf))
+    cols = fl.numeric_columns(comp, drop=("label", "flow_id"))
+    return comp.select(*cols)
+
+
+FEATURES_SQL = with_layers([FLOWS], """
+SELECT flow_id, CASE WHEN flow_id % 9 = 0 THEN 'missing_features=2 ex=[''byte_rate'', ''proto'']' END AS error
+FROM flows WHERE flow_id % 9 = 0""")
+
+
+@register("d05_feature_contract", FEATURES_SQL)
+def d05(spark, sf):
+    comp = fl.compact_from_flows(fixtures.flows(spark, sf))
+    names = fixed.COMPACT_FEATURES
+    full = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])
+    partial = F.map_filter(full, lambda k, v: ~k.isin("byte_rate", "proto"))
+    feats = comp.select("flow_id", F.when(F.col("flow_id") % 9 == 0, partial).otherwise(full).alias("features"))
+    _, rejected = fl.check_feature_contract(feats)
+    return rejected.select("flow_id", "error")
+
+
+BAND_SHAPES = {"bands": {"bands": {"ok": 1.5, "warn": 3.0, "crit": 8.0}},
+               "threshold": {"threshold": 2.0}, "number": 0.5, "invalid": "x"}
+
+
+@register("a08_load_bands", with_layers([FLOWS], """
+SELECT shape, severity, count(*) AS n FROM (
+  SELECT 'bands' AS shape, CASE WHEN ae_score < 1.5 THEN 'OK' WHEN ae_score < 3.0 THEN 'WARN' WHEN ae_score < 8.0 THEN 'MED' ELSE 'CRIT' END AS severity FROM flows
+  UNION ALL SELECT 'threshold', CASE WHEN ae_score < 2.0 THEN 'OK' WHEN ae_score < 3.0 THEN 'WARN' WHEN ae_score < 4.0 THEN 'MED' ELSE 'CRIT' END FROM flows
+  UNION ALL SELECT 'number', CASE WHEN ae_score < 0.5 THEN 'OK' WHEN ae_score < 0.75 THEN 'WARN' WHEN ae_score < 1.0 THEN 'MED' ELSE 'CRIT' END FROM flows
+  UNION ALL SELECT 'invalid', 'UNKNOWN' FROM flows) x GROUP BY 1, 2"""))
+def a08(spark, sf):
+    from ..functions.context import severity_from
+    f = fixtures.flows(spark, sf)
+    out = None
+    for shape, obj in BAND_SHAPES.items():
+        b = bands_src.bands_from_object(obj)
+        part = f.select(F.lit(shape).alias("shape"), severity_from("ae_score", b).alias("severity"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("shape", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("e18_run_summary", with_layers([FLOWS], """
+SELECT count(*) AS rows_read, count(*) FILTER (WHERE flow_id % 50 <> 0 AND flow_id % 10 <> 7) AS rows_written
+FROM flows"""))
+def e18(spark, sf):
+    lines = fixtures.eve_lines(spark, sf)
+    parsed = parse_eve_lines(lines, keep_all=True)
+    return parsed.agg(F.count(F.lit(1)).alias("rows_read"),
+                      F.count(F.when(F.col("event_type") == "flow", 1)).alias("rows_written"))
+
+
+@register("a06_csv_sink_rows")
+def a06(spark, sf):
+    """The frame the CSV sink writes: fixed 30-column order of the EVE rows."""
+    return fl.eve_to_flow_rows(_eve_parsed(spark, sf)).select(*fl.EVE_ROW_COLUMNS)
+
+
+@register("a07_prediction_log_lines")
+def a07(spark, sf):
+    """One JSON object per event (the append-only log record)."""
+    f = fixtures.prediction_log(spark, sf)
+    return json_lines(f.select("flow_id", "ts_unix", "ae_score", "status", "infer_ms", "total_ms"))
