@@ -374,9 +374,9 @@ SELECT count(*) FILTER (WHERE dest_port = 5353 OR src_port = 5353 OR dest_ip IN
        AS dropped, count(*) AS n FROM eve"""))
 def d02(spark, sf):
     ev = _eve_parsed(spark, sf)
-    kept = fl.live_flow_features(ev).agg(F.count(F.lit(1)).alias("kept"))
-    total = ev.agg(F.count(F.lit(1)).alias("n"))
-    return total.crossJoin(kept).select((F.col("n") - F.col("kept")).alias("dropped"), "n")
+    mdns = fl.is_mdns(F.coalesce(F.col("src_port").try_cast("int"), F.lit(0)),
+                      F.coalesce(F.col("dest_port").try_cast("int"), F.lit(0)), F.col("dest_ip"))
+    return ev.agg(F.count(F.when(mdns, 1)).alias("dropped"), F.count(F.lit(1)).alias("n"))
 
 
 # ---------------------------------------------------------------------------
