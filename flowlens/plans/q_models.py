@@ -1 +1,173 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: autoencoder and isolation forest."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..functions import fixed
+from ..operators import autoencoder as ae
+from ..operators import evaluation as ev
+from ..operators import flows as fl
+from ..operators import iforest as iso
+from ..sources.sinks import json_lines
+from . import fixtures
+from .oracle_sql import with_layers
+from .q_stats import STATS_SQL
+from .registry import register
+
+FEATS = fixed.COMPACT_FEATURES
+
+
+def _compact(spark, sf):
+    return fl.compact_from_flows(fixtures.flows(spark, sf))
+
+
+def _demo(spark, sf):
+    comp = _compact(spark, sf)
+    scaler = ev.scaler_params(ev.fit_scaler(comp.filter(F.col("label") == 0), FEATS))
+    return comp, ae.demo_model(FEATS, scaler)
+
+
+def _demo_forward_sql(select_tail: str, where: str = "") -> str:
+    m = ae.demo_model(FEATS, [(f, 0.0, 1.0) for f in FEATS])
+    w1, b1, w2, b2 = m.ws[0], m.bs[0], m.ws[1], m.bs[1]
+    xs = ", ".join(f"({f} - m_{f}) / s_{f} AS x{i}" for i, f in enumerate(FEATS))
+    hid = ", ".join("greatest(0.0, " + " + ".join(f"x{i} * ({float(w1[i][j])!r})" for i in range(len(FEATS)))
+                    + f" + ({float(b1[j])!r})) AS h{j}" for j in range(w1.shape[1]))
+    out = ", ".join(" + ".join(f"h{j} * ({float(w2[j][k])!r})" for j in range(w1.shape[1])) + f" + ({float(b2[k])!r}) AS o{k}"
+                    for k in range(len(FEATS)))
+    errs = ", ".join(f"(x{k} - o{k}) * (x{k} - o{k}) AS e{k}" for k in range(len(FEATS)))
+    mse = "(" + " + ".join(f"e{k}" for k in range(len(FEATS))) + f") / {len(FEATS)}.0 AS mse"
+    return with_layers([STATS_SQL], f"""
+, xs AS (SELECT flow_id, label, {', '.join(FEATS)}, {xs} FROM compact, stats {where}),
+hs AS (SELECT *, {hid} FROM xs),
+os AS (SELECT *, {out} FROM hs),
+es AS (SELECT *, {errs} FROM os),
+ms AS (SELECT *, {mse} FROM es)
+{select_tail}""")
+
+
+@register("m03_score_autoencoder", _demo_forward_sql("SELECT flow_id, mse AS ae_mse FROM ms"))
+def m03(spark, sf):
+    comp, model = _demo(spark, sf)
+    return ae.score_autoencoder(comp, model, "ae_mse").select("flow_id", "ae_mse")
+
+
+@register("m04_reconstruction_detail", _demo_forward_sql(
+    "SELECT flow_id, mse, " + ", ".join(f"e{k} AS err_{f}" for k, f in enumerate(FEATS)) + " FROM ms"))
+def m04(spark, sf):
+    comp, model = _demo(spark, sf)
+    d = ae.score_autoencoder_detail(comp, model, "ae")
+    return d.select("flow_id", F.col("ae.mse").alias("mse"),
+                    *[F.col("ae.err")[k].alias(f"err_{f}") for k, f in enumerate(FEATS)])
+
+
+_ITEMS = "[" + ", ".join(f"{{'e': e{k}, 'i': {k}, 'n': '{f}'}}" for k, f in enumerate(FEATS)) + "]"
+
+
+@register("f05_top_feature_errors", _demo_forward_sql(
+    f"""SELECT flow_id, array_to_string(list_transform(list_slice(list_reverse(list_sort({_ITEMS})), 1, 5),
+                                                   lambda s: s.n), ',') AS top_features,
+           list_reverse(list_sort({_ITEMS}))[1].e AS top_err FROM ms"""))
+def f05(spark, sf):
+    comp, model = _demo(spark, sf)
+    d = ae.score_autoencoder_detail(comp, model, "ae")
+    top = ae.top_feature_errors(F.col("ae"), FEATS, [F.col(f) for f in FEATS], 5)
+    d = d.withColumn("top", top)
+    return d.select("flow_id", F.array_join(F.transform("top", lambda s: s["name"]), ",").alias("top_features"),
+                    F.col("top")[0]["err"].alias("top_err"))
+
+
+@register("m08_preview_scoring", _demo_forward_sql(
+    "SELECT flow_id, label, mse AS ae_mse FROM ms ORDER BY flow_id LIMIT 5"))
+def m08(spark, sf):
+    comp, model = _demo(spark, sf)
+    return ae.score_autoencoder(iso.preview(comp, "flow_id", 5), model, "ae_mse").select("flow_id", "label", "ae_mse")
+
+
+@register("m07_fixed_threshold_flag", with_layers([STATS_SQL], """
+SELECT flow_id, CAST(-(0.5 - byte_rate / 1e5) >= -0.200629 AS INTEGER) AS flag FROM compact"""))
+def m07(spark, sf):
+    comp = _compact(spark, sf)
+    score = F.lit(0.5) - F.col("byte_rate") / F.lit(1e5)
+    return comp.select("flow_id", iso.flag_by_threshold(score).alias("flag"))
+
+
+def _trained(spark, sf, epochs=50):
+    comp = _compact(spark, sf)
+    normal = fl.normal_rows(comp, "label") if False else comp.filter(F.col("label") == 0)
+    return ae.train_autoencoder(normal, FEATS, "flow_id", size="small", epochs=epochs)
+
+
+@register("m01_train_autoencoder")
+def m01(spark, sf):
+    """Layer table (A09) of the autoencoder trained on normal compact rows."""
+    model, _ = _trained(spark, sf)
+    return model.to_frames(spark)["layers"].select("layer", "in_dim", "out_dim", "activation",
+                                                   F.size("weights").alias("n_weights"))
+
+
+@register("m02_training_history")
+def m02(spark, sf):
+    _, hist = _trained(spark, sf)
+    return hist
+
+
+@register("a09_model_tables")
+def a09(spark, sf):
+    _, model = _demo(spark, sf)
+    return model.to_frames(spark)["scaler"]
+
+
+@register("a10_metrics_export")
+def a10(spark, sf):
+    """One-row evaluation record as a JSON line (threshold, matrix, P/R/F1, AUC, AP)."""
+    scored = fixtures.flows(spark, sf).select("flow_id", "ae_score", "label")
+    tau = ev.percentile_threshold(scored, "ae_score", 99.5)
+    cm = ev.binary_metrics(ev.confusion_counts(scored, "label", F.col("ae_score") >= F.lit(tau)))
+    rank = ev.roc_auc_ap(ev.score_curve(scored, "ae_score", "label")).collect()[0]
+    rec = cm.withColumns({"threshold": F.lit(tau), "threshold_percentile": F.lit(99.5),
+                          "roc_auc": F.lit(rank["roc_auc"]), "pr_auc": F.lit(rank["average_precision"])})
+    return json_lines(rec)
+
+
+def _iforest(spark, sf):
+    comp = _compact(spark, sf)
+    split = ev.stratified_split(comp, "flow_id", "label", 0.2)
+    scaler = ev.scaler_params(ev.fit_scaler(split.filter(F.col("split") == "train"), FEATS))
+    scaled = ev.scale_columns(split, scaler)
+    nodes = iso.train_isolation_forest(scaled.filter(F.col("split") == "train"), FEATS, "flow_id")
+    return scaled, nodes
+
+
+@register("m05_train_isolation_forest")
+def m05(spark, sf):
+    _, nodes = _iforest(spark, sf)
+    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"),
+                                     F.max("size").alias("sample_size"))
+
+
+@register("m06_isolation_scores")
+def m06(spark, sf):
+    scaled, nodes = _iforest(spark, sf)
+    scored = iso.score_isolation_forest(scaled, nodes, FEATS)
+    offset = iso.fit_offset(scored.filter(F.col("split") == "train"), contamination=0.05)
+    out = iso.decision(scored.filter(F.col("split") == "valid"), offset)
+    return out.select("flow_id", "label", "if_score", "if_decision", "if_anomaly_score", "if_flag")
+
+
+@register("m01_embeddings_separation")
+def m01_embeddings(spark, sf):
+    """Autoencoder trained on embeddings of label 0, scored on all; ROC-AUC of
+    'label != 0' against the reconstruction error (separation check)."""
+    emb = fixtures.embeddings(spark, sf)
+    dim = 64
+    cols = [f"e{i}" for i in range(dim)]
+    flat = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
+    model, _ = ae.train_autoencoder(flat.filter(F.col("label") == 0), cols, "vec_id", hidden=[16, 8, 16], epochs=30)
+    scored = ae.score_autoencoder(flat, model, "err").withColumn("y", (F.col("label") != 0).cast("int"))
+    return ev.roc_auc_ap(ev.score_curve(scored, "err", "y"))
+
+
+__all__ = ["np"]
