@@ -1 +1,89 @@
-"""Registered queries (filled in progressively)."""
+"""Registered queries: the streaming job.
+
+Each query writes its derived input to the shared folder, runs the stream
+with ``availableNow`` into a parquet sink and returns the sink contents, so
+the result can be compared with the batch formulation (same SQL oracle).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import flows as fl
+from ..sources.eve import stream_eve_flows
+from ..streaming import stream as st
+from . import fixtures
+from .oracle_sql import chain, with_layers
+from .q_sources import LIVE_SQL
+from .registry import register
+
+EVENT_COLS = ["flow_id", "ts_unix", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto",
+              "direction", "ae_score"]
+
+
+@register("t01_stream_flow_features", LIVE_SQL)
+def t01(spark, sf):
+    """A05 + T01: EVE lines read as a text stream -> B14 features, mDNS dropped."""
+    path = st.write_stream_input(fixtures.eve_lines(spark, sf), spark, "eve", fmt="text")
+    feats = fl.live_flow_features(stream_eve_flows(spark, path))
+    return st.run_to_parquet(feats, spark, "t01")
+
+
+def _event_stream(spark, sf):
+    flows = fixtures.flows(spark, sf).select(*EVENT_COLS)
+    path = st.write_stream_input(flows, spark, "events")
+    return spark.readStream.schema(flows.schema).parquet(path)
+
+
+@register("t02_stream_repetition", with_layers(chain("rep2"), """
+SELECT flow_id, repeat_previous_count, repeat_count, repeat_level FROM rep2"""))
+def t02(spark, sf):
+    from ..functions.context import enrich_context, raw_event
+    ev = enrich_context(raw_event(_event_stream(spark, sf)))
+    rep = st.attach_repetition_stream(ev)
+    out = st.run_to_parquet(rep.select("flow_id", "repeat_previous_count", "repeat_count", "repeat_level"),
+                            spark, "t02")
+    return out
+
+
+@register("t03_stream_decisions", with_layers(chain("text"), """
+SELECT flow_id, raw_severity, traffic_class, repeat_level, final_severity, final_label, summary FROM t5"""))
+def t03(spark, sf):
+    dec = st.decision_stream(_event_stream(spark, sf))
+    return st.run_to_parquet(dec.select("flow_id", "raw_severity", "traffic_class", "repeat_level",
+                                        "final_severity", "final_label", "summary"), spark, "t03")
+
+
+@register("t04_stream_throughput")
+def t04(spark, sf):
+    """Sliding 10 s windows (1 s slide) closed by the watermark."""
+    ev = _event_stream(spark, sf).select("flow_id", "ts_unix")
+    return st.run_to_parquet(st.throughput_windows(ev), spark, "t04")
+
+
+@register("t05_stream_watermark_late_rows")
+def t05(spark, sf):
+    """Watermark behaviour: rows re-sent 10 minutes late are dropped by the
+    stateful operator, so the stream keeps exactly the on-time anomalous rows."""
+    flows = fixtures.flows(spark, sf).select(*EVENT_COLS)
+    path = st.write_stream_input(flows, spark, "late")
+    stream = spark.readStream.schema(flows.schema).parquet(path)
+    from ..functions.context import enrich_context, raw_event
+    ev = enrich_context(raw_event(stream))
+    rep = st.attach_repetition_stream(ev, watermark="45 seconds")
+    out = st.run_to_parquet(rep.select("flow_id", "repeat_count"), spark, "t05")
+    return out.agg(F.count(F.lit(1)).alias("rows_out"))
+
+
+@register("a07_stream_prediction_log")
+def a07_stream(spark, sf):
+    """Append-only JSON log written by the stream, partitioned by UTC date."""
+    dec = st.decision_stream(_event_stream(spark, sf), with_text=False)
+    rec = dec.select("flow_id", "ts_unix", "ae_score", "raw_severity", "final_label",
+                     F.to_date(F.timestamp_seconds("ts_unix")).alias("log_date"))
+    out = st.scratch_dir(spark, "plog")
+    ck = st.scratch_dir(spark, "plog-ckpt")
+    q = (rec.writeStream.format("json").option("checkpointLocation", ck).partitionBy("log_date")
+         .trigger(availableNow=True).start(out))
+    q.awaitTermination()
+    return spark.read.json(out)
