@@ -87,6 +87,24 @@ def _ipv6_scope_udf(addr: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=SCOPE_FIELDS, dtype=bool)
 
 
+def _scope_sql(n: str) -> str:
+    """The same range tests as one SQL expression over the number column ``n``
+    (parsed once by Catalyst instead of being assembled call by call)."""
+    def rng(net):
+        lo, hi = _range(net)
+        return f"(`{n}` BETWEEN {lo} AND {hi})"
+    private = " OR ".join(rng(net) for net in fixed.IPV4_PRIVATE_NETS)
+    exc = " OR ".join(rng(net) for net in fixed.IPV4_PRIVATE_EXCEPTIONS)
+    flags = {
+        "private": f"(({private}) AND NOT ({exc}))",
+        "loopback": rng(fixed.IPV4_LOOPBACK_NET),
+        "link_local": rng(fixed.IPV4_LINK_LOCAL_NET),
+        "multicast": rng(fixed.IPV4_MULTICAST_NET),
+        "unspecified": f"(`{n}` = {_v4_int(fixed.IPV4_UNSPECIFIED)})",
+    }
+    return "named_struct(" + ", ".join(f"'{f}', coalesce({flags[f]}, false)" for f in SCOPE_FIELDS) + ")"
+
+
 def ipv4_scope(addr: Column) -> Column:
     return ipv4_scope_from_number(ipv4_number(addr))
 
@@ -110,8 +128,7 @@ def with_ip_scope(df, addr_col: str, out_col: str):
     is_v6 = F.coalesce(a.contains(":"), F.lit(False))
     num_col, v6_col = f"_{out_col}_n", f"_{out_col}_v6"
     df = df.withColumns({num_col: ipv4_number(a), v6_col: _ipv6_scope_udf(F.when(is_v6, a))})
-    df = df.withColumn(out_col, F.when(is_v6, F.col(v6_col))
-                       .otherwise(ipv4_scope_from_number(F.col(num_col))))
+    df = df.withColumn(out_col, F.when(is_v6, F.col(v6_col)).otherwise(F.expr(_scope_sql(num_col))))
     return df.drop(num_col, v6_col)
 
 

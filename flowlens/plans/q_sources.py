@@ -10,7 +10,8 @@ from ..sources import bands as bands_src
 from ..sources.eve import iso_to_epoch, parse_eve_lines
 from ..sources.labelled import parse_csv_lines
 from ..sources.sinks import json_lines
-from ..sources.zeek import parse_zeek_lines, zeek_lines_from_rows
+from ..session import scratch_dir
+from ..sources.zeek import read_zeek_log, zeek_lines_from_rows
 from . import fixtures
 from .oracle_sql import FLOWS, scope_sql, v4num, with_layers
 from .registry import register
@@ -41,7 +42,7 @@ SELECT ts_unix AS ts, 'C' || CAST(flow_id AS VARCHAR) AS uid, src_ip AS orig_h,
   pkts_fwd AS orig_pkts, bytes_fwd + pkts_fwd * 20 AS orig_ip_bytes, pkts_rev AS resp_pkts,
   bytes_rev + pkts_rev * 20 AS resp_ip_bytes, 0 AS tunnel_parents_n,
   CASE proto WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 ELSE 1 END AS ip_proto,
-  'conn_' || CAST(flow_id % 3 AS VARCHAR) AS src_file
+  'conn_' || CAST(flow_id % 8 AS VARCHAR) AS src_file
 FROM flows)"""
 
 LABEL_SQL = """CASE WHEN flow_id % 97 = 0 THEN NULL
@@ -149,7 +150,10 @@ ZEEK_TYPES = ["time", "string", "addr", "port", "addr", "port", "enum", "string"
               "set[string]", "count"]
 
 
-def zeek_log_lines(spark, sf, n_files: int = 3):
+ZEEK_FILES = 8  # fixture layout: the conn log is spread over 8 files
+
+
+def zeek_log_lines(spark, sf, n_files: int = ZEEK_FILES):
     """TSV lines of the derived conn log, spread over ``n_files`` files, each with
     its own header lines."""
     conn = fixtures.zeek_conn(spark, sf).withColumn(
@@ -165,8 +169,23 @@ def zeek_log_lines(spark, sf, n_files: int = 3):
     return h0.unionByName(h1).unionByName(h2).unionByName(body)
 
 
+def zeek_log_files(spark, sf) -> str:
+    """Write the derived conn log as real Zeek files (one file per ``file``
+    value, each with its own header lines) under the shared scratch folder."""
+    def build():
+        path = scratch_dir(spark, "zeek")
+        lines = zeek_log_lines(spark, sf)
+        lines.repartition("file").write.partitionBy("file").text(path)
+        return path
+    return fixtures.memo(spark, sf, "zeek_files", build)
+
+
 def _zeek_parsed(spark, sf):
-    return parse_zeek_lines(zeek_log_lines(spark, sf))
+    def build():
+        parsed = read_zeek_log(spark, zeek_log_files(spark, sf))
+        # source file name (file=conn_k directory of the written log)
+        return parsed.withColumn("_file", F.regexp_extract("_file", r"file=([^/]+)", 1))
+    return fixtures.memo(spark, sf, "zeek_parsed", build)
 
 
 @register("a02_read_zeek_log", with_layers([ZEEK_SRC], """

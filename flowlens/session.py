@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         builder = builder.master(master)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.ui.enabled", "false")
+    builder = builder.config("spark.ui.showConsoleProgress", "false")
     builder = builder.config("spark.driver.memory", os.environ.get("FLOWLENS_DRIVER_MEM", "16g"))
     for k, v in SESSION_DEFAULTS.items():
         builder = builder.config(k, v)
@@ -65,3 +67,10 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
             pass
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory (never machine-local
+    on a cluster: the checkpoint directory is the cluster's shared folder)."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/flowlens-{name}-{uuid.uuid4().hex[:12]}"

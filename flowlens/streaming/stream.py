@@ -15,8 +15,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,19 +27,12 @@ from ..functions.context import enrich_context, raw_event
 from ..functions.decision import decide
 from ..functions.text import attach_explanations
 from ..operators.repetition import repeat_key_expr
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 
 KEY_FIELDS = ["k_src", "k_dst", "k_proto", "k_class", "k_port"]
 STATE_SCHEMA = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType()))])
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory (never machine-local
-    on a cluster: the checkpoint directory is the cluster's shared folder)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/flowlens-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def repetition_state_fn(window_s: float = fixed.REPEAT_WINDOW_S, cap: int = fixed.REPEAT_MAX_EVENTS_PER_KEY,
                         ts_col: str = "ts_unix", seq_col: str = "flow_id"):
     """Per-key deque semantics: evict times older than ``window_s`` (strictly),
