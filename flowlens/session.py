@@ -16,6 +16,9 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # parse each JSON line once: the JSON-expression rewrite would otherwise
+    # re-run from_json with a pruned schema for every extracted field
+    "spark.sql.optimizer.enableJsonExpressionOptimization": "false",
 }
 
 

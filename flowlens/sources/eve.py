@@ -30,17 +30,21 @@ _NUMERIC_AGE = r'"age"\s*:\s*-?[0-9]'
 
 def parse_eve_lines(lines: DataFrame, value_col: str = "value", keep_all: bool = False) -> DataFrame:
     """Lines -> one row per flow event: the top-level fields, ``flow`` struct and
-    ``proto_is_number`` (the raw token was a JSON integer)."""
+    ``proto_is_number`` / ``age_is_number`` (the raw token was a JSON number).
+
+    The parse is a generator (``inline`` of the one-element array), so the
+    ``event_type`` filter stays above it and every line is parsed exactly once
+    (a filter pushed through a projection would re-run ``from_json``)."""
     v = F.col(value_col)
     parsed = lines.select(
         *[c for c in lines.columns if c != value_col],
-        F.from_json(v, EVE_SCHEMA, {"mode": "PERMISSIVE"}).alias("ev"),
         F.coalesce(v.rlike(_NUMERIC_PROTO), F.lit(False)).alias("proto_is_number"),
         F.coalesce(v.rlike(_NUMERIC_AGE), F.lit(False)).alias("age_is_number"),
+        F.inline(F.array(F.from_json(v, EVE_SCHEMA, {"mode": "PERMISSIVE"}))),
     )
     if not keep_all:
-        parsed = parsed.filter(F.col("ev.event_type") == "flow")  # D01
-    return parsed.select(*[c for c in parsed.columns if c != "ev"], "ev.*")
+        parsed = parsed.filter(F.col("event_type") == "flow")  # D01
+    return parsed
 
 
 def read_eve_flows(spark: SparkSession, paths) -> DataFrame:
