@@ -68,13 +68,15 @@ def attach_repetition(df: DataFrame, ts_col: str = "ts_unix", seq_col: str = "fl
            .withColumn("_b", F.explode(F.when(anom, F.array_distinct(F.array(own, nxt)))
                                       .otherwise(F.array(idle)))))
     part = ["repetition_key", "_b"]
+    # the (key, bucket) window first: its hash exchange also serves the finer
+    # (key, bucket, ts) peer window below -> one shuffle in total
+    frame = Window.partitionBy(*part).orderBy(ts).rangeBetween(-int(window_s), 0)
+    x = x.withColumn("_c", F.count(F.lit(1)).over(frame))
     peers = Window.partitionBy(*part, ts_col)
     x = x.withColumns({
         "_pn": F.count(F.lit(1)).over(peers),
         "_rn": F.row_number().over(peers.orderBy(F.col(seq_col))),
     })
-    frame = Window.partitionBy(*part).orderBy(ts).rangeBetween(-int(window_s), 0)
-    x = x.withColumn("_c", F.count(F.lit(1)).over(frame))
     x = x.filter(F.col("_b") == F.col("_own_b"))
     prev = F.least(F.col("_c") - F.col("_pn") + F.col("_rn") - 1, F.lit(cap))
     prev = F.when(anom, prev).otherwise(F.lit(0))

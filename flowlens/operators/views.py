@@ -22,11 +22,11 @@ def rolling_throughput(df: DataFrame, ts_col: str = "ts_unix", seq_col: str = "f
     own = F.floor(ts / F.lit(float(bucket_s)))
     nxt = F.floor((ts + F.lit(float(window_s))) / F.lit(float(bucket_s)))
     x = df.withColumn("_own_b", own).withColumn("_b", F.explode(F.array_distinct(F.array(own, nxt))))
-    peers = Window.partitionBy("_b", ts_col)
-    x = x.withColumns({"_pn": F.count(F.lit(1)).over(peers),
-                       "_rn": F.row_number().over(peers.orderBy(F.col(seq_col)))})
     frame = Window.partitionBy("_b").orderBy(ts).rangeBetween(-int(window_s), 0)
     x = x.withColumns({"_c": F.count(F.lit(1)).over(frame), "_first": F.min(ts).over(frame)})
+    peers = Window.partitionBy("_b", ts_col)  # served by the "_b" exchange above
+    x = x.withColumns({"_pn": F.count(F.lit(1)).over(peers),
+                       "_rn": F.row_number().over(peers.orderBy(F.col(seq_col)))})
     x = x.filter(F.col("_b") == F.col("_own_b"))
     n = F.col("_c") - F.col("_pn") + F.col("_rn")
     fps = F.when(n < 2, F.lit(0.0)).otherwise(n / F.greatest(F.lit(1e-6), ts - F.col("_first")))
