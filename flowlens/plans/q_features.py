@@ -9,7 +9,7 @@ from ..operators import flows as fl
 from ..operators import matrix as mx
 from . import fixtures
 from .oracle_sql import FLOWS, scope_sql, v4num, with_layers
-from .q_sources import B05_SQL, EVE_SRC, _eve_parsed, _zeek_parsed
+from .q_sources import B05_SQL, EVE_SRC, ZEEK_SRC, _eve_parsed, _zeek_parsed
 from .registry import register
 
 
@@ -89,11 +89,16 @@ FROM (SELECT *, count(*) OVER () AS n, {", ".join(f"row_number() OVER (ORDER BY
 SELECT _key, {", ".join(cols)} FROM m2, caps"""
 
 
-ZEEK_FLAGS = {"SYN": "CAST(contains(zeek_history, 'S') OR contains(zeek_history, 'H') AS INTEGER)",
-              "ACK": "CAST(contains(zeek_history, 'D') OR contains(zeek_history, 'H') AS INTEGER)",
-              "FIN": "CAST(contains(zeek_history, 'F') AS INTEGER)", "RST": "CAST(contains(zeek_history, 'R') AS INTEGER)",
-              "PSH": "CAST(contains(zeek_history, 'P') AS INTEGER)", "URG": "CAST(contains(zeek_history, 'U') AS INTEGER)",
-              "ECE": "0", "CWR": "0"}
+def _hist_flags(h: str) -> dict:
+    h = f"coalesce({h}, '')"
+    return {"SYN": f"CAST(contains({h}, 'S') OR contains({h}, 'H') AS INTEGER)",
+            "ACK": f"CAST(contains({h}, 'D') OR contains({h}, 'H') AS INTEGER)",
+            "FIN": f"CAST(contains({h}, 'F') AS INTEGER)", "RST": f"CAST(contains({h}, 'R') AS INTEGER)",
+            "PSH": f"CAST(contains({h}, 'P') AS INTEGER)", "URG": f"CAST(contains({h}, 'U') AS INTEGER)",
+            "ECE": "0", "CWR": "0"}
+
+
+ZEEK_FLAGS = _hist_flags("zeek_history")
 NO_FLAGS = {n: "0" for n, _ in fixed.TCP_FLAG_BITS}
 
 ZEEK_MATRIX_SQL = _matrix_sql(B05_SQL, "zeek_uid", "src_ip", "dst_ip", "src_port", "dst_port", "proto", "start_ts",
@@ -193,7 +198,7 @@ def c13(spark, sf):
 
 
 @register("c14_tcp_flags_history", with_layers([FLOWS], f"""
-SELECT flow_id, {", ".join(f"{v.replace('zeek_history', 'h')} AS tcp_flag_{n}" for n, v in ZEEK_FLAGS.items())}
+SELECT flow_id, {", ".join(f"{v} AS tcp_flag_{n}" for n, v in _hist_flags("h").items())}
 FROM (SELECT flow_id, CASE flow_id % 5 WHEN 0 THEN 'ShADadFf' WHEN 1 THEN 'Dd' WHEN 2 THEN 'S' WHEN 3 THEN 'ShR' ELSE '-' END AS h FROM flows) x"""))
 def c14(spark, sf):
     z = fixtures.zeek_conn(spark, sf)
@@ -210,3 +215,48 @@ def c19(spark, sf):
     caps = mx.nearest_quantiles_stacked(m, mx.WINSORISED, 0.999)
     return spark.createDataFrame([tuple(float(caps[c]) for c in mx.WINSORISED)],
                                  ", ".join(f"cap_{c} double" for c in mx.WINSORISED))
+
+
+# ---------------------------------------------------------------------------
+# matrix on the raw conn log (Zeek names: id.* aliases, conn_state, history)
+# ---------------------------------------------------------------------------
+CONN_MATRIX_SQL = _matrix_sql(with_layers([ZEEK_SRC], "SELECT * FROM zeek_conn"), "uid", "orig_h", "resp_h", "orig_p",
+                              "resp_p", "proto", "ts", "duration", "orig_pkts", "resp_pkts", "orig_ip_bytes",
+                              "resp_ip_bytes", _hist_flags("history"),
+                              handshake="CAST(coalesce(conn_state IN ('S1', 'SF'), false) AS INTEGER)")
+
+
+def _conn_matrix(spark, sf):
+    m = mx.flow_matrix(_zeek_parsed(spark, sf).drop("_file"), keep=["uid"])
+    return m.withColumnRenamed("uid", "_key")
+
+
+register("c_matrix_conn", CONN_MATRIX_SQL)(_conn_matrix)
+
+C_GROUPS = {
+    "c04_duration_counters": ["duration_s", "pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient"],
+    "c05_rates_ratios": ["pkts_total", "bytes_total", "pps", "bps", "avg_pkt_size", "pkts_dir_ratio",
+                         "bytes_dir_ratio", "server_pps", "client_pps", "server_bps", "client_bps",
+                         "bytes_per_server_pkt", "bytes_per_client_pkt"],
+    "c06_asymmetry": ["syn_asymmetry", "pkts_asymmetry"],
+    "c07_direction_entropy": ["dir_entropy"],
+    "c08_port_class": ["l4_port_class_src", "l4_port_class_dst"],
+    "c09_internal_patterns": ["is_internal_src", "is_internal_dst", "pat_int_int", "pat_int_ext", "pat_ext_int",
+                              "pat_ext_ext"],
+    "c11_time_of_day": ["time_of_day_sin", "time_of_day_cos"],
+    "c12_proto_onehot": ["proto_TCP", "proto_UDP", "proto_ICMP"],
+    "c15_handshake_ok": ["tcp_handshake_ok"],
+    "c16_port_onehots": [f"dstp_{p}" for p in fixed.MATRIX_DST_PORTS] + ["dstp_other"],
+    "c17_flow_flags": ["small_flow_flag", "long_flow_flag"],
+    "c18_clean_identifiers": ["duration_s", "pps", "bps"],
+}
+
+
+def _group_query(cols):
+    def q(spark, sf):
+        return _conn_matrix(spark, sf).select("_key", *cols)
+    return q
+
+
+for _name, _cols in C_GROUPS.items():
+    register(_name, f"SELECT _key, {', '.join(_cols)} FROM ({CONN_MATRIX_SQL}) q")(_group_query(_cols))

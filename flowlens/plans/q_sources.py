@@ -473,3 +473,21 @@ def a07(spark, sf):
     """One JSON object per event (the append-only log record)."""
     f = fixtures.prediction_log(spark, sf)
     return json_lines(f.select("flow_id", "ts_unix", "ae_score", "status", "infer_ms", "total_ms"))
+
+
+@register("a04_read_feature_csv", with_layers([FLOWS], """
+SELECT flow_id, CAST(pkts_fwd AS DOUBLE) AS pkts_fwd, CAST(pkts_rev AS DOUBLE) AS pkts_rev,
+  greatest(CASE WHEN duration > 0 THEN duration ELSE 0.01 END, 0.01) AS duration, label FROM flows"""))
+def a04(spark, sf):
+    """The compact frame written once as header CSV to the shared folder, read
+    back with an explicit schema."""
+    from ..sources.labelled import read_feature_csv
+
+    def build():
+        path = scratch_dir(spark, "features-csv")
+        fl.compact_from_flows(fixtures.flows(spark, sf)).select(
+            "flow_id", "pkts_fwd", "pkts_rev", "duration", "label").write.option("header", "true").csv(path)
+        return path
+    path = fixtures.memo(spark, sf, "features_csv", build)
+    return read_feature_csv(spark, path, schema="flow_id long, pkts_fwd double, pkts_rev double, "
+                                                "duration double, label int")
