@@ -37,7 +37,9 @@ def _range(net: tuple[str, int]) -> tuple[int, int]:
 
 def ipv4_number(addr: Column) -> Column:
     """BIGINT value of a canonical dotted quad, null for anything else."""
-    octets = [F.regexp_extract(addr, IPV4_PATTERN, i).try_cast("bigint") for i in range(1, 5)]
+    # one validating regex, then a single-character split (no regex groups)
+    parts = F.split(addr, r"\.")
+    octets = [F.try_element_at(parts, F.lit(i)).try_cast("bigint") for i in range(1, 5)]
     ok = addr.rlike(IPV4_PATTERN)
     for o in octets:
         ok = ok & (o <= 255)
