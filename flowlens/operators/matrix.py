@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.ipscope import with_ip_scope
+from ..session import ensure_checkpoint_dir
 from .ranking import nearest_quantiles_stacked
 
 EPS = 1e-9
@@ -210,7 +211,15 @@ def flow_matrix(df: DataFrame, source: str = "auto", fix_aliases: bool = True,
     return out
 
 
-def winsorise_columns(df: DataFrame, cols: list[str], q: float = 0.999) -> DataFrame:
-    """Clip each column at its nearest-rank ``q`` quantile (exact)."""
+def winsorise_columns(df: DataFrame, cols: list[str], q: float = 0.999, materialise: bool = True) -> DataFrame:
+    """Clip each column at its nearest-rank ``q`` quantile (exact).
+
+    The quantile pass needs the finished columns three times (range-bound
+    sampling, the range shuffle, the final clip); with ``materialise`` the
+    frame is written once to the reliable checkpoint folder so the upstream
+    parse and feature expressions run once."""
+    if materialise:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     caps = nearest_quantiles_stacked(df, cols, q)
     return df.withColumns({c: F.least(F.col(c), F.lit(float(caps[c]))) for c in cols if caps.get(c) is not None})
