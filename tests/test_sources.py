@@ -101,3 +101,31 @@ def test_zeek_conn_log_matches_parsed_csv(spark):
         assert (r["orig_pkts"] or 0) == int(float(g["orig_pkts"] or 0))
     rows = fl.zeek_to_flow_rows(parsed)
     assert rows.filter("proto = 'other'").count() == 0                       # header read without the shift
+
+
+def test_eve_gzip_and_glob(spark, tmp_path):
+    import gzip
+
+    from flowlens.sources.eve import read_eve_flows
+    for i, chunk in enumerate((LINES[:4], LINES[4:])):
+        with gzip.open(tmp_path / f"eve.json.{i}.gz", "wt", encoding="utf-8") as fh:
+            fh.write("\n".join(chunk) + "\n\xff\xfe garbage\n")
+    got = read_eve_flows(spark, str(tmp_path / "eve.json.*.gz"))
+    assert got.count() == 4
+
+
+def test_labelled_csv_latin1_fallback(spark, tmp_path):
+    from flowlens.sources.labelled import read_labelled_csv
+    p = tmp_path / "data.csv"
+    p.write_bytes("dur;label\n1.5;Caf\xe9\n2.0;BENIGN\n".encode("latin-1"))
+    df = read_labelled_csv(spark, str(p), sep=";")
+    assert sorted(r["label"] for r in df.collect()) == ["BENIGN", "Café"]
+
+
+def test_zeek_header_shift_switch(spark):
+    from flowlens.sources.zeek import parse_zeek_lines
+    lines = spark.createDataFrame([("f", "#fields\tts\tuid\tproto"), ("f", "1.5\tC1\ttcp")], "file string, value string")
+    ok = parse_zeek_lines(lines).collect()[0]
+    shifted = parse_zeek_lines(lines, header_shift=1).collect()[0]
+    assert (ok["uid"], ok["proto"]) == ("C1", "tcp")
+    assert (shifted["uid"], shifted["proto"]) == ("1.5", "C1")      # every value one column to the right
