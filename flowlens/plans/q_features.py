@@ -10,7 +10,16 @@ from ..operators import matrix as mx
 from . import fixtures
 from .oracle_sql import FLOWS, scope_sql, v4num, with_layers
 from .q_sources import B05_SQL, EVE_SRC, ZEEK_SRC, _eve_parsed, _zeek_parsed
-from .registry import register
+from .registry import register, sql_round, stable_round
+
+
+# log2 / sin / cos may differ in the last bit between the JVM and DuckDB:
+# the registered queries report them rounded to 9 decimals on both sides.
+TRANSCENDENTAL = ["dir_entropy", "time_of_day_sin", "time_of_day_cos"]
+
+
+def _stable(m):
+    return m.withColumns({c: stable_round(c, 9) for c in TRANSCENDENTAL})
 
 
 def _zeek_rows(spark, sf):
@@ -55,8 +64,8 @@ SELECT _key, duration_s, pkts_toserver, pkts_toclient, bytes_toserver, bytes_toc
   bytes_toserver / greatest(bytes_toclient, 1) AS bytes_dir_ratio,
   (bytes_toserver - bytes_toclient) / greatest(bytes_total, 1) AS syn_asymmetry,
   (pkts_toserver - pkts_toclient) / greatest(pkts_total, 1) AS pkts_asymmetry,
-  CASE WHEN bytes_toserver / greatest(bytes_total, 1) > 0 THEN -(bytes_toserver / greatest(bytes_total, 1)) * log2(bytes_toserver / greatest(bytes_total, 1)) ELSE 0 END
-  + CASE WHEN bytes_toclient / greatest(bytes_total, 1) > 0 THEN -(bytes_toclient / greatest(bytes_total, 1)) * log2(bytes_toclient / greatest(bytes_total, 1)) ELSE 0 END AS dir_entropy,
+  CASE WHEN bytes_toserver / greatest(bytes_total, 1) > 0 THEN -(bytes_toserver / greatest(bytes_total, 1)) * (ln(bytes_toserver / greatest(bytes_total, 1)) / ln(2.0)) ELSE 0 END
+  + CASE WHEN bytes_toclient / greatest(bytes_total, 1) > 0 THEN -(bytes_toclient / greatest(bytes_total, 1)) * (ln(bytes_toclient / greatest(bytes_total, 1)) / ln(2.0)) ELSE 0 END AS dir_entropy,
   pkts_toserver / greatest(duration_s, 1e-9) AS server_pps, pkts_toclient / greatest(duration_s, 1e-9) AS client_pps,
   8 * bytes_toserver / greatest(duration_s, 1e-9) AS server_bps, 8 * bytes_toclient / greatest(duration_s, 1e-9) AS client_bps,
   bytes_toserver / greatest(pkts_toserver, 1) AS bytes_per_server_pkt,
@@ -82,6 +91,8 @@ FROM (SELECT *, count(*) OVER () AS n, {", ".join(f"row_number() OVER (ORDER BY
     for c in mx.MATRIX_COLUMNS:
         if c in mx.WINSORISED:
             cols.append(f"least(CAST({c} AS DOUBLE), cap_{c}) AS {c}")
+        elif c in TRANSCENDENTAL:
+            cols.append(f"{sql_round(f'CAST({c} AS DOUBLE)', 9)} AS {c}")
         else:
             cols.append(f"CAST({c} AS DOUBLE) AS {c}")
     return f"""WITH rows30 AS ({rows_sql}),
@@ -116,14 +127,14 @@ EVE_MATRIX_SQL = _matrix_sql(EVE_ROWS_SQL, "community_id", "src_ip", "dest_ip",
 def c_matrix_zeek(spark, sf):
     """C01-C19 on Zeek 30-column rows (aliases fixed, Zeek source inferred)."""
     m = mx.flow_matrix(_zeek_rows(spark, sf), keep=["zeek_uid"])
-    return m.withColumnRenamed("zeek_uid", "_key")
+    return _stable(m.withColumnRenamed("zeek_uid", "_key"))
 
 
 @register("c_matrix_eve", EVE_MATRIX_SQL)
 def c_matrix_eve(spark, sf):
     """C01-C19 on EVE 30-column rows (time of day from the ISO timestamp)."""
     m = mx.flow_matrix(fl.eve_to_flow_rows(_eve_parsed(spark, sf)), keep=["community_id"])
-    return m.withColumnRenamed("community_id", "_key")
+    return _stable(m.withColumnRenamed("community_id", "_key"))
 
 
 @register("c01_alias_resolution", with_layers([EVE_SRC], """
@@ -228,7 +239,7 @@ CONN_MATRIX_SQL = _matrix_sql(with_layers([ZEEK_SRC], "SELECT * FROM zeek_conn")
 
 def _conn_matrix(spark, sf):
     m = mx.flow_matrix(_zeek_parsed(spark, sf).drop("_file"), keep=["uid"])
-    return m.withColumnRenamed("uid", "_key")
+    return _stable(m.withColumnRenamed("uid", "_key"))
 
 
 register("c_matrix_conn", CONN_MATRIX_SQL)(_conn_matrix)

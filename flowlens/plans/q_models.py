@@ -14,7 +14,7 @@ from ..sources.sinks import json_lines
 from . import fixtures
 from .oracle_sql import with_layers
 from .q_stats import STATS_SQL
-from .registry import register
+from .registry import register, sql_round, stable_round
 
 FEATS = fixed.COMPACT_FEATURES
 
@@ -48,19 +48,21 @@ ms AS (SELECT *, {mse} FROM es)
 {select_tail}""")
 
 
-@register("m03_score_autoencoder", _demo_forward_sql("SELECT flow_id, mse AS ae_mse FROM ms"))
+@register("m03_score_autoencoder", _demo_forward_sql(f"SELECT flow_id, {sql_round('mse', 8)} AS ae_mse FROM ms"))
 def m03(spark, sf):
     comp, model = _demo(spark, sf)
-    return ae.score_autoencoder(comp, model, "ae_mse").select("flow_id", "ae_mse")
+    return ae.score_autoencoder(comp, model, "ae_mse").select("flow_id", stable_round("ae_mse", 8).alias("ae_mse"))
 
 
 @register("m04_reconstruction_detail", _demo_forward_sql(
-    "SELECT flow_id, mse, " + ", ".join(f"e{k} AS err_{f}" for k, f in enumerate(FEATS)) + " FROM ms"))
+    f"SELECT flow_id, {sql_round('mse', 8)} AS mse, " + ", ".join(f"{sql_round(f'e{k}', 8)} AS err_{f}"
+                                                                 for k, f in enumerate(FEATS))
+    + " FROM ms"))
 def m04(spark, sf):
     comp, model = _demo(spark, sf)
     d = ae.score_autoencoder_detail(comp, model, "ae")
-    return d.select("flow_id", F.col("ae.mse").alias("mse"),
-                    *[F.col("ae.err")[k].alias(f"err_{f}") for k, f in enumerate(FEATS)])
+    return d.select("flow_id", stable_round("ae.mse", 8).alias("mse"),
+                    *[stable_round(F.col("ae.err")[k], 8).alias(f"err_{f}") for k, f in enumerate(FEATS)])
 
 
 _ITEMS = "[" + ", ".join(f"{{'e': e{k}, 'i': {k}, 'n': '{f}'}}" for k, f in enumerate(FEATS)) + "]"
@@ -69,21 +71,22 @@ _ITEMS = "[" + ", ".join(f"{{'e': e{k}, 'i': {k}, 'n': '{f}'}}" for k, f in enum
 @register("f05_top_feature_errors", _demo_forward_sql(
     f"""SELECT flow_id, array_to_string(list_transform(list_slice(list_reverse(list_sort({_ITEMS})), 1, 5),
                                                    lambda s: s.n), ',') AS top_features,
-           list_reverse(list_sort({_ITEMS}))[1].e AS top_err FROM ms"""))
+           {sql_round(f"list_reverse(list_sort({_ITEMS}))[1].e", 8)} AS top_err FROM ms"""))
 def f05(spark, sf):
     comp, model = _demo(spark, sf)
     d = ae.score_autoencoder_detail(comp, model, "ae")
     top = ae.top_feature_errors(F.col("ae"), FEATS, [F.col(f) for f in FEATS], 5)
     d = d.withColumn("top", top)
     return d.select("flow_id", F.array_join(F.transform("top", lambda s: s["name"]), ",").alias("top_features"),
-                    F.col("top")[0]["err"].alias("top_err"))
+                    stable_round(F.col("top")[0]["err"], 8).alias("top_err"))
 
 
 @register("m08_preview_scoring", _demo_forward_sql(
-    "SELECT flow_id, label, mse AS ae_mse FROM ms ORDER BY flow_id LIMIT 5"))
+    f"SELECT flow_id, label, {sql_round('mse', 8)} AS ae_mse FROM ms ORDER BY flow_id LIMIT 5"))
 def m08(spark, sf):
     comp, model = _demo(spark, sf)
-    return ae.score_autoencoder(iso.preview(comp, "flow_id", 5), model, "ae_mse").select("flow_id", "label", "ae_mse")
+    return ae.score_autoencoder(iso.preview(comp, "flow_id", 5), model, "ae_mse").select(
+        "flow_id", "label", stable_round("ae_mse", 8).alias("ae_mse"))
 
 
 @register("m07_fixed_threshold_flag", with_layers([STATS_SQL], """

@@ -235,7 +235,7 @@ def b05(spark, sf):
 
 @register("b06_zeek_null_tokens", with_layers([ZEEK_SRC], """
 SELECT uid, coalesce(service, '-') AS service_text, CAST(orig_p AS DOUBLE) AS orig_p_float,
-       CAST(resp_p AS BIGINT) AS resp_p_int, 0.0 AS history_as_float FROM zeek_conn"""))
+       CAST(resp_p AS BIGINT) AS resp_p_int, CAST(0.0 AS DOUBLE) AS history_as_float FROM zeek_conn"""))
 def b06(spark, sf):
     z = fixtures.zeek_conn(spark, sf)
     return z.select("uid", F.col("service").alias("service_text"),
@@ -352,7 +352,7 @@ SELECT CASE WHEN flow_id % 13 = 0 THEN src_ip || ':' || CAST(src_port AS VARCHAR
   (pkts_fwd + pkts_rev) / greatest(CASE WHEN age > 0 THEN age ELSE duration END, 0.01) AS pkt_rate,
   (bytes_fwd + bytes_rev) / greatest(CASE WHEN age > 0 THEN age ELSE duration END, 0.01) AS byte_rate,
   (bytes_fwd + 1.0) / (bytes_rev + 1.0) AS fwd_rev_ratio,
-  CASE proto WHEN 'ICMP' THEN 1.0 WHEN 'TCP' THEN 6.0 WHEN 'UDP' THEN 17.0 ELSE 0.0 END AS proto_feature
+  CAST(CASE proto WHEN 'ICMP' THEN 1 WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 ELSE 0 END AS DOUBLE) AS proto_feature
 FROM eve WHERE NOT (dest_port = 5353 OR src_port = 5353 OR dest_ip IN ('224.0.0.251', 'ff02::fb'))""")
 
 

@@ -11,10 +11,17 @@ from ..operators import views
 from . import fixtures
 from .oracle_sql import FLOWS, chain, with_layers
 from .q_decision import _dec
-from .registry import register
+from .registry import register, sql_round, stable_round
 
 PERCENTILE = 99.5
 FEATS = fixed.COMPACT_FEATURES
+# Outputs that are sums or quotients of sums are rounded to fixed decimals on
+# both sides: Spark and DuckDB add in different orders (last-bit noise).
+R6, R7, R9, R10 = 6, 7, 9, 10
+
+
+def rnd(c, d):
+    return stable_round(c, d)
 
 COMPACT_SQL = FLOWS + """,
 compact AS (
@@ -58,24 +65,27 @@ def _tau(spark, sf):
 
 
 @register("e01_scaler_fit", with_layers([STATS_SQL], " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, {i} AS pos, m_{f} AS mean, s_{f} AS scale FROM stats" for i, f in enumerate(FEATS))))
+    f"SELECT '{f}' AS feature, {i} AS pos, {sql_round(f"m_{f}", R6)} AS mean, {sql_round(f"s_{f}", R6)} AS scale FROM stats"
+    for i, f in enumerate(FEATS))))
 def e01(spark, sf):
     comp = _compact(spark, sf)
-    return ev.fit_scaler(comp.filter(F.col("label") == 0), FEATS)
+    fit = ev.fit_scaler(comp.filter(F.col("label") == 0), FEATS)
+    return fit.select("feature", "pos", rnd("mean", R6).alias("mean"), rnd("scale", R6).alias("scale"))
 
 
 @register("e02_scaler_transform", with_layers([STATS_SQL], "SELECT flow_id, " + ", ".join(
-    f"({f} - m_{f}) / s_{f} AS {f}_scaled" for f in FEATS) + " FROM compact, stats"))
+    f"{sql_round(f'({f} - m_{f}) / s_{f}', R7)} AS {f}_scaled" for f in FEATS) + " FROM compact, stats"))
 def e02(spark, sf):
     comp = _compact(spark, sf)
     params = ev.scaler_params(ev.fit_scaler(comp.filter(F.col("label") == 0), FEATS))
-    return ev.scale_columns(comp, params, suffix="_scaled").select("flow_id", *[f"{f}_scaled" for f in FEATS])
+    return ev.scale_columns(comp, params, suffix="_scaled").select(
+        "flow_id", *[rnd(f"{f}_scaled", R7).alias(f"{f}_scaled") for f in FEATS])
 
 
-@register("e03_percentile_threshold", with_layers([TAU_SQL], "SELECT tau AS threshold FROM tau"))
+@register("e03_percentile_threshold", with_layers([TAU_SQL], f"SELECT {sql_round('tau', R9)} AS threshold FROM tau"))
 def e03(spark, sf):
     return _scored(spark, sf).agg(F.count(F.lit(1)).alias("_n")).select(
-        F.lit(_tau(spark, sf)).cast("double").alias("threshold"))
+        rnd(F.lit(_tau(spark, sf)).cast("double"), R9).alias("threshold"))
 
 
 CM_SQL = with_layers([TAU_SQL], """
@@ -110,20 +120,22 @@ def _curve(spark, sf):
     return ev.score_curve(_scored(spark, sf), "ae_score", "label")
 
 
-@register("e06_roc_auc", with_layers([CURVE_SQL], """
-SELECT sum(pos * ((N - fps) + neg / 2.0)) / (max(P) * max(N)) AS roc_auc FROM c, tot"""))
+@register("e06_roc_auc", with_layers([CURVE_SQL], f"""
+SELECT {sql_round("sum(pos * ((N - fps) + neg / 2.0)) / (max(P) * max(N))", R10)} AS roc_auc FROM c, tot"""))
 def e06(spark, sf):
-    return ev.roc_auc_ap(_curve(spark, sf)).select("roc_auc")
+    return ev.roc_auc_ap(_curve(spark, sf)).select(rnd("roc_auc", R10).alias("roc_auc"))
 
 
-@register("e07_average_precision", with_layers([CURVE_SQL], """
-SELECT sum(CASE WHEN pos > 0 THEN (pos / P) * (tps / (tps + fps)) END) AS average_precision FROM c, tot"""))
+@register("e07_average_precision", with_layers([CURVE_SQL], f"""
+SELECT {sql_round("sum(CASE WHEN pos > 0 THEN (pos / P) * (tps / (tps + fps)) END)", R10)} AS average_precision
+FROM c, tot"""))
 def e07(spark, sf):
-    return ev.roc_auc_ap(_curve(spark, sf)).select("average_precision")
+    return ev.roc_auc_ap(_curve(spark, sf)).select(rnd("average_precision", R10).alias("average_precision"))
 
 
 @register("e08_roc_pr_curve", with_layers([CURVE_SQL], """
-SELECT threshold, pos, neg, tps, fps, fps / N AS fpr, tps / P AS tpr, tps / (tps + fps) AS precision,
+SELECT threshold, CAST(pos AS BIGINT) AS pos, CAST(neg AS BIGINT) AS neg, CAST(tps AS DOUBLE) AS tps,
+       CAST(fps AS DOUBLE) AS fps, fps / N AS fpr, tps / P AS tpr, tps / (tps + fps) AS precision,
        tps / P AS recall FROM c, tot"""))
 def e08(spark, sf):
     curve = _curve(spark, sf)
@@ -152,10 +164,11 @@ def e10(spark, sf):
     return ev.error_series(_scored(spark, sf), "flow_id", "ae_score", _tau(spark, sf), 2000)
 
 
-@register("e11_error_moments", with_layers([FLOWS], """
-SELECT avg(ae_score) AS mean_err, stddev_pop(ae_score) AS std_err FROM flows"""))
+@register("e11_error_moments", with_layers([FLOWS], f"""
+SELECT {sql_round("avg(ae_score)", R9)} AS mean_err, {sql_round("stddev_pop(ae_score)", R9)} AS std_err FROM flows"""))
 def e11(spark, sf):
-    return ev.error_moments(_scored(spark, sf), "ae_score")
+    m = ev.error_moments(_scored(spark, sf), "ae_score")
+    return m.select(rnd("mean_err", R9).alias("mean_err"), rnd("std_err", R9).alias("std_err"))
 
 
 def _split_sql(where: str, frac: float) -> str:
@@ -189,7 +202,8 @@ SELECT least(count(*) FILTER (WHERE is_anom), {fixed.ALERTS_MAX}) AS alerts_buff
        least(count(*), {fixed.RECENT_MAX}) AS recent_buffered,
        count(DISTINCT CASE WHEN is_anom THEN concat_ws('|', k_src, k_dst, k_proto, k_class, CAST(k_port AS VARCHAR)) END)
          AS repeat_keys_buffered,
-       {fixed.LIVE_BANDS['ok']} AS band_ok, {fixed.LIVE_BANDS['warn']} AS band_warn, {fixed.LIVE_BANDS['crit']} AS band_crit
+       CAST({fixed.LIVE_BANDS['ok']} AS DOUBLE) AS band_ok, CAST({fixed.LIVE_BANDS['warn']} AS DOUBLE) AS band_warn,
+       CAST({fixed.LIVE_BANDS['crit']} AS DOUBLE) AS band_crit
 FROM rep2"""))
 def e15(spark, sf):
     return views.stats_rollup(_dec(spark, sf))
@@ -206,14 +220,15 @@ def _e17_sql():
         for le in fixed.LATENCY_BUCKETS_MS:
             parts.append(f"SELECT '{c}' AS metric, '{le}' AS le, CAST(count(*) FILTER (WHERE {c} <= {float(le)}) AS DOUBLE) AS value FROM plog WHERE status = 'ok'")
         parts.append(f"SELECT '{c}', '+Inf', CAST(count({c}) AS DOUBLE) FROM plog WHERE status = 'ok'")
-        parts.append(f"SELECT '{c}', 'sum', CAST(sum({c}) AS DOUBLE) FROM plog WHERE status = 'ok'")
+        parts.append(f"SELECT '{c}', 'sum', {sql_round(f'CAST(sum({c}) AS DOUBLE)', R6)} FROM plog WHERE status = 'ok'")
         parts.append(f"SELECT '{c}', 'count', CAST(count({c}) AS DOUBLE) FROM plog WHERE status = 'ok'")
     return with_layers([LOG_SQL], " UNION ALL ".join(parts))
 
 
 @register("e17_latency_histograms", _e17_sql())
 def e17(spark, sf):
-    return views.latency_histograms(fixtures.prediction_log(spark, sf))
+    h = views.latency_histograms(fixtures.prediction_log(spark, sf))
+    return h.withColumn("value", F.when(F.col("le") == "sum", rnd("value", R6)).otherwise(F.col("value")))
 
 
 @register("f03_rolling_throughput", with_layers([FLOWS], f"""
