@@ -162,8 +162,8 @@ def flow_matrix(df: DataFrame, source: str = "auto", fix_aliases: bool = True,
     x = with_ip_scope(with_ip_scope(x, "_src_ip", "_ss"), "_dst_ip", "_ds")
     internal_src = (F.col("_ss.private") | F.col("_ss.loopback") | F.col("_ss.link_local")).cast("int")
     internal_dst = (F.col("_ds.private") | F.col("_ds.loopback") | F.col("_ds.link_local")).cast("int")
-    sec = (F.hour(F.timestamp_seconds(F.col("_start"))) * 3600 + F.minute(F.timestamp_seconds(F.col("_start"))) * 60
-           + F.second(F.timestamp_seconds(F.col("_start"))))
+    # UTC seconds of the day (h * 3600 + m * 60 + s) without the session time zone
+    sec = F.pmod(F.floor(F.col("_start")), F.lit(86400))
     theta = F.lit(2 * math.pi) * (sec / F.lit(86400.0))
     ports = [F.lit(v) for v in fixed.MATRIX_DST_PORTS]
     feats = {

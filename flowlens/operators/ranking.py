@@ -29,18 +29,14 @@ from ..session import ensure_checkpoint_dir
 _ROW_BITS = 33
 
 
-def _num_partitions(df: DataFrame, n_parts: int | None) -> int:
-    if n_parts:
-        return n_parts
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 def ranged(df: DataFrame, order: list[Column], n_parts: int | None = None) -> DataFrame:
     """Range-partitioned, sorted, checkpointed frame with ``_pid`` and ``_pos``
     (0-based position inside the partition)."""
     ensure_checkpoint_dir(df.sparkSession)
-    n = _num_partitions(df, n_parts)
-    r = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # without an explicit count AQE sizes the range shuffle (coalescing only
+    # merges adjacent ranges, so the partition order stays the global order)
+    r = df.repartitionByRange(n_parts, *order) if n_parts else df.repartitionByRange(*order)
+    r = r.sortWithinPartitions(*order)
     r = r.withColumn("_pid", F.spark_partition_id())
     r = r.withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), _ROW_BITS))
     return r.checkpoint(eager=True)
