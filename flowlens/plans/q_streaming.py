@@ -83,7 +83,8 @@ def a07_stream(spark, sf):
                      F.to_date(F.timestamp_seconds("ts_unix")).alias("log_date"))
     out = st.scratch_dir(spark, "plog")
     ck = st.scratch_dir(spark, "plog-ckpt")
-    q = (rec.writeStream.format("json").option("checkpointLocation", ck).partitionBy("log_date")
-         .trigger(availableNow=True).start(out))
+    w = (rec.writeStream.format("json").option("checkpointLocation", ck).partitionBy("log_date")
+         .trigger(availableNow=True))
+    q = st.start_with_state_partitions(w, out, spark, 2 * spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return spark.read.json(out)

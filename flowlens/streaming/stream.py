@@ -118,16 +118,33 @@ def throughput_windows(events: DataFrame, window: str = "10 seconds", slide: str
                     (F.col("n") / F.lit(secs)).alias("fps")))
 
 
+def start_with_state_partitions(writer, path: str, spark: SparkSession, state_partitions: int | None):
+    """Start a query whose stateful operators use ``state_partitions`` shuffle
+    partitions (fixed in its checkpoint at the first batch). The stream clones
+    the session at start, so the caller's setting is restored right after."""
+    if not state_partitions:
+        return writer.start(path)
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start(path)
+    finally:
+        spark.conf.set(key, old)
+
+
 def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, output_mode: str = "append",
-                   partition_by: list[str] | None = None) -> DataFrame:
+                   partition_by: list[str] | None = None, state_partitions: int | None = None) -> DataFrame:
     """Run a stream with ``availableNow`` into a parquet sink (checkpointed in the
-    shared folder) and return the sink as a batch DataFrame."""
+    shared folder) and return the sink as a batch DataFrame. State partitions
+    default to twice the cluster's parallelism."""
     out = scratch_dir(spark, f"{name}-out")
     ck = scratch_dir(spark, f"{name}-ckpt")
     w = stream.writeStream.format("parquet").option("checkpointLocation", ck).outputMode(output_mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.trigger(availableNow=True).start(out)
+    parts = state_partitions or 2 * spark.sparkContext.defaultParallelism
+    q = start_with_state_partitions(w.trigger(availableNow=True), out, spark, parts)
     q.awaitTermination()
     if q.exception():
         raise q.exception()
