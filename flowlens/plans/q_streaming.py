@@ -85,6 +85,6 @@ def a07_stream(spark, sf):
     ck = st.scratch_dir(spark, "plog-ckpt")
     w = (rec.writeStream.format("json").option("checkpointLocation", ck).partitionBy("log_date")
          .trigger(availableNow=True))
-    q = st.start_with_state_partitions(w, out, spark, 2 * spark.sparkContext.defaultParallelism)
+    q = st.start_with_state_partitions(w, out, spark, spark.sparkContext.defaultParallelism)
     q.awaitTermination()
     return spark.read.json(out)

@@ -137,13 +137,13 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, output_mod
                    partition_by: list[str] | None = None, state_partitions: int | None = None) -> DataFrame:
     """Run a stream with ``availableNow`` into a parquet sink (checkpointed in the
     shared folder) and return the sink as a batch DataFrame. State partitions
-    default to twice the cluster's parallelism."""
+    default to the cluster's parallelism."""
     out = scratch_dir(spark, f"{name}-out")
     ck = scratch_dir(spark, f"{name}-ckpt")
     w = stream.writeStream.format("parquet").option("checkpointLocation", ck).outputMode(output_mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    parts = state_partitions or 2 * spark.sparkContext.defaultParallelism
+    parts = state_partitions or spark.sparkContext.defaultParallelism
     q = start_with_state_partitions(w.trigger(availableNow=True), out, spark, parts)
     q.awaitTermination()
     if q.exception():
