@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import default_parallelism
 
 EVENTS_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
 
@@ -19,8 +20,12 @@ def spread_if_narrow(df: DataFrame) -> DataFrame:
     """Small inputs often arrive as one unsplittable file (one row group -> one
     task). When the scan has fewer splits than the cluster has cores, spread
     the rows once (round robin); large inputs with many splits are untouched."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    target = default_parallelism(df.sparkSession)
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (remote session): leave the scan as planned
+        return df
+    if splits < target:
         return df.repartition(target)
     return df
 

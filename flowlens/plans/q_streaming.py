@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flows as fl
+from ..session import default_parallelism
 from ..sources.eve import stream_eve_flows
 from ..streaming import stream as st
 from . import fixtures
@@ -85,6 +86,6 @@ def a07_stream(spark, sf):
     ck = st.scratch_dir(spark, "plog-ckpt")
     w = (rec.writeStream.format("json").option("checkpointLocation", ck).partitionBy("log_date")
          .trigger(availableNow=True))
-    q = st.start_with_state_partitions(w, out, spark, spark.sparkContext.defaultParallelism)
+    q = st.start_with_state_partitions(w, out, spark, default_parallelism(spark))
     q.awaitTermination()
     return spark.read.json(out)

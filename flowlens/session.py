@@ -47,7 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     always wins. Only when nothing is configured (local tests) a scratch
     folder is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) session: the server owns the folder
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -61,6 +64,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local
 
 
+def default_parallelism(spark: SparkSession) -> int:
+    """Cluster cores (classic sessions) or the shuffle-partition setting."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Apply the SQL defaults to an existing session (e.g. the driver's)."""
     for k, v in SESSION_DEFAULTS.items():

@@ -27,7 +27,7 @@ from ..functions.context import enrich_context, raw_event
 from ..functions.decision import decide
 from ..functions.text import attach_explanations
 from ..operators.repetition import repeat_key_expr
-from ..session import scratch_dir
+from ..session import default_parallelism, scratch_dir
 
 KEY_FIELDS = ["k_src", "k_dst", "k_proto", "k_class", "k_port"]
 STATE_SCHEMA = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType()))])
@@ -143,7 +143,7 @@ def run_to_parquet(stream: DataFrame, spark: SparkSession, name: str, output_mod
     w = stream.writeStream.format("parquet").option("checkpointLocation", ck).outputMode(output_mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    parts = state_partitions or spark.sparkContext.defaultParallelism
+    parts = state_partitions or default_parallelism(spark)
     q = start_with_state_partitions(w.trigger(availableNow=True), out, spark, parts)
     q.awaitTermination()
     if q.exception():
