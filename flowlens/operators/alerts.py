@@ -15,16 +15,24 @@ from ..functions.context import enrich_context, raw_event
 from ..functions.decision import decide
 from ..functions.text import attach_explanations
 from .repetition import attach_repetition
+from .views import rolling_throughput
 
 EVENT_COLUMNS = ["flow_id", "ts_unix", "src_ip", "src_port", "dest_ip", "dest_port", "proto",
                  "app_proto", "direction", "ae_score"]
 
 
 def decide_events(df: DataFrame, bands: dict | None = None, with_text: bool = True,
-                  bucket_s: int = 900) -> DataFrame:
-    """Events with ``ae_score`` -> all decision columns (flat)."""
+                  bucket_s: int = 900, with_throughput: bool = False) -> DataFrame:
+    """Events with ``ae_score`` -> all decision columns (flat).
+
+    ``with_throughput`` adds ``throughput_fps`` (F03, the rolling 10 s rate at
+    each event, as stamped on the raw event) at the cost of one more shuffle
+    (time buckets)."""
     extra = [c for c in df.columns if c not in EVENT_COLUMNS]
-    ev = raw_event(df.select(*EVENT_COLUMNS, *extra), bands)
+    ev = df.select(*EVENT_COLUMNS, *extra)
+    if with_throughput:
+        ev = rolling_throughput(ev)
+    ev = raw_event(ev, bands)
     ev = enrich_context(ev)
     ev = attach_repetition(ev, bucket_s=bucket_s)
     ev = decide(ev)

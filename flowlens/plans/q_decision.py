@@ -231,3 +231,26 @@ def d06(spark, sf):
 
 
 __all__ = ["fixed", "q"]
+
+
+@register("g13_alert_timing", with_layers(TXT, f"""
+, thr AS (
+  SELECT flow_id,
+    CASE WHEN n < 2 THEN 0.0 ELSE n / greatest(1e-6, ts_unix - first_ts) END AS throughput_fps
+  FROM (SELECT flow_id, ts_unix,
+          count(*) OVER (ORDER BY ts_unix RANGE BETWEEN {fixed.THROUGHPUT_WINDOW_S} PRECEDING AND CURRENT ROW)
+          - count(*) OVER (PARTITION BY ts_unix) + row_number() OVER (PARTITION BY ts_unix ORDER BY flow_id) AS n,
+          min(ts_unix) OVER (ORDER BY ts_unix RANGE BETWEEN {fixed.THROUGHPUT_WINDOW_S} PRECEDING AND CURRENT ROW)
+            AS first_ts
+        FROM flows) x)
+SELECT CAST(t5.flow_id AS VARCHAR) AS flow_id, CAST(t5.flow_id % 997 AS DOUBLE) / CAST(10.0 AS DOUBLE) AS infer_ms,
+       CAST(t5.flow_id % 997 AS DOUBLE) / CAST(10.0 AS DOUBLE) + CAST(0.3 AS DOUBLE) AS total_ms,
+       thr.throughput_fps, t5.final_label
+FROM t5 JOIN thr ON thr.flow_id = t5.flow_id"""))
+def g13_timing(spark, sf):
+    """G13 timing section (infer, total latency and rolling throughput) of the
+    record built from the prediction log."""
+    from ..operators.alerts import decide_events
+    rec = assemble_alert(decide_events(fixtures.prediction_log(spark, sf), with_throughput=True))
+    return rec.select("flow_id", F.col("timing.infer_ms").alias("infer_ms"), F.col("timing.total_ms").alias("total_ms"),
+                      F.col("timing.throughput_fps").alias("throughput_fps"), "final_label")
