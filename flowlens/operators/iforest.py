@@ -1,9 +1,10 @@
 """Isolation forest grown and applied on Spark.
 
 Sampling (M05): every tree needs ``min(256, n)`` rows drawn without
-replacement. Each row gets one hash per tree; a Bernoulli pre-filter keeps a
-row for a tree when its hash falls below 4 x 256 / n (so only ~1,000 rows per
-tree leave the scan), and the 256 smallest hashes per tree are the sample. The
+replacement. A seeded Bernoulli pre-sample first keeps about 4 x trees x 256
+rows of the input; within it each row gets one hash per tree, a filter keeps a
+row for a tree when its hash falls below 4 x 256 / (pre-sample size) (about
+1,000 rows per tree), and the 256 smallest hashes per tree are the sample. The
 per-tree groups are therefore bounded, and ``groupBy(tree).applyInPandas``
 grows each tree in its own task. The node table (trees x at most 2^(depth+1)
 nodes) is the model; scoring broadcasts it and computes path lengths in an
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from ..session import ensure_checkpoint_dir
 from .ranking import quantile_linear
 
 EULER_GAMMA = 0.5772156649015329
@@ -75,7 +77,14 @@ def train_isolation_forest(df: DataFrame, features: list[str], key_col: str, n_t
     if psi == 0:
         raise ValueError("no rows")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    frac = min(1.0, oversample * psi / n)
+    # Stage 1 (JVM, one random number per row): a seeded Bernoulli pre-sample of
+    # about oversample x trees x psi rows, so the per-tree hashing below never
+    # touches the full input. A uniform subset of a uniform subset is uniform.
+    p0 = min(1.0, oversample * n_trees * psi / n)
+    if p0 < 1.0:
+        df = df.sample(withReplacement=False, fraction=p0, seed=seed)
+    n_base = max(1.0, p0 * n)
+    frac = min(1.0, oversample * psi / n_base)
     # uniform [0, 1) per (row, tree) from a 64-bit hash
     u = lambda t: (F.pmod(F.xxhash64(F.col(key_col), t, F.lit(seed)), F.lit(1 << 53))
                    .cast("double") / F.lit(float(1 << 53)))
@@ -147,6 +156,10 @@ def fit_offset(scored_train: DataFrame, score_col: str = "if_score", contaminati
     """offset = contamination percentile of the training ``score_samples``
     (= -s(x)), exact via the rank helper."""
     neg = scored_train.select((-F.col(score_col)).alias("_ss"))
+    # one double column, written once: the range sampling and the range
+    # shuffle then read it instead of re-running the scoring UDF twice
+    ensure_checkpoint_dir(neg.sparkSession)
+    neg = neg.checkpoint(eager=True)
     return quantile_linear(neg, "_ss", contamination)
 
 
