@@ -41,7 +41,7 @@ def parse_zeek_lines(lines: DataFrame, value_col: str = "value", file_col: str =
     """Lines with their source file -> typed rows (all layouts, union by name).
 
     ``header_shift=1`` reproduces a reader that keeps the ``#fields`` token as
-    column 0 (every value one column to the right); tests only.
+    column 0, so every name reads the value one column to its right; tests only.
     """
     v = F.col(value_col)
     heads = (lines.filter(v.startswith("#fields") | v.startswith("#types"))
@@ -65,8 +65,8 @@ def parse_zeek_lines(lines: DataFrame, value_col: str = "value", file_col: str =
         part = rows.filter(F.col("_fields") == lay["_fields"]).withColumn("_parts", F.split(v, "\t"))
         cols = []
         for i, name in enumerate(names):
-            raw = F.try_element_at(F.col("_parts"), F.lit(i + 1 - header_shift)) if i - header_shift >= 0 \
-                else F.lit(None).cast("string")
+            # with the token kept, name i reads the value of field i + shift
+            raw = F.try_element_at(F.col("_parts"), F.lit(i + 1 + header_shift))
             cols.append(_typed(raw, types[i] if i < len(types) else "string").alias(name))
         part = part.select(F.col(file_col).alias("_file"), *cols)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
