@@ -59,7 +59,9 @@ def repetition_state_fn(window_s: float = fixed.REPEAT_WINDOW_S, cap: int = fixe
                 times = times[-cap:]
             cur_out[i] = len(times)
         state.update(([float(t) for t in times],))
-        state.setTimeoutTimestamp(int((max(times) + float(window_s)) * 1000) + 1)
+        # expire 45 s after the newest time, never before the current watermark
+        expire_ms = int((max(times) + float(window_s)) * 1000) + 1
+        state.setTimeoutTimestamp(max(expire_ms, state.getCurrentWatermarkMs() + 1))
         out = pdf.copy()
         out["repeat_previous_count"] = prev_out
         out["repeat_count"] = cur_out

@@ -96,3 +96,23 @@ def test_stream_matches_batch_across_microbatches(spark, tmp_path):
     batch = attach_repetition(enrich_context(raw_event(spark.createDataFrame(rows, cols))))
     exp = {r["flow_id"]: r["repeat_previous_count"] for r in batch.collect()}
     assert got == exp
+
+
+def test_stream_late_replay_keeps_rows(spark, tmp_path):
+    """A replay behind the watermark is counted in arrival order and does not fail
+    the state timeout (clamped to the watermark)."""
+    from flowlens.functions.context import enrich_context, raw_event
+    from flowlens.streaming.stream import attach_repetition_stream
+    cols = "flow_id long, ts_unix double, src_ip string, src_port int, dest_ip string, dest_port int, proto string, " \
+           "app_proto string, direction string, ae_score double"
+    rows = [(i, 1000.0 + i * 30.0, "192.168.1.10", 5000, "8.8.8.8", 4444, "TCP", "", "", 9.0) for i in range(20)]
+    src = tmp_path / "in"
+    spark.createDataFrame(rows, cols).coalesce(1).write.parquet(str(src))
+    spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).option("maxFilesPerTrigger", 1) \
+        .parquet(str(src))
+    rep = attach_repetition_stream(enrich_context(raw_event(stream)))
+    q = (rep.select("flow_id", "repeat_previous_count").writeStream.format("parquet")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
