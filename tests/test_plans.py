@@ -36,3 +36,19 @@ def test_entry_and_registry(spark):
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
     assert len(qs) >= 90
+
+
+def test_alert_record_sections(spark):
+    """The nested record carries the reference's sections; with the
+    throughput option the timing section holds the rolling rate."""
+    from flowlens.operators.alerts import assemble_alert, decide_events
+    rec = assemble_alert(decide_events(fixtures.prediction_log(spark, SF), with_throughput=True))
+    fields = {f.name: f for f in rec.schema.fields}
+    for name in ("ts_unix", "flow_id", "raw_severity", "raw_model_flag", "traffic_class", "context_tags",
+                 "repetition_key", "final_label", "summary", "explanation", "timing", "model", "debug"):
+        assert name in fields, name
+    timing = [f.name for f in fields["timing"].dataType.fields]
+    assert timing == ["infer_ms", "total_ms", "throughput_fps"]
+    row = rec.orderBy("ts_unix").collect()[-1]
+    assert row["timing"]["throughput_fps"] > 0 and row["model"]["bands"]["crit"] == 8.0
+    assert row["display_label"] == row["final_label"] and row["severity"] == row["final_severity"]
