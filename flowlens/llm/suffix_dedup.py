@@ -380,14 +380,30 @@ def _merge_runs(lo: np.ndarray, hi: np.ndarray):
 _BYTES = StructType([StructField("start", LongType()), StructField("end", LongType())])
 
 
+def _character_runs(raw: bytes, lo: list[int], hi: list[int]):
+    """The runs without the characters that they cover in part."""
+    runs = []
+    for a, b in zip(lo, hi):
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        if b < len(raw):
+            while a < b and raw[b] & 0xC0 == 0x80:
+                b -= 1
+        if a < b:
+            runs.append((a, b))
+    return [a for a, _ in runs], [b for _, b in runs]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD, gram: int = GRAM, text: str = "text",
-                   key: str = "doc_id") -> DataFrame:
+                   key: str = "doc_id", characters: bool = False) -> DataFrame:
     """``docs`` without its text plus ``n_bytes, n_removed, spans`` (maximal removed
     byte ranges ``start, end``), ``kept`` (the remaining bytes) and ``kept_sha256``.
 
     Strings of ``length`` bytes that start at two places (of one document or of
     two) are removed at all of them; nothing spans documents. Null text is
-    empty, shorter texts keep all; repeated rows are copies of each other.
+    empty, shorter texts keep all; repeated rows are copies of each other. With
+    ``characters`` a character that is covered in part stays, so that what is
+    kept is UTF-8 again.
     ``gram <= spread <= length - gram``.
     """
     if not 0 < gram <= spread <= length - gram:
@@ -426,6 +442,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, spread: int = SPREAD,
                     lo = s.values.field("lo").to_numpy().astype(np.int64)
                     lo, hi = _merge_runs(lo, lo + s.values.field("n").to_numpy() - 1 + length)
                     lo, hi = lo.tolist(), hi.tolist()
+                    if characters:
+                        lo, hi = _character_runs(raw, lo, hi)
                     rest = b"".join(raw[a:b] for a, b in zip([0, *hi], [*lo, len(raw)]))
                     rows.append((len(raw), len(raw) - len(rest), [{"start": a, "end": b} for a, b in zip(lo, hi)],
                                  rest, hashlib.sha256(rest).hexdigest()))
