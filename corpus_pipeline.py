@@ -59,8 +59,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     prepare(spark)
-    return packing.packed(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"),
-                                       "sequence_id", "offset")
+    cut = staged(packing.pieces(docs), "pieces").withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(cut.drop("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
+                                                "offset")
 
 
 STAGES = [

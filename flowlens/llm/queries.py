@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm import (decontaminate, licenses, near_dedup, packing, quality_rules, sharding, suffix_dedup,
                           token_counts, token_store, toxicity)
-from flowlens.llm.common import documents
+from flowlens.llm.common import documents, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = packing.packed(documents(spark, sf_dir))
-    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    # the ids stay in the written pieces; their checksum is what travels
+    cut = staged(packing.pieces(documents(spark, sf_dir)), "pieces").withColumn("ids_crc32", F.crc32("ids"))
+    return packing.pack(cut.drop("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id",
+                                                "offset")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

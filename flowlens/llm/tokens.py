@@ -24,8 +24,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-#: cuts remembered per worker process (a bound on memory, not on results)
-MEMO = 500_000
+#: cuts remembered per worker process (bounds on memory, not on results)
+MEMO, COUNTED = 1_200_000, 500_000
 #: a longer cut is not remembered
 MEMO_CHARS = 64
 _MIXED_SPACE = re.compile(r"\s | \s")
@@ -93,9 +93,9 @@ class Encoder:
                     else:
                         alone.append(p)
         memo.update(zip(alone, self._library([" " + p for p in alone])))
-        for i in range(0, len(joined), 256):
+        for i in range(0, len(joined), 64):
             # a line feed between two cuts is a piece, and an id, of its own
-            some = joined[i:i + 256]
+            some = joined[i:i + 64]
             ids = np.frombuffer(self._library(["\n ".join(["", *some])])[0], dtype="<u4")
             at = np.flatnonzero(ids == self.line_feed)
             if len(at) != len(some):
@@ -237,7 +237,7 @@ class PrefixBPE:
             v = known.get(pre)
             if v is None:
                 self._step(data, i, count, last)
-                if len(known) > MEMO:
+                if len(known) > COUNTED:
                     known.clear()
                 known[pre] = count[i] << 20 | last[i]
             else:
@@ -305,7 +305,7 @@ class PrefixBPE:
                     return np.asarray(self.general(text), dtype="<i4")
                 c = array("H", self.general(" " + p)[1:]).tobytes()
                 if len(p) <= MEMO_CHARS:
-                    if len(memo) >= MEMO:
+                    if len(memo) >= COUNTED:
                         memo.clear()
                     memo[p] = c
             got.append(c)
