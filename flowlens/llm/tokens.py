@@ -1,10 +1,10 @@
 """Tokenizer access inside tasks.
 
 ``Encoder`` gives the ids of whole texts by the ``tokenizers`` library. With a
-byte-level pre-tokenizer a single space between two non-space characters always
-starts a new piece, so a text is cut at such spaces and each distinct cut is
-encoded once per worker process; a text holding any other run of white space
-is encoded whole.
+byte-level pre-tokenizer a single space or line feed between two non-space
+characters always starts a new piece, so a text is cut there and each distinct
+cut is encoded once per worker process; a text holding any other run of white
+space at a cut is encoded whole.
 
 ``PrefixBPE`` computes, for the same vocabulary, the token count of *every*
 prefix by dynamic programming: the last token of a prefix is the one token
@@ -56,11 +56,15 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.cuts = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel"
                      and pre.get("use_regex") is True and not pre.get("add_prefix_space")
+                     and len(self.lib.encode("\n", add_special_tokens=False).ids) == 1
                      and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"]
                                  for t in spec.get("added_tokens", [])))
         self.vocab_size = self.lib.get_vocab_size(with_added_tokens=True)
         added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
-        self.odd = re.compile("|".join([r"^$", r"^\s", r"\s$", r"\n", *added])).search
+        self.special = re.compile("|".join(added) or r"(?!)").search
+        spaced = r"^\n?\Z|^[^\S\n]|^\n\s|\s\Z"
+        self.spaced = re.compile(spaced).search
+        self.odd = re.compile("|".join([spaced, *added])).search
         feed = self.lib.encode("\n", add_special_tokens=False).ids
         self.line_feed = feed[0] if len(feed) == 1 else -1
         self.memo: dict[str, bytes | None] = {}
@@ -75,46 +79,53 @@ class Encoder:
         if not self.cuts:
             return self._library(texts)
         out: list[bytes] = []
-        for i in range(0, len(texts), 200):
-            out.extend(self._cut(texts[i:i + 200]))
+        for i in range(0, len(texts), 400):
+            out.extend(self._cut(texts[i:i + 400]))
         return out
 
     def _new(self, cuts: list[str]) -> None:
-        """Remember the ids of " " + cut; None where the cut has white space at
-        an end (or nothing), so that its text is encoded whole."""
+        """Remember the ids of each cut with what it is cut off by: the line feed
+        it starts with, or else a space. None where white space at an end makes
+        the pieces depend on the neighbours: such a text is encoded whole."""
         memo, odd = self.memo, self.odd
-        joined = [p for p in cuts if not odd(p)]
-        alone = []
-        if len(joined) < len(cuts):
-            for p in cuts:
-                if odd(p):
-                    if not p or p[0].isspace() or p[-1].isspace():
-                        memo[p] = None
-                    else:
-                        alone.append(p)
-        memo.update(zip(alone, self._library([" " + p for p in alone])))
-        for i in range(0, len(joined), 64):
-            # a line feed between two cuts is a piece, and an id, of its own
-            some = joined[i:i + 64]
-            ids = np.frombuffer(self._library(["\n ".join(["", *some])])[0], dtype="<u4")
-            at = np.flatnonzero(ids == self.line_feed)
-            if len(at) != len(some):
-                memo.update(zip(some, self._library([" " + p for p in some])))
-                continue
-            raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-            memo.update(zip(some, [raw[a:b] for a, b in zip((at * 4 + 4).tolist(), ends)]))
+        alone = [p for p in cuts if odd(p)]
+        if alone:
+            rest = set(alone)
+            cuts = [p for p in cuts if p not in rest]
+            memo.update((p, None) for p in alone if not self.special(p))
+            alone = [p for p in alone if self.special(p)]
+            for p, ids in zip(alone, self._library([p if p[0] == "\n" else " " + p for p in alone])):
+                memo[p] = ids if not self.spaced(p) else None
+        # several cuts in one call: the line feed between them is an id of its own
+        lines = [p for p in cuts if p[0] == "\n"]
+        for some, glue, skip in ((lines, "", 0), ([p for p in cuts if p[0] != "\n"], "\n ", 4)):
+            for i in range(0, len(some), 64):
+                part = some[i:i + 64]
+                ids = np.frombuffer(self._library([glue + glue.join(part)])[0], dtype="<u4")
+                at = np.flatnonzero(ids == self.line_feed) * 4
+                if len(at) != len(part):
+                    memo.update(zip(part, self._library([p if not skip else " " + p for p in part])))
+                    continue
+                raw, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
+                memo.update(zip(part, [raw[a:b] for a, b in zip((at + skip).tolist(), ends)]))
 
     def _cut(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
+        parts = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
-        seen: set[str] = set()
-        for p in parts:
-            seen.update(p)
-        new = [p for p in seen if p not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, list(seen)
-        self._new(new)
-        get, out, whole = self.memo.__getitem__, [], []
+        seen: set[str] = set().union(*parts)
+        known = self.memo.get
+        here = {p: known(p, 0) for p in seen}  # small, so quicker to look up than all that is remembered
+        new = [p for p, ids in here.items() if ids == 0]
+        if new:
+            if len(self.memo) + len(new) > MEMO:
+                self.memo = {}
+            self._new(new)
+            memo = self.memo
+            here.update((p, memo[p]) for p in new)
+            for p in new:
+                if len(p) > MEMO_CHARS:
+                    del memo[p]
+        get, out, whole = here.__getitem__, [], []
         for i, (p, head, first) in enumerate(zip(parts, heads, self._library(heads))):
             try:
                 ids = first + b"".join(map(get, p))
@@ -126,9 +137,6 @@ class Encoder:
             out.append(ids)
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del self.memo[p]
         return out
 
 
