@@ -6,12 +6,14 @@ sets form one class. A class has ``TREES * ROOT`` minhash values. Each of the
 those values, a different selection per tree. Classes that share at least
 ``ROOT`` leading values with a neighbour are candidates:
 
-1. neighbours in the sorted orders are confirmed on full shingle sets and
-   joined into components;
-2. what shares a region (equal leading values) but is still in different
-   components is compared pairwise by signature, and what may reach the
-   threshold is confirmed on full sets. The depth of a region adapts: where more
-   than ``REGION`` classes share ``ROOT`` values, it is split by further values.
+1. classes with such a neighbour, in either direction of an order, are grouped by
+   region (equal leading values). The depth of a region adapts: where more than
+   ``REGION`` classes share ``ROOT`` values, it is split by further values.
+2. In a region, each class is compared by signature with those of other
+   components; the partners that agree best are confirmed on full shingle sets
+   and joined into components. Rounds with more partners follow, and a last one
+   with all, until none is left untold: large groups grow together from their
+   best links, and pairs inside a component need no confirmation.
 
 A pair of Jaccard similarity s misses all trees at the root depth with
 probability ``(1 - s**ROOT) ** TREES``: 5e-6 at 0.75.
@@ -37,9 +39,11 @@ TREES = 32
 ROOT, DEPTH = 4, 8
 #: classes of one region that are compared pairwise
 REGION = 512
-#: signature agreement from which a pair is confirmed: 5 standard deviations
+#: signature agreement from which a pair is confirmed: 4 standard deviations
 #: under the threshold
-LIKELY = 0.55
+LIKELY = 0.6
+#: partners of a class and region that are confirmed in each round; all in the last
+PARTNERS = (1, 16, None)
 
 _RNG = np.random.default_rng(75)
 _XOR = _RNG.integers(0, 2**63, TREES * ROOT, dtype=np.uint64)
@@ -119,11 +123,11 @@ def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
 
 
 _ROW = StructType([StructField("tree", IntegerType()), StructField("label", BinaryType()),
-                   StructField("digest", BinaryType()), StructField("n", LongType())])
+                   StructField("digest", BinaryType())])
 
 
 def _forest_rows(classes: DataFrame) -> DataFrame:
-    """Each class once per tree: ``tree, label, digest, n``."""
+    """Each class once per tree: ``tree, label, digest``."""
     picks = [np.array(label_values(t)) for t in range(TREES)]
 
     def run(batches):
@@ -132,19 +136,19 @@ def _forest_rows(classes: DataFrame) -> DataFrame:
                 part = batch.slice(i, 500)
                 if not part.num_rows:
                     continue
-                sig = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=">u2").reshape(part.num_rows, -1)
+                sig = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=">u2").reshape(part.num_rows, -1)
                 for t, pick in enumerate(picks):
                     raw = np.ascontiguousarray(sig[:, pick]).tobytes()
                     labels = [raw[k:k + 2 * DEPTH] for k in range(0, len(raw), 2 * DEPTH)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([t] * part.num_rows, pa.int32()), pa.array(labels, pa.binary()),
-                         part.column(0).cast(pa.binary()), part.column(1)], names=_ROW.names)
+                         part.column(0)], names=_ROW.names)
 
-    return classes.select("digest", "n", "signature").mapInArrow(run, _ROW)
+    return classes.select("digest", "signature").mapInArrow(run, _ROW)
 
 
 _NEAR = StructType([StructField("kind", IntegerType()), *_ROW.fields, StructField("other", BinaryType()),
-                    StructField("other_n", LongType())])
+                    StructField("other_label", BinaryType())])
 _PAIR, _EDGE = 0, 1
 
 
@@ -153,16 +157,16 @@ def _neighbours(batches):
     first and last row, whose other neighbour is in another partition."""
     prev = first = None
     for batch in batches:
-        tree, label, digest, n = (batch.column(k).to_pylist() for k in range(4))
+        tree, label, digest = (batch.column(k).to_pylist() for k in range(3))
         if not tree:
             continue
         out = []
         if first is None:
-            first = (tree[0], label[0], digest[0], n[0])
+            first = (tree[0], label[0], digest[0])
             out.append((_EDGE, *first, None, None))
-        for row in zip(tree, label, digest, n):
+        for row in zip(tree, label, digest):
             if prev is not None and prev[0] == row[0] and prev[1][:2 * ROOT] == row[1][:2 * ROOT]:
-                out.append((_PAIR, *row, prev[2], prev[3]))
+                out.append((_PAIR, *row, prev[2], prev[1]))
             prev = row
         if out:
             yield _near_batch(out)
@@ -171,31 +175,24 @@ def _neighbours(batches):
 
 
 def _near_batch(rows):
-    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_NEAR.names)
 
 
 def _neighbour_rows(classes: DataFrame) -> DataFrame:
-    """Neighbouring classes of all sorted orders: ``tree, label, digest, n, other,
-    other_n`` where at least the root values agree."""
+    """Neighbouring classes of all sorted orders: ``tree, label, digest, other,
+    other_label`` where at least the root values agree."""
     rows = _forest_rows(classes)
     shuffled = rows.repartitionByRange("tree", "label", "digest").sortWithinPartitions("tree", "label", "digest")
     near = staged(shuffled.mapInArrow(_neighbours, _NEAR), "forest")
     # two rows per partition meet again by region, to be joined over the border
     region = Window.partitionBy("tree", F.substring("label", 1, 2 * ROOT)).orderBy("label", "digest")
     border = (near.where(F.col("kind") == _EDGE).dropDuplicates(["tree", "label", "digest"])
-              .withColumn("other", F.lag("digest").over(region)).withColumn("other_n", F.lag("n").over(region))
+              .withColumn("other", F.lag("digest").over(region)).withColumn("other_label", F.lag("label").over(region))
               .where(F.col("other").isNotNull()))
     return near.where(F.col("kind") == _PAIR).unionByName(border).drop("kind")
 
 
-def _pairs(near: DataFrame, percent: int) -> DataFrame:
-    """Distinct unordered pairs whose set sizes allow the similarity."""
-    fits = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n"))
-    return (near.where(fits & (F.col("digest") != F.col("other")))
-            .select(F.least("digest", "other").alias("u"), F.greatest("digest", "other").alias("v")).distinct())
-
-
 _SET = StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])
 
 
@@ -260,51 +257,57 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _crossing(near: DataFrame, classes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a region but not a component and agree in enough of their
-    signatures. Regions of more than ``REGION`` classes go deeper until they are
-    small enough; equal labels are dealt into groups of about that size."""
-    mates = near.select("tree", "label", "digest").unionByName(
-        near.select("tree", "label", F.col("other").alias("digest"))).drop("label")
-    sig = classes.select("digest", "n", "signature")
-    mates = mates.distinct().join(sig, "digest")
-    mates = mates.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-        "root", F.coalesce("root", "digest"))
-    picks = F.array(*[F.array(*[F.lit(v) for v in label_values(t)]) for t in range(TREES)])
-    at = F.element_at(picks, F.col("tree") + 1)
-    values = [F.substring(F.col("signature"), F.element_at(at, d + 1) * 2 + 1, F.lit(2)) for d in range(DEPTH)]
-    mates = staged(mates.withColumn("label", F.concat(*values)), "mates")
-    region = F.substring("label", 1, 2 * ROOT)
-    mixed = mates.groupBy("tree", region.alias("r")).agg(
-        F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo != _hi").select("tree", "r")
-    open_ = mates.join(mixed, (mates["tree"] == mixed["tree"]) & (region == mixed["r"]), "left_semi")
+def _regions(near: DataFrame) -> DataFrame:
+    """``tree, region, deal, digest``: the classes with a neighbour, by region.
+    Regions of more than ``REGION`` classes go deeper until they are small enough;
+    equal labels are dealt into groups of about that size."""
+    rows = near.select("tree", "label", "digest").unionByName(
+        near.select("tree", F.col("other_label").alias("label"), F.col("other").alias("digest"))).distinct()
     for d in range(ROOT, DEPTH + 1):
         pre = F.substring("label", 1, 2 * d)
-        size = open_.groupBy("tree", pre.alias("_p")).agg(F.count("*").alias(f"_n{d}")).where(
+        size = rows.groupBy("tree", pre.alias("_p")).agg(F.count("*").alias(f"_n{d}")).where(
             F.col(f"_n{d}") > REGION).withColumnRenamed("tree", "_t")
-        open_ = open_.join(size, (F.col("tree") == F.col("_t")) & (pre == F.col("_p")), "left").drop("_t", "_p")
-    depth, deal = F.lit(DEPTH), F.pmod(F.xxhash64("digest"), F.floor(F.col(f"_n{DEPTH}") / REGION) + 1)
+        rows = rows.join(size, (F.col("tree") == F.col("_t")) & (pre == F.col("_p")), "left").drop("_t", "_p")
+    depth, last = F.lit(DEPTH), F.col(f"_n{DEPTH}")
     for d in range(DEPTH - 1, ROOT - 1, -1):
         depth = F.when(F.col(f"_n{d}").isNull(), F.lit(d)).otherwise(depth)
-    groups = open_.select(
-        F.col("tree"), F.substring(F.col("label"), F.lit(1), 2 * depth).alias("region"),
-        F.when(F.col(f"_n{DEPTH}").isNotNull(), deal).otherwise(F.lit(0)).alias("deal"),
-        "label", "digest", "root", "n", "signature")
+    deal = F.when(last.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("digest"), F.floor(last / REGION) + 1))
+    return rows.select("tree", F.substring(F.col("label"), F.lit(1), 2 * depth).alias("region"),
+                       deal.cast("int").alias("deal"), "digest")
+
+
+def _likely(regions: DataFrame, classes: DataFrame, parts: DataFrame | None, percent: int,
+            most: int | None) -> DataFrame:
+    """``u, v, more``: per class and region the ``most`` partners (None: all) whose
+    signatures agree best, at least by ``LIKELY``, of those in other components;
+    ``more`` where there were others."""
+    keys = ["tree", "region", "deal"]
+    rows = regions.withColumn("root", F.col("digest"))
+    if parts is not None:
+        rows = regions.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
+            "root", F.coalesce("root", "digest"))
+        mixed = rows.groupBy(*keys).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(
+            "_lo != _hi").select(*keys)
+        rows = rows.join(mixed, keys, "left_semi")
+    rows = rows.join(classes.select("digest", "n", "signature"), "digest")
 
     def compare(table: pa.Table) -> pa.Table:
-        digest, root, n = table["digest"].to_pylist(), table["root"].to_pylist(), table["n"].to_numpy()
+        digest, n = table["digest"].to_pylist(), table["n"].to_numpy()
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=">u2").reshape(len(digest), -1)
-        _, part = np.unique(np.array([r.hex() for r in root]), return_inverse=True)
-        u, v = [], []
-        for i in range(1, len(digest)):
-            j = np.flatnonzero((part[:i] != part[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= LIKELY] if len(j) else j
-            u += [digest[i]] * len(j)
-            v += [digest[k] for k in j]
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
-
-    found = groups.groupBy("tree", "region", "deal").applyInArrow(compare, "u binary, v binary")
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        _, part = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
+        u, v, more = [], [], []
+        for i in range(len(digest)):
+            j = np.flatnonzero((part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            same = (sig[j] == sig[i]).mean(axis=1)
+            j, same = j[same >= LIKELY], same[same >= LIKELY]
+            best = j[np.argsort(-same, kind="stable")][:most]
+            u += [digest[i]] * len(best)
+            v += [digest[k] for k in best]
+            more += [len(best) < len(j)] * len(best)
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "more": pa.array(more, pa.bool_())})
+
+    found = rows.groupBy(*keys).applyInArrow(compare, "u binary, v binary, more boolean")
+    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -320,13 +323,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     classes = staged(own.where(F.col("digest").isNotNull()).groupBy("digest")
                      .agg(F.min("doc_id").alias("member"), F.max("n_shingles").alias("n"),
                           F.min("signature").alias("signature")), "classes")
-    near = staged(_neighbour_rows(classes), "neighbours")
-    pairs = staged(_pairs(near, percent), "pairs")
-    links = staged(_confirm(docs, classes, pairs, percent, text, key), "links")
-    parts = components(links)
-    more = staged(_crossing(near, classes, parts, percent).join(pairs, ["u", "v"], "left_anti"), "crossing")
-    links = links.unionByName(staged(_confirm(docs, classes, more, percent, text, key), "more-links"))
-    parts = components(links)
+    regions = staged(_regions(_neighbour_rows(classes)), "regions")
+    wanted = classes.select("digest", "member").join(regions.select("digest"), "digest", "left_semi")
+    sets = staged(full_sets(docs, wanted, text, key), "sets")
+    links = parts = told = None
+    for most in PARTNERS:
+        likely = staged(_likely(regions, classes, parts, percent, most), "likely")
+        new = likely.select("u", "v")
+        if told is not None:
+            new = staged(new.join(told, ["u", "v"], "left_anti"), "untold")
+        found = staged(confirmed(new, sets, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        told = new if told is None else told.unionByName(new)
+        parts = components(links)
+        if not likely.where("more").limit(1).count():
+            break
     joined = classes.select("digest", "member").join(
         parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = joined.groupBy("root").agg(F.min("member").alias("component_id"))
@@ -335,10 +346,3 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _confirm(docs, classes, pairs, percent, text, key):
-    ends = pairs.select(F.col("u").alias("digest")).unionByName(pairs.select(F.col("v").alias("digest"))).distinct()
-    wanted = classes.select("digest", "member").join(ends, "digest", "left_semi")
-    sets = staged(full_sets(docs, wanted, text, key), "sets")
-    return confirmed(pairs, sets, percent)
