@@ -9,11 +9,12 @@ those values, a different selection per tree. Classes that share at least
 1. classes with such a neighbour, in either direction of an order, are grouped by
    region (equal leading values). The depth of a region adapts: where more than
    ``REGION`` classes share ``ROOT`` values, it is split by further values.
-2. In a region, each class is compared by signature with those of other
-   components; the partners that agree best are confirmed on full shingle sets
-   and joined into components. Rounds with more partners follow, and a last one
-   with all, until none is left untold: large groups grow together from their
-   best links, and pairs inside a component need no confirmation.
+2. In a region, each class and the one whose signature agrees best are confirmed
+   on full shingle sets and joined into components.
+3. Where a region still holds several components, every likely pair across them
+   is compared on 32-bit shingle sets inside the region's task, and the pairs
+   that link components are confirmed on full sets. Pairs inside a component
+   need no confirmation, so no more than a spanning set is ever told.
 
 A pair of Jaccard similarity s misses all trees at the root depth with
 probability ``(1 - s**ROOT) ** TREES``: 5e-6 at 0.75.
@@ -42,8 +43,6 @@ REGION = 512
 #: signature agreement from which a pair is confirmed: 4 standard deviations
 #: under the threshold
 LIKELY = 0.6
-#: partners of a class and region that are confirmed in each round; all in the last
-PARTNERS = (1, 16, None)
 
 _RNG = np.random.default_rng(75)
 _XOR = _RNG.integers(0, 2**63, TREES * ROOT, dtype=np.uint64)
@@ -193,12 +192,14 @@ def _neighbour_rows(classes: DataFrame) -> DataFrame:
     return near.where(F.col("kind") == _PAIR).unionByName(border).drop("kind")
 
 
-_SET = StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])
+_SET = StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType()),
+                   StructField("short", BinaryType())])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``digest, shingles`` of the classes in ``wanted`` (``digest, member``), made
-    anew from the text of one member document each."""
+    """``digest, shingles, short`` of the classes in ``wanted`` (``digest, member``),
+    made anew from the text of one member document each; ``short`` has 32 bits of
+    each hash."""
     src = docs.select(F.col(key).alias("_key"), text_of(docs, text).alias("_text"))
     mine = src.join(wanted.select(F.col("member").alias("_m")), src["_key"].eqNullSafe(F.col("_m")), "left_semi")
 
@@ -208,7 +209,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", key: str =
                 sets = [s for s in shingle_sets(batch.slice(i, 250).column(1)) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_digest(s) for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary())], names=_SET.names)
+                     pa.array([s.tobytes() for s in sets], pa.binary()),
+                     pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary())],
+                    names=_SET.names)
 
     made = mine.mapInArrow(run, _SET)
     return made.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
@@ -276,38 +279,74 @@ def _regions(near: DataFrame) -> DataFrame:
                        deal.cast("int").alias("deal"), "digest")
 
 
-def _likely(regions: DataFrame, classes: DataFrame, parts: DataFrame | None, percent: int,
-            most: int | None) -> DataFrame:
-    """``u, v, more``: per class and region the ``most`` partners (None: all) whose
-    signatures agree best, at least by ``LIKELY``, of those in other components;
-    ``more`` where there were others."""
-    keys = ["tree", "region", "deal"]
-    rows = regions.withColumn("root", F.col("digest"))
-    if parts is not None:
-        rows = regions.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
-            "root", F.coalesce("root", "digest"))
-        mixed = rows.groupBy(*keys).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(
-            "_lo != _hi").select(*keys)
-        rows = rows.join(mixed, keys, "left_semi")
-    rows = rows.join(classes.select("digest", "n", "signature"), "digest")
+_REGION_KEYS = ["tree", "region", "deal"]
+
+
+def _likely(regions: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: for each class and region the partner whose signature agrees best,
+    if by at least ``LIKELY``."""
+    rows = regions.join(classes.select("digest", "n", "signature"), "digest")
+
+    def best(table: pa.Table) -> pa.Table:
+        digest, n = table["digest"].to_pylist(), table["n"].to_numpy()
+        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=">u2").reshape(len(digest), -1)
+        u, v = [], []
+        for i in range(len(digest)):
+            same = (sig == sig[i]).mean(axis=1)
+            same[(100 * np.minimum(n, n[i]) < percent * np.maximum(n, n[i])) | (np.arange(len(n)) == i)] = 0
+            j = int(np.argmax(same))
+            if same[j] >= LIKELY:
+                u.append(digest[i])
+                v.append(digest[j])
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    found = rows.groupBy(*_REGION_KEYS).applyInArrow(best, "u binary, v binary")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _remaining(regions: DataFrame, classes: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: links between components. In each region that holds several
+    components, every pair across them with likely signatures is compared on
+    32-bit shingle sets, best agreement first; a pair that links for certain
+    joins its components for the rest of the region, so what comes out are links
+    that span, and the few that are too close to call."""
+    rows = regions.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
+        "root", F.coalesce("root", "digest"))
+    mixed = rows.groupBy(*_REGION_KEYS).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(
+        "_lo != _hi").select(*_REGION_KEYS)
+    rows = staged(rows.join(mixed, _REGION_KEYS, "left_semi"), "mixed-regions")
+    rows = rows.join(classes.select("digest", "n", "signature"), "digest").join(
+        sets.select("digest", "short"), "digest")
 
     def compare(table: pa.Table) -> pa.Table:
         digest, n = table["digest"].to_pylist(), table["n"].to_numpy()
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=">u2").reshape(len(digest), -1)
+        short = [np.frombuffer(x, dtype="<u4") for x in table["short"].to_pylist()]
         _, part = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
-        u, v, more = [], [], []
-        for i in range(len(digest)):
-            j = np.flatnonzero((part != part[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+        u, v = [], []
+        for i in range(1, len(digest)):
+            j = np.flatnonzero((part[:i] != part[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
             same = (sig[j] == sig[i]).mean(axis=1)
-            j, same = j[same >= LIKELY], same[same >= LIKELY]
-            best = j[np.argsort(-same, kind="stable")][:most]
-            u += [digest[i]] * len(best)
-            v += [digest[k] for k in best]
-            more += [len(best) < len(j)] * len(best)
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary()), "more": pa.array(more, pa.bool_())})
-
-    found = rows.groupBy(*keys).applyInArrow(compare, "u binary, v binary, more boolean")
-    return found.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.max("more").alias("more"))
+            j = j[np.argsort(-same, kind="stable")[:int((same >= LIKELY).sum())]]
+            while len(j):
+                some, j = j[:16], j[16:]
+                flat = np.concatenate([short[k] for k in some])
+                size = np.array([len(short[k]) for k in some])
+                at = np.searchsorted(short[i], flat)
+                hit = short[i][np.minimum(at, len(short[i]) - 1)] == flat
+                common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+                share = 100 * common / (size + len(short[i]) - common)
+                for k, x in zip(some.tolist(), share.tolist()):
+                    if x >= percent - 1 and part[k] != part[i]:
+                        u.append(digest[i])
+                        v.append(digest[k])
+                        if x >= percent + 1:
+                            part[part == part[k]] = part[i]
+                j = j[part[j] != part[i]]
+        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+
+    found = rows.groupBy(*_REGION_KEYS).applyInArrow(compare, "u binary, v binary")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -326,18 +365,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text",
     regions = staged(_regions(_neighbour_rows(classes)), "regions")
     wanted = classes.select("digest", "member").join(regions.select("digest"), "digest", "left_semi")
     sets = staged(full_sets(docs, wanted, text, key), "sets")
-    links = parts = told = None
-    for most in PARTNERS:
-        likely = staged(_likely(regions, classes, parts, percent, most), "likely")
-        new = likely.select("u", "v")
-        if told is not None:
-            new = staged(new.join(told, ["u", "v"], "left_anti"), "untold")
-        found = staged(confirmed(new, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        told = new if told is None else told.unionByName(new)
-        parts = components(links)
-        if not likely.where("more").limit(1).count():
-            break
+    links = staged(confirmed(staged(_likely(regions, classes, percent), "likely"), sets, percent), "links")
+    more = staged(_remaining(regions, classes, sets, components(links), percent), "remaining")
+    parts = components(links.unionByName(staged(confirmed(more, sets, percent), "more-links")))
     joined = classes.select("digest", "member").join(
         parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = joined.groupBy("root").agg(F.min("member").alias("component_id"))
