@@ -65,6 +65,20 @@ def size_bounds(size: int, dice: float) -> tuple[float, float]:
     return size * dice / (2 - dice), size * (2 - dice) / dice
 
 
+def telling_words(bigrams: list[str], dice: float) -> list[str]:
+    """Words of which any text that reaches ``dice`` holds one. Such a text has at
+    least ``size * dice / (2 - dice)`` of the template's bigrams (by the lower size
+    bound), so it cannot miss all of more bigrams than the rest; the longest words
+    that touch so many are taken."""
+    spare, touched, out = len(bigrams) * (1 - dice / (2 - dice)), set(), []
+    for w in sorted({w for b in bigrams for w in b.split(" ")}, key=lambda w: (-len(w), w)):
+        if len(touched) > spare + 1e-9:
+            break
+        out.append(w)
+        touched |= {b for b in bigrams if w in b.split(" ")}
+    return out
+
+
 def template_rows(templates=None) -> list[tuple[int, str, list[str]]]:
     """(number, licence, bigrams) of the templates that have a bigram."""
     rows = [(k, name, bigrams_of(t)) for k, (name, t) in enumerate(TEMPLATES if templates is None else templates)]
@@ -96,6 +110,9 @@ def scan(docs: DataFrame, dice: float = DICE, templates=None, text: str = "text"
         return own.where("false").select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in
                                                      (x.split() for x in made.split(", ")[1:])])
     bounds = {k: size_bounds(len(b), dice) for k, _, b in rows}
+    some = sorted({w for _, _, b in rows for w in telling_words(b, dice)}, key=lambda w: (-len(w), w))
+    telling = f"(?i)(?<![a-z0-9])(?:{'|'.join(some)})(?![a-z0-9])"
+    own = own.where(F.col("_text").rlike(telling))
     lines = F.split("_text", "\n", -1)
     pieces = F.split("_text", "\n[ \t\r]*\n", -1)
 
@@ -105,7 +122,7 @@ def scan(docs: DataFrame, dice: float = DICE, templates=None, text: str = "text"
     none = F.filter(units("", lines), lambda x: F.lit(False))
     every = F.concat(units("line", lines), F.when(F.size(pieces) > 1, units("block", pieces)).otherwise(none),
                      F.when(F.size(lines) > 1, units("document", F.array("_text"))).otherwise(none))
-    out = own.select("doc_id", F.inline(every))
+    out = own.select("doc_id", F.inline(every)).where(F.col("body").rlike(telling))
     norm = F.trim(F.regexp_replace(F.translate("body", _UPPER, _LOWER), "[^a-z0-9]+", " "))
     least = int(-(-min(lo for lo, _ in bounds.values()) // 1)) + 1  # words of the smallest unit that can match
     out = out.withColumn("words", F.split(norm, " ", -1)).where(F.size("words") >= max(2, least)).drop("body")

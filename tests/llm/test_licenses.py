@@ -54,3 +54,16 @@ def test_size_bounds_hold():
             best = 2 * min(n, m) / (n + m)
             lo, hi = L.size_bounds(n, 0.75)
             assert (best >= 0.75) <= (lo - 1e-9 <= m <= hi + 1e-9)
+
+
+@pytest.mark.parametrize("dice", [0.3, 0.75, 1.0])
+def test_every_match_holds_a_telling_word(dice):
+    import random
+    rng = random.Random(8)
+    for _, _, b in L.template_rows():
+        words = set(L.telling_words(b, dice))
+        for _ in range(200):  # parts of the template and other bigrams
+            some = set(rng.sample(b, rng.randint(0, len(b))))
+            size = len(some) + rng.randint(0, 3)
+            if 2 * len(some) / (size + len(b)) >= dice:
+                assert any(words & set(x.split(" ")) for x in some)
