@@ -153,7 +153,7 @@ units AS (
   UNION ALL SELECT doc_id, 'document', 0, body FROM lines WHERE len(p) > 1),
 norm AS (SELECT doc_id, unit, unit_no, string_split(trim(regexp_replace(translate(body, '{_UPPER}', '{_LOWER}'),
   '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS b
+grams AS (SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM norm WHERE len(w) > 1),
 scored AS (SELECT doc_id, unit, unit_no, template, license,
   2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice FROM grams, templates

@@ -83,7 +83,7 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = 1 << 21):
+def blocks(offsets: np.ndarray, limit: int = 1 << 20):
     """Ranges (i, j) of documents holding about ``limit`` bytes each; a longer
     document is a block of its own."""
     n, i = len(offsets) - 1, 0
