@@ -24,6 +24,8 @@ from functools import lru_cache
 import numpy as np
 import regex
 
+from flowlens.llm.text import RELEASE
+
 #: cuts remembered per worker process (bounds on memory, not on results)
 MEMO, COUNTED = 1_200_000, 500_000
 #: a longer cut is not remembered
@@ -74,6 +76,9 @@ class Encoder:
             return []
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        self.memo = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
@@ -142,7 +147,9 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
-    return Encoder(vocabulary_path(path))
+    found = Encoder(vocabulary_path(path))
+    RELEASE.append(found.forget)
+    return found
 
 
 def _byte_chars() -> dict[str, int]:
@@ -187,6 +194,9 @@ class PrefixBPE:
         self.special = re.compile("|".join(special)) if special else None
         self.split = regex.compile(PATTERN)
 
+    def forget(self) -> None:
+        self.pieces, self.known, self.fits = {}, {}, {}
+
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """No merge of rank under ``limit`` joins a token ending with ``a`` and
         one starting with ``b``, at any step of their making."""
@@ -330,4 +340,6 @@ class PrefixBPE:
 
 @lru_cache(maxsize=4)
 def prefix_bpe(path: str) -> PrefixBPE:
-    return PrefixBPE(vocabulary_path(path))
+    found = PrefixBPE(vocabulary_path(path))
+    RELEASE.append(found.forget)
+    return found
