@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from flowlens.llm.common import text_of
-from flowlens.llm.text import ALNUM_WORDS, buffer, words
+from flowlens.llm.text import ALNUM_WORDS, RELEASE_FOR_TOKENS, buffer, words
 
 WINDOW = 13
 #: normalised bytes of benchmark text that one automaton is built from
@@ -50,6 +50,13 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
 _BUILT: dict[str, object] = {}
 
 
+def forget() -> None:
+    _BUILT.clear()
+
+
+RELEASE_FOR_TOKENS.append(forget)
+
+
 def automaton(items: list[tuple], window: int = WINDOW):
     """Aho-Corasick automaton over the windows of some items: pattern -> (words,
     indices of the items). None if no item has a word."""

@@ -69,15 +69,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: called before texts are worked on here: what other operators remember in this
-#: worker process gives way
+#: called before texts are worked on here, and before they are encoded: what other
+#: operators remember in this worker process gives way
 RELEASE: list = []
+RELEASE_FOR_TOKENS: list = []
+
+
+def forget() -> None:
+    _POW.clear()
+    pa.default_memory_pool().release_unused()
+
+
+RELEASE_FOR_TOKENS.append(forget)
 
 
 def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; null counts as empty."""
-    for forget in RELEASE:
-        forget()
+    for give_way in RELEASE:
+        give_way()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if pa.types.is_null(texts.type):

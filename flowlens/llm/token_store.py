@@ -16,6 +16,7 @@ that was never stored is turned away by its fingerprint.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -37,7 +38,8 @@ SHARD_ROWS = 200_000
 #: keys that one index bucket is sized for
 BUCKET_KEYS = 20_000
 _NULL = 1 << 31
-_HEAD = np.dtype([("key", "<i8"), ("repeat", "<u4"), ("n", "<u4")])
+#: key, repeat and number of ids of a record, and its bytes
+_HEAD, _HEAD_BYTES = "<qII", 16
 
 
 def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int = END_ID, text: str = "text",
@@ -66,10 +68,10 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
                 for k, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
                     repeat, last = (repeat + 1 if k == last else 0), k
                     ids += end
-                    head = np.array([(k or 0, repeat | (_NULL if k is None else 0), len(ids) // 4)], dtype=_HEAD)
+                    head = struct.pack(_HEAD, k or 0, repeat | (_NULL if k is None else 0), len(ids) // 4)
                     if narrow:
                         ids = np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
-                    out.append(head.tobytes() + ids)
+                    out.append(head + ids)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     records = ordered.mapInArrow(run, StructType([StructField("record", BinaryType())]))
@@ -100,10 +102,10 @@ def _records(content: memoryview, bytes_per_id: int):
     """(offset, key or None, repeat, ids) of one shard file."""
     at = 0
     while at < len(content):
-        key, repeat, n = np.frombuffer(content, dtype=_HEAD, count=1, offset=at)[0].tolist()
-        ids = np.frombuffer(content, dtype=f"<u{bytes_per_id}", count=n, offset=at + _HEAD.itemsize)
+        key, repeat, n = struct.unpack_from(_HEAD, content, at)
+        ids = np.frombuffer(content, dtype=f"<u{bytes_per_id}", count=n, offset=at + _HEAD_BYTES)
         yield at, (None if repeat & _NULL else key), repeat & ~_NULL, ids
-        at += _HEAD.itemsize + n * bytes_per_id + 1
+        at += _HEAD_BYTES + n * bytes_per_id + 1
 
 
 def scan(spark: SparkSession, path: str, bytes_per_id: int) -> DataFrame:
@@ -258,7 +260,7 @@ def fetch(spark: SparkSession, path: str, index: DataFrame, keys: DataFrame, n_k
                 raw, rows = memoryview(content.as_buffer()), []
                 for a in asked:
                     ids = np.frombuffer(raw, dtype=f"<u{bytes_per_id}", count=a["n_tokens"],
-                                        offset=a["offset"] + _HEAD.itemsize)
+                                        offset=a["offset"] + _HEAD_BYTES)
                     rows.append((a["doc_id"], a["repeat"], ids.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))],

@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from flowlens.llm.text import RELEASE
+from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
 
 #: cuts remembered per worker process (bounds on memory, not on results)
 MEMO, COUNTED = 1_200_000, 500_000
@@ -81,6 +81,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        for give_way in RELEASE_FOR_TOKENS:
+            give_way()
         if not self.cuts:
             return self._library(texts)
         out: list[bytes] = []
@@ -131,7 +133,8 @@ class Encoder:
                 if len(p) > MEMO_CHARS:
                     del memo[p]
         get, out, whole = here.__getitem__, [], []
-        for i, (p, head, first) in enumerate(zip(parts, heads, self._library(heads))):
+        first_ids = dict(zip(once := list(set(heads)), self._library(once)))
+        for i, (p, head, first) in enumerate(zip(parts, heads, map(first_ids.__getitem__, heads))):
             try:
                 ids = first + b"".join(map(get, p))
                 odd = bool(p) and head[-1:].isspace()
