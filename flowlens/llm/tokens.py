@@ -27,7 +27,7 @@ import regex
 from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
 
 #: cuts remembered per worker process (bounds on memory, not on results)
-MEMO, COUNTED = 1_200_000, 500_000
+MEMO, COUNTED = 900_000, 400_000
 #: a longer cut is not remembered
 MEMO_CHARS = 64
 _MIXED_SPACE = re.compile(r"\s | \s")
