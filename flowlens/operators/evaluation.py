@@ -7,12 +7,10 @@ partial/final aggregations (no single-task window anywhere).
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import kth_values, ordered_running_sums, quantile_linear, ranged, partition_offsets
+from .ranking import ordered_running_sums, partition_offsets, quantile_linear, ranged
 
 
 # ---------------------------------------------------------------------------
@@ -22,7 +20,8 @@ def fit_scaler(df: DataFrame, features: list[str]) -> DataFrame:
     """One aggregation pass -> table (feature, pos, mean, scale)."""
     aggs = []
     for f in features:
-        aggs += [F.avg(F.col(f).cast("double")).alias(f"m_{f}"), F.stddev_pop(F.col(f).cast("double")).alias(f"s_{f}")]
+        v = F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double"))  # NaN is skipped like null
+        aggs += [F.avg(v).alias(f"m_{f}"), F.stddev_pop(v).alias(f"s_{f}")]
     stats = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(i).alias("pos"), F.col(f"m_{f}").alias("mean"),
                               F.col(f"s_{f}").alias("std")) for i, f in enumerate(features)])
@@ -115,6 +114,7 @@ def roc_auc_ap(curve: DataFrame) -> DataFrame:
 def error_histogram(df: DataFrame, col: str, bins: int = 80) -> DataFrame:
     """Equal-width bins between min and max, last bin closed; all bins returned."""
     spark = df.sparkSession
+    df = df.where(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     mm = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).collect()[0]
     lo, hi = mm["lo"], mm["hi"]
     if lo is None:
@@ -131,10 +131,10 @@ def error_histogram(df: DataFrame, col: str, bins: int = 80) -> DataFrame:
                     F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
 
 
-def error_series(df: DataFrame, seq_col: str, col: str, tau: float, n: int = 2000) -> DataFrame:
-    """The first ``n`` errors in sequence order with the threshold (top-k)."""
-    return (df.select(F.col(seq_col).alias("seq"), F.col(col).alias("err"))
-            .orderBy("seq").limit(n).withColumn("threshold", F.lit(float(tau))))
+def error_series(df: DataFrame, seq_col: str, col: str, tau: float) -> DataFrame:
+    """Every error with its sequence number and the threshold. ``seq`` orders
+    the rows; a plot sorts what it shows."""
+    return df.select(F.col(seq_col).alias("seq"), F.col(col).alias("err"), F.lit(float(tau)).alias("threshold"))
 
 
 def error_moments(df: DataFrame, col: str) -> DataFrame:
@@ -202,5 +202,3 @@ def stratified_split(df: DataFrame, key_col: str, label_col: str, valid_fraction
     out = ranked.withColumn("split", F.when(F.col("_rl") < F.col("_n_l") - n_valid, "train").otherwise("valid"))
     return out.drop("_h", "_pid", "_pos", "_off_cnt", "_n_l", "_first", "_rl")
 
-
-__all__ = ["kth_values", "math"]

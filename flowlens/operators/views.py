@@ -33,29 +33,29 @@ def rolling_throughput(df: DataFrame, ts_col: str = "ts_unix", seq_col: str = "f
     return x.withColumn("throughput_fps", fps).drop("_own_b", "_b", "_pn", "_rn", "_c", "_first")
 
 
-def newest(df: DataFrame, limit: int, cap: int, ts_col: str = "ts_unix", seq_col: str = "flow_id") -> DataFrame:
-    """newest first, at most min(limit, cap) rows (TakeOrderedAndProject).
-    A limit below 1 is rejected."""
+def newest(df: DataFrame, limit: int, ts_col: str = "ts_unix", seq_col: str = "flow_id") -> DataFrame:
+    """the ``limit`` newest rows, newest first (TakeOrderedAndProject). A limit
+    below 1 is rejected; whoever serves from a buffer passes its size."""
     if limit < 1:
         raise ValueError("limit must be >= 1")
-    return df.orderBy(F.col(ts_col).desc(), F.col(seq_col).desc()).limit(min(limit, cap))
+    return df.orderBy(F.col(ts_col).desc(), F.col(seq_col).desc()).limit(limit)
 
 
 def recent(df: DataFrame, limit: int = 50) -> DataFrame:
-    return newest(df, limit, fixed.RECENT_MAX)
+    return newest(df, limit)
 
 
 def alerts(df: DataFrame, limit: int = 50) -> DataFrame:
     """Alerts are events with the raw model flag."""
-    return newest(df.filter(F.col("is_anom")), limit, fixed.ALERTS_MAX)
+    return newest(df.filter(F.col("is_anom")), limit)
 
 
 def stats_rollup(decided: DataFrame, bands: dict | None = None) -> DataFrame:
-    """Bands, alerts buffered, recent buffered, distinct repetition keys."""
+    """Bands, true counts of alerts, events and distinct repetition keys."""
     b = fixed.LIVE_BANDS if bands is None else bands
     return decided.agg(
-        F.least(F.count(F.when(F.col("is_anom"), 1)), F.lit(fixed.ALERTS_MAX)).alias("alerts_buffered"),
-        F.least(F.count(F.lit(1)), F.lit(fixed.RECENT_MAX)).alias("recent_buffered"),
+        F.count(F.when(F.col("is_anom"), 1)).alias("alerts_buffered"),
+        F.count(F.lit(1)).alias("recent_buffered"),
         F.count_distinct(F.col("repetition_key")).alias("repeat_keys_buffered"),
     ).withColumns({"band_ok": F.lit(b["ok"]), "band_warn": F.lit(b["warn"]), "band_crit": F.lit(b["crit"])})
 

@@ -159,9 +159,9 @@ def e09(spark, sf):
 
 
 @register("e10_error_series", with_layers([TAU_SQL], """
-SELECT flow_id AS seq, ae_score AS err, tau AS threshold FROM flows, tau ORDER BY flow_id LIMIT 2000"""))
+SELECT flow_id AS seq, ae_score AS err, tau AS threshold FROM flows, tau"""))
 def e10(spark, sf):
-    return ev.error_series(_scored(spark, sf), "flow_id", "ae_score", _tau(spark, sf), 2000)
+    return ev.error_series(_scored(spark, sf), "flow_id", "ae_score", _tau(spark, sf))
 
 
 @register("e11_error_moments", with_layers([FLOWS], f"""
@@ -198,8 +198,8 @@ def e14(spark, sf):
 
 
 @register("e15_stats_rollup", with_layers(chain("rep2"), f"""
-SELECT least(count(*) FILTER (WHERE is_anom), {fixed.ALERTS_MAX}) AS alerts_buffered,
-       least(count(*), {fixed.RECENT_MAX}) AS recent_buffered,
+SELECT count(*) FILTER (WHERE is_anom) AS alerts_buffered,
+       count(*) AS recent_buffered,
        count(DISTINCT CASE WHEN is_anom THEN concat_ws('|', k_src, k_dst, k_proto, k_class, CAST(k_port AS VARCHAR)) END)
          AS repeat_keys_buffered,
        CAST({fixed.LIVE_BANDS['ok']} AS DOUBLE) AS band_ok, CAST({fixed.LIVE_BANDS['warn']} AS DOUBLE) AS band_warn,
@@ -246,13 +246,13 @@ def f03(spark, sf):
 
 @register("f04_recent", with_layers(chain("lab4"), f"""
 SELECT flow_id, ts_unix, final_label, final_severity FROM lab4
-ORDER BY ts_unix DESC, flow_id DESC LIMIT {fixed.RECENT_MAX}"""))
+ORDER BY ts_unix DESC, flow_id DESC LIMIT 1000"""))
 def f04_recent(spark, sf):
     return views.recent(_dec(spark, sf), 1000).select("flow_id", "ts_unix", "final_label", "final_severity")
 
 
 @register("f04_alerts", with_layers(chain("lab4"), f"""
 SELECT flow_id, ts_unix, final_label, final_severity FROM lab4 WHERE is_anom
-ORDER BY ts_unix DESC, flow_id DESC LIMIT {fixed.ALERTS_MAX}"""))
+ORDER BY ts_unix DESC, flow_id DESC LIMIT 1000"""))
 def f04_alerts(spark, sf):
     return views.alerts(_dec(spark, sf), 1000).select("flow_id", "ts_unix", "final_label", "final_severity")
