@@ -249,7 +249,7 @@ EPOCH_SCHEMA = ("n long, n_val long, val_sse double, loss_sum double, steps long
                 "w array<double>, m array<double>, v array<double>")
 
 
-def prepare_training_frame(df: DataFrame, features: list[str], key_col: str, val_fraction: float = 0.1,
+def prepare_training_frame(df: DataFrame, features: list[str], key_col: str, val_fraction: float = 0.2,
                            seed: int = 42, n_parts: int | None = None):
     """Split (E13), fit the scaler on the train part (E01), scale (E02) and pack
     the features into one array column; persisted for the epoch loop."""
@@ -267,7 +267,7 @@ def prepare_training_frame(df: DataFrame, features: list[str], key_col: str, val
 
 def train_autoencoder(df: DataFrame, features: list[str], key_col: str, size: str = "small",
                       hidden: list[int] | None = None, epochs: int = 50, batch: int = 256, lr: float = 1e-3,
-                      val_fraction: float = 0.1, seed: int = 42, n_parts: int | None = None):
+                      val_fraction: float = 0.2, seed: int = 42, n_parts: int | None = None):
     """M01 + M02: returns (Model with the best-validation weights, history DataFrame)."""
     spark = df.sparkSession
     data, scaler = prepare_training_frame(df, features, key_col, val_fraction, seed, n_parts)

@@ -66,15 +66,16 @@ def eve_duration(start_text: Column, end_text: Column, age: Column) -> Column:
 # B01 EVE flow -> 30-column row
 # ---------------------------------------------------------------------------
 def eve_to_flow_rows(ev: DataFrame) -> DataFrame:
-    """B01 on parsed flow events (``parse_eve_lines``). ``bps`` is bytes/s here."""
+    """B01 on parsed flow events (``parse_eve_lines``). ``bps`` is bytes/s here. A
+    port outside INT counts as 0, like a port that is not a number."""
     f = ev.select(
         _text("timestamp").alias("timestamp"),
         _int_or("flow_id").alias("flow_id"),
         _text("community_id").alias("community_id"),
         _text("src_ip").alias("src_ip"),
-        _int_or("src_port").cast("int").alias("src_port"),
+        F.coalesce(F.coalesce(_int_or("src_port").try_cast("int"), F.lit(0)), F.lit(0)).alias("src_port"),
         _text("dest_ip").alias("dest_ip"),
-        _int_or("dest_port").cast("int").alias("dest_port"),
+        F.coalesce(F.coalesce(_int_or("dest_port").try_cast("int"), F.lit(0)), F.lit(0)).alias("dest_port"),
         proto_name(F.col("proto"), F.col("proto_is_number")).alias("proto"),
         _text("app_proto").alias("app_proto"),
         F.coalesce(F.col("flow.start"), F.lit("")).alias("flow_start"),
@@ -109,9 +110,9 @@ def eve_to_flow_rows(ev: DataFrame) -> DataFrame:
         "pkts_ratio_ts_over_tc": r6(F.col("pkts_toserver") / nonneg1("pkts_toclient")),
         "avg_bytes_per_pkt_ts": r6(F.col("bytes_toserver") / nonneg1("pkts_toserver")),
         "avg_bytes_per_pkt_tc": r6(F.col("bytes_toclient") / nonneg1("pkts_toclient")),
-        "is_tcp": (F.col("proto") == "TCP").cast("int"),
-        "is_udp": (F.col("proto") == "UDP").cast("int"),
-        "is_icmp": (F.col("proto") == "ICMP").cast("int"),
+        "is_tcp": (F.col("proto") == "TCP").try_cast("int"),
+        "is_udp": (F.col("proto") == "UDP").try_cast("int"),
+        "is_icmp": (F.col("proto") == "ICMP").try_cast("int"),
     })
     return f.select(*EVE_ROW_COLUMNS)
 
@@ -130,7 +131,7 @@ def nz_int(c: Column, default: int = 0) -> Column:
     """Integer through float truncation; non-finite -> default."""
     v = nz_float(c, float(default))
     ok = ~F.isnan(v) & (F.abs(v) < F.lit(9.2e18))
-    return F.when(ok, v.cast("bigint")).otherwise(F.lit(default).cast("bigint"))
+    return F.when(ok, v.try_cast("bigint")).otherwise(F.lit(default).try_cast("bigint"))
 
 
 def norm_proto(c: Column) -> Column:
@@ -150,7 +151,7 @@ def conn_state_class(conn_state: Column, history: Column) -> Column:
 
 def is_ipv6_pair(a: Column, b: Column) -> Column:
     """B09: ':' in either address."""
-    return (F.coalesce(a.contains(":"), F.lit(False)) | F.coalesce(b.contains(":"), F.lit(False))).cast("int")
+    return (F.coalesce(a.contains(":"), F.lit(False)) | F.coalesce(b.contains(":"), F.lit(False))).try_cast("int")
 
 
 def zeek_to_flow_rows(conn: DataFrame) -> DataFrame:
@@ -170,9 +171,9 @@ def zeek_to_flow_rows(conn: DataFrame) -> DataFrame:
         nz_float(col("duration", "0")).alias("dur"),
         raw_text("uid", "-").alias("zeek_uid"),
         F.coalesce(col("id.orig_h", "").cast("string"), F.lit("-")).alias("src_ip"),
-        nz_int(col("id.orig_p", "0")).cast("int").alias("src_port"),
+        F.coalesce(nz_int(col("id.orig_p", "0")).try_cast("int"), F.lit(0)).alias("src_port"),
         F.coalesce(col("id.resp_h", "").cast("string"), F.lit("-")).alias("dst_ip"),
-        nz_int(col("id.resp_p", "0")).cast("int").alias("dst_port"),
+        F.coalesce(nz_int(col("id.resp_p", "0")).try_cast("int"), F.lit(0)).alias("dst_port"),
         norm_proto(col("proto", "")).alias("proto"),
         raw_text("service", "-").alias("app_proto"),
         raw_text("history", "-").alias("zeek_history"),
@@ -192,12 +193,12 @@ def zeek_to_flow_rows(conn: DataFrame) -> DataFrame:
         F.col("dur").alias("duration"),
         "src_ip", "src_port", "dst_ip", "dst_port", "proto", "app_proto",
         conn_state_class(F.col("_cs"), F.col("zeek_history")).alias("state"),
-        F.col("_opk").cast("bigint").alias("pkts_toserver"),
-        F.col("_rpk").cast("bigint").alias("pkts_toclient"),
-        F.col("_ob").cast("bigint").alias("bytes_toserver"),
-        F.col("_rb").cast("bigint").alias("bytes_toclient"),
-        (F.col("_opk") + F.col("_rpk")).cast("bigint").alias("pkts_total"),
-        (F.col("_ob") + F.col("_rb")).cast("bigint").alias("bytes_total"),
+        F.col("_opk").try_cast("bigint").alias("pkts_toserver"),
+        F.col("_rpk").try_cast("bigint").alias("pkts_toclient"),
+        F.col("_ob").try_cast("bigint").alias("bytes_toserver"),
+        F.col("_rb").try_cast("bigint").alias("bytes_toclient"),
+        (F.col("_opk") + F.col("_rpk")).try_cast("bigint").alias("pkts_total"),
+        (F.col("_ob") + F.col("_rb")).try_cast("bigint").alias("bytes_total"),
         (F.col("_ob") / dop).alias("bpp_toserver"),
         (F.col("_rb") / drp).alias("bpp_toclient"),
         (F.col("_opk") / dd).alias("pps_toserver"),
@@ -206,9 +207,9 @@ def zeek_to_flow_rows(conn: DataFrame) -> DataFrame:
         (F.col("_opk") / drp).alias("pkt_ratio_ts_tc"),
         (F.col("_ob") / dd).alias("src2dst_rate"),
         (F.col("_rb") / dd).alias("dst2src_rate"),
-        (F.col("proto") == "tcp").cast("int").alias("is_tcp"),
-        (F.col("proto") == "udp").cast("int").alias("is_udp"),
-        (F.col("proto") == "icmp").cast("int").alias("is_icmp"),
+        (F.col("proto") == "tcp").try_cast("int").alias("is_tcp"),
+        (F.col("proto") == "udp").try_cast("int").alias("is_udp"),
+        (F.col("proto") == "icmp").try_cast("int").alias("is_icmp"),
         is_ipv6_pair(F.col("src_ip"), F.col("dst_ip")).alias("is_ipv6"),
         "zeek_uid", "zeek_history",
     )
@@ -253,11 +254,11 @@ def _compact(pf, pr, bf, br, duration, rate_duration, proto, label) -> list[Colu
 
     ratio = pf / F.when(pr != 0, pr)
     ratio = F.when(ratio.isNull() | F.isnan(ratio), pf).otherwise(ratio)
-    return [pf.cast("bigint").alias("pkts_fwd"), pr.cast("bigint").alias("pkts_rev"),
-            bf.cast("bigint").alias("bytes_fwd"), br.cast("bigint").alias("bytes_rev"),
+    return [pf.try_cast("bigint").alias("pkts_fwd"), pr.try_cast("bigint").alias("pkts_rev"),
+            bf.try_cast("bigint").alias("bytes_fwd"), br.try_cast("bigint").alias("bytes_rev"),
             duration.cast("double").alias("duration"), rate(tot_p).alias("pkt_rate"),
             rate(tot_b).alias("byte_rate"), ratio.cast("double").alias("fwd_rev_ratio"),
-            proto.cast("int").alias("proto"), label.alias("label")]
+            proto.try_cast("int").alias("proto"), label.alias("label")]
 
 
 def map_cicids2017(df: DataFrame, keep=()) -> DataFrame:
@@ -317,7 +318,7 @@ def proto_number(proto_text: Column, is_number: Column) -> Column:
     """Icmp 1, tcp 6, udp 17, else 0; a JSON number passes through."""
     p = F.lower(F.trim(F.coalesce(proto_text, F.lit(""))))
     named = F.when(p == "icmp", 1).when(p == "tcp", 6).when(p == "udp", 17).otherwise(0)
-    num = proto_text.try_cast("double").cast("int")
+    num = proto_text.try_cast("double").try_cast("int")
     return F.when(proto_text.isNull(), F.lit(0)).when(is_number, F.coalesce(num, F.lit(0))).otherwise(named)
 
 
@@ -346,8 +347,8 @@ def live_flow_features(ev: DataFrame, filter_mdns: bool = True, min_duration: fl
     request metadata. age > 0 wins, else end - start, else 0.01; floor 0.01 s;
     ratio (bytes_fwd + 1) / (bytes_rev + 1)."""
     x = ev.withColumns({
-        "_sport": _int_or("src_port").cast("int"),
-        "_dport": _int_or("dest_port").cast("int"),
+        "_sport": F.coalesce(_int_or("src_port").try_cast("int"), F.lit(0)),
+        "_dport": F.coalesce(_int_or("dest_port").try_cast("int"), F.lit(0)),
     })
     if filter_mdns:
         x = x.filter(~is_mdns(F.col("_sport"), F.col("_dport"), F.col("dest_ip")))  # D02
@@ -394,7 +395,7 @@ def compact_from_flows(flows: DataFrame) -> DataFrame:
         dur.alias("duration"), ((pf + pr) / dur).alias("pkt_rate"), ((bf + br) / dur).alias("byte_rate"),
         ((bf + 1.0) / (br + 1.0)).alias("fwd_rev_ratio"),
         F.when(p == "icmp", 1.0).when(p == "tcp", 6.0).when(p == "udp", 17.0).otherwise(0.0).alias("proto"),
-        F.col("label").cast("int").alias("label"))
+        F.col("label").try_cast("int").alias("label"))
 
 
 # ---------------------------------------------------------------------------

@@ -136,8 +136,8 @@ def flow_matrix(df: DataFrame, source: str = "auto", fix_aliases: bool = True,
         (F.upper(_c(p["proto"]).cast("string")) if p["proto"] else F.lit("UNK")).alias("_proto"),
         (_c(p["src_ip"]).cast("string") if p["src_ip"] else F.lit("")).alias("_src_ip"),
         (_c(p["dst_ip"]).cast("string") if p["dst_ip"] else F.lit("")).alias("_dst_ip"),
-        (F.coalesce(_num(p["src_port"]), zero).cast("int") if p["src_port"] else F.lit(0)).alias("_sport"),
-        (F.coalesce(_num(p["dst_port"]), zero).cast("int") if p["dst_port"] else F.lit(0)).alias("_dport"),
+        (F.coalesce(_num(p["src_port"]), zero).try_cast("int") if p["src_port"] else F.lit(0)).alias("_sport"),
+        (F.coalesce(_num(p["dst_port"]), zero).try_cast("int") if p["dst_port"] else F.lit(0)).alias("_dport"),
         F.greatest(F.coalesce(dur, zero), zero).alias("duration_s"),
         start.alias("_start"),
         num_or0("pkts_srv").alias("pkts_toserver"), num_or0("pkts_cli").alias("pkts_toclient"),

@@ -408,13 +408,6 @@ def d03(spark, sf):
     return fl.normal_rows(comp).agg(F.count(F.lit(1)).alias("train_rows"))
 
 
-@register("d04_numeric_columns")
-def d04(spark, sf):
-    comp = fl.compact_from_flows(fixtures.flows(spark, sf))
-    cols = fl.numeric_columns(comp, drop=("label", "flow_id"))
-    return comp.select(*cols)
-
-
 FEATURES_SQL = with_layers([FLOWS], """
 SELECT flow_id, CASE WHEN flow_id % 9 = 0 THEN 'missing_features=2 ex=[''byte_rate'', ''proto'']' END AS error
 FROM flows WHERE flow_id % 9 = 0""")

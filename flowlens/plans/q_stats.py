@@ -178,15 +178,22 @@ def _split_sql(where: str, frac: float) -> str:
 SELECT flow_id, CASE WHEN rk < n - CAST(floor(n * {frac}) AS BIGINT) THEN 'train' ELSE 'valid' END AS split FROM r""")
 
 
+@register("d04_numeric_columns", with_layers([COMPACT_SQL], f"""
+SELECT {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATS)} FROM compact"""))
+def d04(spark, sf):
+    comp = fl.compact_from_flows(fixtures.flows(spark, sf))
+    return comp.select(*fl.numeric_columns(comp, drop=("label", "flow_id")))
+
+
 @register("e12_exact_split", _split_sql("", 0.2))
 def e12(spark, sf):
     return ev.exact_split(_scored(spark, sf), "flow_id", 0.2).select("flow_id", "split")
 
 
-@register("e13_train_val_split", _split_sql("WHERE label = 0", 0.1))
+@register("e13_train_val_split", _split_sql("WHERE label = 0", 0.2))
 def e13(spark, sf):
     normal = _scored(spark, sf).filter(F.col("label") == 0)
-    return ev.exact_split(normal, "flow_id", 0.1).select("flow_id", "split")
+    return ev.exact_split(normal, "flow_id", 0.2).select("flow_id", "split")
 
 
 @register("e14_stratified_split", with_layers([FLOWS], """

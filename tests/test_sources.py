@@ -177,3 +177,11 @@ def test_matrix_golden_reference_aliases(spark):
                 bad.setdefault(c, 0)
                 bad[c] += 1
     assert not bad, bad
+
+
+def test_out_of_range_port_does_not_stop_the_job(spark):
+    from flowlens.sources.eve import parse_eve_lines
+    line = '{"event_type":"flow","timestamp":"2025-01-01T00:00:00Z","src_port":99999999999,"dest_port":443,"proto":"TCP","flow":{}}'
+    df = spark.createDataFrame([(line,)], "value string")
+    got = fl.eve_to_flow_rows(parse_eve_lines(df)).select("src_port", "dest_port").collect()
+    assert [tuple(r) for r in got] == [(0, 443)]
