@@ -27,7 +27,7 @@ import regex
 from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
 
 #: cuts remembered per worker process (bounds on memory, not on results)
-MEMO, COUNTED = 900_000, 400_000
+MEMO, COUNTED = 1_200_000, 500_000
 #: a longer cut is not remembered
 MEMO_CHARS = 64
 _MIXED_SPACE = re.compile(r"\s | \s")
@@ -81,8 +81,6 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        for give_way in RELEASE_FOR_TOKENS:
-            give_way()
         if not self.cuts:
             return self._library(texts)
         out: list[bytes] = []
@@ -148,8 +146,15 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
+    """The encoder of this worker process; a task asks for it once."""
+    for give_way in RELEASE_FOR_TOKENS:
+        give_way()
+    return _encoder(path)
+
+
+@lru_cache(maxsize=4)
+def _encoder(path: str) -> Encoder:
     found = Encoder(vocabulary_path(path))
     RELEASE.append(found.forget)
     return found
