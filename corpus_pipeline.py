@@ -29,12 +29,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: of each group the document of the smallest id stays (one row of
-    it, if the row is repeated)."""
+    it, if the row is repeated or the id has several texts in the group). Rows
+    that share an id, or have none, but are in different groups stay each."""
     prepare(spark)
-    found = near_dedup.near_duplicates(docs.select(*COLUMNS))
+    found = near_dedup.survivors(docs.select(*COLUMNS)).select(F.col("doc_id").alias("_d"), F.col("name").alias("_n"))
     some = F.coalesce("text", F.lit("")).rlike(WORD)
-    ids = found.where(F.col("kept") & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_d")).distinct()
-    alone = docs.where(some).join(ids, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").dropDuplicates(["doc_id"])
+    named = docs.where(some).withColumn("_name", near_dedup.text_name(F.col("text")))
+    alone = named.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_name") == F.col("_n")),
+                       "left_semi").dropDuplicates(["_name"])
     return alone.select(*COLUMNS).unionByName(docs.where(~some).select(*COLUMNS))
 
 

@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
@@ -96,24 +96,31 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def text_name(text) -> Column:
+    """128 bits of a text's SHA-256: rows of equal text under any key."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 _SIGNED = [StructField("n_shingles", LongType()), StructField("digest", BinaryType()),
            StructField("signature", BinaryType())]
 
 
 def signed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, digest, signature`` (both null for the empty set)."""
-    src = docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("_text"))
-    schema = StructType([src.schema["doc_id"], *_SIGNED])
+    """``doc_id, name, n_shingles, digest, signature`` (the last two null for the
+    empty set)."""
+    src = docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("_text")).select(
+        "doc_id", text_name(F.col("_text")).alias("name"), "_text")
+    schema = StructType([src.schema["doc_id"], StructField("name", BinaryType()), *_SIGNED])
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 250):
                 part = batch.slice(i, 250)
-                sets = list(shingle_sets(part.column(1)))
+                sets = list(shingle_sets(part.column(2)))
                 full = [s for s in sets if len(s)]
                 rows = iter(signatures(full)) if full else iter(())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
                      pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
                     names=schema.names)
@@ -349,30 +356,49 @@ def _remaining(regions: DataFrame, classes: DataFrame, sets: DataFrame, parts: D
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
-
-    ``component_id`` is the smallest key that links of at least ``percent`` %
-    similarity reach, itself included; ``kept`` is key = component. Empty sets
-    (null, empty or blank text) are linked with nothing. Repeated rows are
-    copies of each other and each get a row; a null key gets the smallest key of
-    its component (its own null if it has no other).
-    """
+def _grouped(docs: DataFrame, percent: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The signed rows and ``digest, member, name, root`` of every class; its
+    member is the row of the smallest key (null last), then of the smallest name."""
     own = staged(signed(docs, text, key), "signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "name"))
     classes = staged(own.where(F.col("digest").isNotNull()).groupBy("digest")
-                     .agg(F.min("doc_id").alias("member"), F.max("n_shingles").alias("n"),
-                          F.min("signature").alias("signature")), "classes")
+                     .agg(first.alias("_f"), F.max("n_shingles").alias("n"), F.min("signature").alias("signature"))
+                     .select("digest", F.col("_f.doc_id").alias("member"), F.col("_f.name").alias("name"), "n",
+                             "signature"), "classes")
     regions = staged(_regions(_neighbour_rows(classes)), "regions")
     wanted = classes.select("digest", "member").join(regions.select("digest"), "digest", "left_semi")
     sets = staged(full_sets(docs, wanted, text, key), "sets")
     links = staged(confirmed(staged(_likely(regions, classes, percent), "likely"), sets, percent), "links")
     more = staged(_remaining(regions, classes, sets, components(links), percent), "remaining")
     parts = components(links.unionByName(staged(confirmed(more, sets, percent), "more-links")))
-    joined = classes.select("digest", "member").join(
+    joined = classes.select("digest", "member", "name").join(
         parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    return own, joined
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``.
+
+    ``component_id`` is the smallest key that links of at least ``percent`` %
+    similarity reach, itself included; ``kept`` is key = component. Empty sets
+    (null, empty or blank text) are linked with nothing. Repeated rows are
+    copies of each other and each get a row; a null key gets the smallest key of
+    its component (its own null if it has no other).
+    """
+    own, joined = _grouped(docs, percent, text, key)
     least = joined.groupBy("root").agg(F.min("member").alias("component_id"))
     named = joined.join(least, "root").select("digest", "component_id")
     out = own.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def survivors(docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``doc_id, name``: one row per component of ``near_duplicates``, empty sets
+    left out. It is the row of the smallest key (a null key only if there is no
+    other); texts that share that key are told apart by shingle digest, then
+    ``text_name``. No text survives twice, as equal texts are in one component."""
+    _, joined = _grouped(docs, percent, text, key)
+    first = F.min(F.struct(F.col("member").isNull().alias("none"), "member", "digest", "name")).alias("_f")
+    return joined.groupBy("root").agg(first).select(F.col("_f.member").alias("doc_id"), F.col("_f.name").alias("name"))

@@ -175,3 +175,23 @@ def test_pipeline_defined_cases(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{tmp_path}/{t}.parquet").write.parquet(f"{tmp_path}/empty/{t}.parquet")
     assert C.run(spark, f"{tmp_path}/empty").collect() == []
+
+
+def test_pipeline_keeps_different_texts_under_one_key_and_null(spark):
+    rng = random.Random(31)
+    fresh = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    alone = [fresh() for _ in range(8)]
+    near = fresh()
+    rows = [(k, t) for k, t in zip([7, 7, 7, None, None, None, 1, 2], alone)]
+    rows += [(7, alone[0]), (None, alone[3]), (7, near + " x"), (7, near + " y"), (None, near), (9, near),
+             (None, alone[4] + " z"), (None, " "), (7, None)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in C.near_duplicates(spark, docs, SF).collect()]
+    kept = [(k, t) for k, t in got if t and t.startswith(near)]
+    assert len(kept) == 1 and kept[0] in [(7, near + " x"), (7, near + " y")]
+    twins = [(k, t) for k, t in got if t and t.startswith(alone[4])]
+    assert len(twins) == 1 and twins[0][0] is None
+    rest = [r for r in got if r not in kept and r not in twins]
+    want = [(k, t) for k, t in zip([7, 7, 7, None, None, None, 1, 2], alone) if t != alone[4]] + [(None, " "), (7, None)]
+    assert sorted(rest, key=str) == sorted(want, key=str)
