@@ -30,6 +30,8 @@ from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
 MEMO, COUNTED = 1_200_000, 500_000
 #: a longer cut is not remembered
 MEMO_CHARS = 64
+#: bytes of a part, and so at most tokens, whose counts fit 16 bits with one more for the space
+SHORT_BYTES = 65_534
 _MIXED_SPACE = re.compile(r"\s | \s")
 _SPACES = re.compile(r"\s{2,}")
 #: fixed value: the splitting pattern of byte-level BPE vocabularies
@@ -169,6 +171,11 @@ def _byte_chars() -> dict[str, int]:
     return chars
 
 
+def _long(part: str) -> bool:
+    """A part may hold more tokens than 16 bits count: no token is less than a byte."""
+    return 4 * len(part) > SHORT_BYTES and len(part.encode("utf-8")) > SHORT_BYTES
+
+
 class PrefixBPE:
     """Token counts of all prefixes of a text under a byte-level BPE vocabulary."""
 
@@ -321,13 +328,13 @@ class PrefixBPE:
             return np.asarray(self.general(text), dtype="<i4")
         parts = text.split(" ")
         memo = self.pieces
-        got = [np.asarray(self.general(parts[0])[1:], dtype="<u2").tobytes()] if len(parts[0]) < 60_000 else None
-        if got is None:
+        if _long(parts[0]):
             return np.asarray(self.general(text), dtype="<i4")
+        got = [np.asarray(self.general(parts[0])[1:], dtype="<u2").tobytes()]
         for p in parts[1:]:
             c = memo.get(p)
             if c is None:
-                if len(p) > 60_000:
+                if _long(p):
                     return np.asarray(self.general(text), dtype="<i4")
                 c = array("H", self.general(" " + p)[1:]).tobytes()
                 if len(p) <= MEMO_CHARS:

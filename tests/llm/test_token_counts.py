@@ -52,3 +52,13 @@ def test_budget_questions(make, corpus):
 def test_empty_table_and_repeated_rows(make):
     assert C.prefix_counts(make([])).collect() == []
     assert [r["n_tokens"] for r in C.prefix_counts(make(["a b", "a b"], ids=[1, 1])).collect()] == [2, 2]
+
+
+def test_long_parts_without_a_space():
+    bpe = prefix_bpe(C.VOCABULARY)
+    for part in ("鿿龘" * 20_000, "😀" * 35_000):
+        assert count(part) > 65_535
+        for t in (part, "a " + part + " b", part + " b"):
+            got = bpe.counts(t)
+            assert len(got) == len(t) + 1 and got[-1] == count(t)
+            assert [got[k] for k in (1, 999, 16_384)] == [count(t[:k]) for k in (1, 999, 16_384)]
