@@ -15,6 +15,10 @@ those values, a different selection per tree. Classes that share at least
    is compared on 32-bit shingle sets inside the region's task, and the pairs
    that link components are confirmed on full sets. Pairs inside a component
    need no confirmation, so no more than a spanning set is ever told.
+4. Where a region of ``ROOT`` values was split for its size and still holds
+   several components, those outside its largest are compared with all of it in
+   blocks, so every two classes that share ``ROOT`` values are compared or are in
+   one component already.
 
 A pair of Jaccard similarity s misses all trees at the root depth with
 probability ``(1 - s**ROOT) ** TREES``: 5e-6 at 0.75.
@@ -270,7 +274,7 @@ def components(edges: DataFrame) -> DataFrame:
 def _regions(near: DataFrame) -> DataFrame:
     """``tree, region, deal, digest``: the classes with a neighbour, by region.
     Regions of more than ``REGION`` classes go deeper until they are small enough;
-    equal labels are dealt into groups of about that size."""
+    equal labels are dealt into groups of about that size, anew in each tree."""
     rows = near.select("tree", "label", "digest").unionByName(
         near.select("tree", F.col("other_label").alias("label"), F.col("other").alias("digest"))).distinct()
     for d in range(ROOT, DEPTH + 1):
@@ -281,7 +285,7 @@ def _regions(near: DataFrame) -> DataFrame:
     depth, last = F.lit(DEPTH), F.col(f"_n{DEPTH}")
     for d in range(DEPTH - 1, ROOT - 1, -1):
         depth = F.when(F.col(f"_n{d}").isNull(), F.lit(d)).otherwise(depth)
-    deal = F.when(last.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("digest"), F.floor(last / REGION) + 1))
+    deal = F.when(last.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("tree", "digest"), F.floor(last / REGION) + 1))
     return rows.select("tree", F.substring(F.col("label"), F.lit(1), 2 * depth).alias("region"),
                        deal.cast("int").alias("deal"), "digest")
 
@@ -324,17 +328,24 @@ def _remaining(regions: DataFrame, classes: DataFrame, sets: DataFrame, parts: D
     rows = staged(rows.join(mixed, _REGION_KEYS, "left_semi"), "mixed-regions")
     rows = rows.join(classes.select("digest", "n", "signature"), "digest").join(
         sets.select("digest", "short"), "digest")
+    return _told(rows, _REGION_KEYS, percent)
+
+
+def _told(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """``u, v``: the links that each group of ``rows`` tells. With a column
+    ``mine``, each pair has a row of which it is true."""
+    halves = "mine" in rows.columns
 
     def compare(table: pa.Table) -> pa.Table:
         digest, n = table["digest"].to_pylist(), table["n"].to_numpy()
         sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=">u2").reshape(len(digest), -1)
         short = [np.frombuffer(x, dtype="<u4") for x in table["short"].to_pylist()]
         _, part = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
+        firsts = np.flatnonzero(table["mine"].to_numpy(zero_copy_only=False)) if halves else range(1, len(digest))
         u, v = [], []
-        for i in range(1, len(digest)):
-            j = np.flatnonzero((part[:i] != part[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-            same = (sig[j] == sig[i]).mean(axis=1)
-            j = j[np.argsort(-same, kind="stable")[:int((same >= LIKELY).sum())]]
+        for i in firsts:
+            upto = len(digest) if halves else i
+            j = _partners(sig, n, part, i, upto, percent)
             while len(j):
                 some, j = j[:16], j[16:]
                 flat = np.concatenate([short[k] for k in some])
@@ -352,10 +363,64 @@ def _remaining(regions: DataFrame, classes: DataFrame, sets: DataFrame, parts: D
                 j = j[part[j] != part[i]]
         return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
 
-    found = rows.groupBy(*_REGION_KEYS).applyInArrow(compare, "u binary, v binary")
+    found = rows.groupBy(*keys).applyInArrow(compare, "u binary, v binary")
     return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def _partners(sig: np.ndarray, n: np.ndarray, part: np.ndarray, i: int, upto: int, percent: int) -> np.ndarray:
+    """Rows before ``upto`` of other components than row ``i`` whose size and
+    signature make a link likely, best agreement first."""
+    j = np.flatnonzero((part[:upto] != part[i])
+                       & (100 * np.minimum(n[:upto], n[i]) >= percent * np.maximum(n[:upto], n[i])))
+    same = (sig[j] == sig[i]).mean(axis=1)
+    return j[np.argsort(-same, kind="stable")[:int((same >= LIKELY).sum())]]
+
+
+_BLOCK_KEYS = ["tree", "region", "mine_block", "block"]
+
+
+def _across(regions: DataFrame, classes: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """``u, v``: links between components that the splitting of large regions kept
+    apart. In each region of ``ROOT`` values that was split, the classes outside its
+    largest component ("mine") are compared with all of its classes, both dealt
+    into blocks of about ``REGION``. Shingle sets are fetched only for classes with
+    a likely partner in their block."""
+    region = F.substring("region", 1, 2 * ROOT).alias("region")
+    rows = regions.where(F.length("region") > 2 * ROOT).select("tree", region, "digest")
+    rows = rows.join(parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn(
+        "root", F.coalesce("root", "digest"))
+    most = rows.groupBy("tree", "region", "root").agg(F.count("*").alias("_n")).groupBy("tree", "region").agg(
+        F.max(F.struct("_n", "root")).alias("_most"), F.sum("_n").alias("_all")).where("_all > _most._n")
+    most = most.select("tree", "region", F.col("_most.root").alias("_big"),
+                       F.floor(F.col("_all") / REGION).cast("int").alias("_blocks"),
+                       F.floor((F.col("_all") - F.col("_most._n")) / REGION).cast("int").alias("_mine_blocks"))
+    rows = staged(rows.join(most, ["tree", "region"]), "split-regions")
+    name = F.xxhash64("tree", "digest")
+    own = F.pmod(name, F.col("_blocks") + 1).cast("int"), F.pmod(name, F.col("_mine_blocks") + 1).cast("int")
+    every = rows.withColumn("block", own[0]).withColumn("mine_block", F.explode(F.sequence(F.lit(0), "_mine_blocks")))
+    mine = rows.where(F.col("root") != F.col("_big")).withColumn("mine_block", own[1]).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), "_blocks")))
+    cols = [*_BLOCK_KEYS, "digest", "root"]
+    dealt = every.select(*cols, F.lit(False).alias("mine")).unionByName(mine.select(*cols, F.lit(True).alias("mine")))
+    signed_rows = dealt.join(classes.select("digest", "n", "signature"), "digest")
+    schema = StructType([dealt.schema[c] for c in [*cols, "mine"]])
+
+    def likely(table: pa.Table) -> pa.Table:
+        n, mine = table["n"].to_numpy(), table["mine"].to_numpy(zero_copy_only=False)
+        sig = np.frombuffer(b"".join(table["signature"].to_pylist()), dtype=">u2").reshape(len(n), -1)
+        _, part = np.unique(np.array([r.hex() for r in table["root"].to_pylist()]), return_inverse=True)
+        keep = np.zeros(len(n), dtype=bool)
+        for i in np.flatnonzero(mine):
+            j = _partners(sig, n, part, i, len(n), percent)
+            keep[j] = True
+            keep[i] |= len(j) > 0
+        return table.select([*cols, "mine"]).filter(pa.array(keep))
+
+    some = staged(signed_rows.groupBy(*_BLOCK_KEYS).applyInArrow(likely, schema), "split-likely")
+    payload = classes.select("digest", "n", "signature").join(sets.select("digest", "short"), "digest")
+    return _told(some.join(payload, "digest"), _BLOCK_KEYS, percent)
+
+
 def _grouped(docs: DataFrame, percent: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """The signed rows and ``digest, member, name, root`` of every class; its
     member is the row of the smallest key (null last), then of the smallest name."""
@@ -370,7 +435,11 @@ def _grouped(docs: DataFrame, percent: int, text: str, key: str) -> tuple[DataFr
     sets = staged(full_sets(docs, wanted, text, key), "sets")
     links = staged(confirmed(staged(_likely(regions, classes, percent), "likely"), sets, percent), "links")
     more = staged(_remaining(regions, classes, sets, components(links), percent), "remaining")
-    parts = components(links.unionByName(staged(confirmed(more, sets, percent), "more-links")))
+    links = links.unionByName(staged(confirmed(more, sets, percent), "more-links"))
+    parts = components(links)
+    last = staged(_across(regions, classes, sets, parts, percent), "across")
+    if not last.isEmpty():
+        parts = components(links.unionByName(staged(confirmed(last, sets, percent), "last-links")))
     joined = classes.select("digest", "member", "name").join(
         parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     return own, joined

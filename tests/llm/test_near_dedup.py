@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 
 from flowlens.llm import near_dedup as N
@@ -60,6 +61,36 @@ def test_chains_and_large_groups(make):
     assert run(make(texts, parts=13)) == want
 
 
+def test_one_appended_word_in_crowded_regions(make):
+    base = " ".join(f"w{i}" for i in range(300))
+    got = run(make([f"{base} end{k}" for k in range(2000)], parts=7))
+    assert [r for r in got if r[3]] == [(0, 297, 0, True)] and {r[2] for r in got} == {0}
+
+
+def test_links_across_blocks_of_a_split_region(spark, monkeypatch):
+    """Components of 5 and 4 and two classes alone share the root values and were dealt
+    apart; only one pair over the components links."""
+    monkeypatch.setattr(N, "REGION", 2)
+    sets = [np.arange(1, 41, dtype=np.uint64) * 1000003 + (k << 40) for k in range(11)]
+    for k in range(1, 5):
+        sets[k] = np.concatenate([sets[0][:39], sets[k][39:]])
+        sets[5 + k] = np.concatenate([sets[5][:39], sets[5 + k][39:]])
+    sets[9] = np.concatenate([sets[3][:36], sets[9][36:]])  # links with the first five
+    full = [np.unique(s << np.uint64(20)) for s in sets]
+    sig = N.signatures(full)
+    ids = [bytes([k]) for k in range(11)]
+    classes = spark.createDataFrame([(i, len(s), x.tobytes()) for i, s, x in zip(ids, full, sig)],
+                                    "digest binary, n long, signature binary")
+    rows = [(i, s.tobytes(), np.unique((s >> np.uint64(32)).astype("<u4")).tobytes()) for i, s in zip(ids, full)]
+    sets_df = spark.createDataFrame(rows, "digest binary, shingles binary, short binary")
+    regions = spark.createDataFrame([(0, b"12345678" + bytes([5, k]), 0, i) for k, i in enumerate(ids)],
+                                    "tree int, region binary, deal int, digest binary")
+    parts = spark.createDataFrame([(ids[k], ids[0] if k < 5 else ids[5]) for k in range(9)], "node binary, root binary")
+    told = N._across(regions, classes, sets_df, parts, 75)
+    links = {frozenset((bytes(r["u"]), bytes(r["v"]))) for r in N.confirmed(told, sets_df, 75).collect()}
+    assert links and all(ids[9] in x and (x - {ids[9]}) <= set(ids[:5]) for x in links)
+
+
 def test_repeated_and_null_keys(make):
     texts = ["a b c d e f g", "a b c d e f g", "A b c d e f g", None, "q r s", "q r s"]
     got = run(make(texts, ids=[3, 3, None, 9, None, None]))
