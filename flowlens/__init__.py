@@ -1,11 +1 @@
 """flowlens: network-flow analytics as Spark DataFrame operators."""
-
-# Python code that runs inside Spark tasks (Arrow UDFs, applyInPandas,
-# stateful processors) is shipped by value, so executors need no install.
-try:
-    from pyspark import cloudpickle as _cp
-    import sys as _sys
-
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
-    pass

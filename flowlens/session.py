@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,6 +39,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -82,9 +85,45 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on a running session
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+#: applications that have the package (this process)
+_SHIPPED: set[str] = set()
+
+
+def package_zip() -> str:
+    """The package's modules as a zip file on the driver, named by their content."""
+    here = os.path.dirname(os.path.abspath(__file__))
+    found = sorted(os.path.join(d, n) for d, _, names in os.walk(here) for n in names if n.endswith(".py"))
+    digest = hashlib.sha256()
+    for path in found:
+        digest.update(path.encode() + b"\0" + open(path, "rb").read())
+    out = os.path.join(tempfile.mkdtemp(prefix="flowlens-"), f"flowlens-{digest.hexdigest()[:12]}.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for path in found:
+            z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    return out
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: functions that run in
+    tasks go by reference, so what a module remembers lives once per worker process.
+    Spark copies the file from the driver to every executor, late ones too."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session
+        name = f"{id(spark)}"
+        if name not in _SHIPPED:
+            spark.addArtifacts(package_zip(), pyfile=True)
+            _SHIPPED.add(name)
+        return
+    if sc.applicationId not in _SHIPPED:
+        sc.addPyFile(package_zip())
+        _SHIPPED.add(sc.applicationId)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory (never machine-local
     on a cluster: the checkpoint directory is the cluster's shared folder)."""
