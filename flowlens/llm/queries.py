@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import (decontaminate, licenses, near_dedup, packing, quality_rules, sharding, suffix_dedup,
+from flowlens.llm import (decontaminate, licenses, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup,
                           token_counts, token_store, toxicity)
 from flowlens.llm.common import documents, staged
 
@@ -65,7 +65,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicated(documents(spark, sf_dir))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_suffix_dedup, op3_packing, op4_license_scan, op5_quality_rules, op6_sharding,
-    op7_decontamination, op8_token_store, op9_near_dedup, op10_token_counts)}
-ORACLE = {"op4_license_scan": licenses.duckdb_sql()}
+    op7_decontamination, op8_token_store, op9_near_dedup, op10_token_counts, op11_line_dedup)}
+ORACLE = {"op4_license_scan": licenses.duckdb_sql(), "op11_line_dedup": line_dedup.duckdb_sql()}
