@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import (decontaminate, licenses, line_dedup, near_dedup, packing, quality_rules, sharding, suffix_dedup,
-                          token_counts, token_store, toxicity)
-from flowlens.llm.common import documents, staged
+from flowlens.llm import (decontaminate, licenses, line_dedup, near_dedup, packing, prefix_trie, quality_rules,
+                          sharding, suffix_dedup, token_counts, token_store, toxicity)
+from flowlens.llm.common import documents, prepare, staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,14 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(_table(prepare(spark), sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_suffix_dedup, op3_packing, op4_license_scan, op5_quality_rules, op6_sharding,
-    op7_decontamination, op8_token_store, op9_near_dedup, op10_token_counts, op11_line_dedup)}
-ORACLE = {"op4_license_scan": licenses.duckdb_sql(), "op11_line_dedup": line_dedup.duckdb_sql()}
+    op7_decontamination, op8_token_store, op9_near_dedup, op10_token_counts, op11_line_dedup,
+    op12_conversation_trie)}
+ORACLE = {"op4_license_scan": licenses.duckdb_sql(), "op11_line_dedup": line_dedup.duckdb_sql(),
+          "op12_conversation_trie": prefix_trie.duckdb_sql()}
