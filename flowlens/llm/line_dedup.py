@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import text_of
+from flowlens.llm.common import staged, text_of
 
 #: code points of a key, documents that hold it: at least
 CHARS, DOCUMENTS = 40, 5
@@ -59,7 +59,8 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", chars
                  documents: int = DOCUMENTS) -> DataFrame:
     """``key, kept_text, n_lines, n_dropped``, a row per row of ``docs``."""
     src = docs.select(F.col(key).alias("_id"), text_of(docs, text).alias("_text"))
-    common = common_lines(src, chars, documents).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "top")
+    # written, so that the join below reads two shuffles and a hot line can be split
+    common = staged(common_lines(src, chars, documents), "common-lines").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "top")
     # rows of one id and one text lose the same lines, so these two name a row
     of = F.xxhash64("_text").alias("_of")
     lines = src.select("_id", of, F.posexplode(line_names(F.col("_text"), chars)).alias("pos", "name"))
