@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import (decontaminate, licenses, line_dedup, near_dedup, packing, prefix_trie, quality_rules,
+from flowlens.llm import (collocations, decontaminate, licenses, line_dedup, near_dedup, packing, prefix_trie, quality_rules,
                           sharding, suffix_dedup, token_counts, token_store, toxicity)
 from flowlens.llm.common import documents, prepare, staged
 
@@ -75,9 +75,13 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(prefix_trie.rebuilt(turns))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_suffix_dedup, op3_packing, op4_license_scan, op5_quality_rules, op6_sharding,
     op7_decontamination, op8_token_store, op9_near_dedup, op10_token_counts, op11_line_dedup,
-    op12_conversation_trie)}
+    op12_conversation_trie, op13_collocations)}
 ORACLE = {"op4_license_scan": licenses.duckdb_sql(), "op11_line_dedup": line_dedup.duckdb_sql(),
-          "op12_conversation_trie": prefix_trie.duckdb_sql()}
+          "op12_conversation_trie": prefix_trie.duckdb_sql(), "op13_collocations": collocations.duckdb_sql()}
