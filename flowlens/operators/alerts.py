@@ -22,7 +22,7 @@ EVENT_COLUMNS = ["flow_id", "ts_unix", "src_ip", "src_port", "dest_ip", "dest_po
 
 
 def decide_events(df: DataFrame, bands: dict | None = None, with_text: bool = True,
-                  bucket_s: int = 900, with_throughput: bool = False) -> DataFrame:
+                  with_throughput: bool = False) -> DataFrame:
     """Events with ``ae_score`` -> all decision columns (flat).
 
     ``with_throughput`` adds ``throughput_fps`` (F03, the rolling 10 s rate at
@@ -34,7 +34,7 @@ def decide_events(df: DataFrame, bands: dict | None = None, with_text: bool = Tr
         ev = rolling_throughput(ev)
     ev = raw_event(ev, bands)
     ev = enrich_context(ev)
-    ev = attach_repetition(ev, bucket_s=bucket_s)
+    ev = attach_repetition(ev)
     ev = decide(ev)
     if with_text:
         ev = attach_explanations(ev)

@@ -1,9 +1,10 @@
 """Batch window and streaming state equal a per-key deque simulation."""
+import random
 from collections import defaultdict, deque
 
 from pyspark.sql import functions as F
 
-from flowlens.operators.repetition import attach_repetition
+from flowlens.operators.repetition import BEFORE_SCHEMA, attach_repetition, carried, counted, repeat_key_expr
 
 
 def deque_sim(events, window=45, cap=50):
@@ -29,9 +30,9 @@ def frame(spark, events):
                                        "traffic_class string, dest_port int, is_anom boolean")
 
 
-def check(spark, events, bucket_s=900):
+def check(spark, events, n_parts=None):
     got = {r["flow_id"]: r["repeat_previous_count"]
-           for r in attach_repetition(frame(spark, events), bucket_s=bucket_s).collect()}
+           for r in attach_repetition(frame(spark, events), n_parts=n_parts).collect()}
     assert got == deque_sim(events)
 
 
@@ -52,11 +53,61 @@ def test_edges_ties_cap(spark):
     check(spark, ev)
 
 
-def test_bucket_edges(spark):
-    # events straddling bucket edges (small buckets force many copies)
+def test_partition_edges(spark):
+    # one key over many ranges, some of them shorter than the look-back
+    rng = random.Random(1)
     ev = [(i, 880 + i * 3.0, "k", True) for i in range(60)]
-    check(spark, ev, bucket_s=45)
-    check(spark, ev, bucket_s=60)
+    check(spark, ev, n_parts=7)
+    check(spark, [(i, 100 + rng.random() * 200, "k" if i % 2 else f"k{i % 5}", i % 7 > 0) for i in range(900)], n_parts=24)
+    check(spark, [(i, 100 + i * 0.01, "k", True) for i in range(300)], n_parts=50)
+
+
+def test_hot_key_is_split(spark):
+    """Half of all rows in one key within a minute: no partition has twice the mean."""
+    ev = [(i, 1000 + (i % 600) * 0.1, "hot" if i % 2 else f"k{i % 997}", True) for i in range(24_000)]
+    rows = frame(spark, ev).withColumn("repetition_key", repeat_key_expr())
+    found = counted(rows, "ts_unix", "flow_id", 45, 50, n_parts=16)
+    sizes = [r["count"] for r in found.groupBy("_lb_part").count().collect()]
+    assert sum(sizes) == len(ev) and len(sizes) > 8 and max(sizes) < 2 * len(ev) / 16
+    check(spark, ev[:4000], n_parts=16)
+
+
+def test_counts_go_on_over_batches(spark):
+    """Batch by batch with the carried rows as in one deque, late rows included."""
+    rng = random.Random(2)
+    batches, mem, want, got = [], {}, {}, {}
+    for b in range(5):
+        late = 60 if b == 3 else 0
+        batches.append([(b * 1000 + i, 100 + b * 40 + rng.random() * 50 - late, f"k{rng.randint(0, 3)}", rng.random() < 0.8)
+                        for i in range(120)])
+    before = None
+    for events in batches:
+        for seq, ts, key, anom in sorted(events, key=lambda e: (e[1], e[0])):
+            dq = mem.setdefault(key, deque())
+            if not anom:
+                want[seq] = 0
+                continue
+            while dq and dq[0] < ts - 45:
+                dq.popleft()
+            want[seq] = len(dq)
+            dq.append(ts)
+            if len(dq) > 50:
+                dq.popleft()
+        keep = []
+        out = attach_repetition(frame(spark, events), before=before, n_parts=6, keep=keep)
+        got.update((r["flow_id"], r["repeat_previous_count"]) for r in out.collect())
+        before = spark.createDataFrame(carried(keep[0], 50).collect(), BEFORE_SCHEMA)
+    assert got == want
+    assert before.count() == sum(map(len, mem.values()))
+    assert carried(keep[0], 50, horizon=1e9).count() == 0
+
+
+def test_null_times_and_empty_input(spark):
+    df = frame(spark, [(1, 5.0, "a", True), (2, 6.0, "a", True)]).unionByName(
+        frame(spark, [(3, 0.0, "a", True), (4, 0.0, "a", True)]).withColumn("ts_unix", F.lit(None).cast("double")))
+    got = {r["flow_id"]: r["repeat_previous_count"] for r in attach_repetition(df).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+    assert attach_repetition(df.limit(0)).collect() == []
 
 
 def test_cap_reached_counts(spark):
