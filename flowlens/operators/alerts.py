@@ -58,7 +58,9 @@ def assemble_alert(df: DataFrame, bands: dict | None = None) -> DataFrame:
         "traffic_class", "likely_benign", "benign_reason", "traffic_note", "context_tags",
         "repeat_count", "repeat_previous_count", "repeat_level", "repeat_window_s", "repetition_key",
         "final_label", "final_severity", "summary", "interpretation", "explanation",
-        "adjustment_reason", "possible_explanation", "what_to_check",
+        F.coalesce(F.nullif("adjustment_reason", F.lit("")), F.nullif("final_severity_reason", F.lit("")),
+                   F.lit("")).alias("adjustment_reason"),
+        "possible_explanation", "what_to_check",
         F.col("final_label").alias("display_label"), "display_label_reason",
         F.col("final_severity").alias("severity"),
         timing.alias("timing"),
@@ -67,7 +69,11 @@ def assemble_alert(df: DataFrame, bands: dict | None = None) -> DataFrame:
                  F.col("final_severity_before_repeat").alias("severity_before_repeat"),
                  F.col("final_severity_after_context").alias("severity_after_context"),
                  F.col("repeat_explanation").alias("repeat_explanation"),
-                 F.col("repeat_boost").alias("suspicion_boost")).alias("debug"),
+                 F.struct(F.col("repetition_key").alias("repeat_key"), F.col("repeat_window_s").alias("repeat_window_s"),
+                          F.col("repeat_previous_count").alias("previous_count"),
+                          F.col("repeat_count").alias("current_count"), F.col("repeat_level").alias("repeat_level"),
+                          F.col("repeat_boost").alias("suspicion_boost"),
+                          F.col("is_repeated").alias("is_repeated")).alias("repeat_info")).alias("debug"),
     ]
     for c in ("top_features", "top_features_raw"):
         if c in df.columns:

@@ -68,7 +68,7 @@ def key_name(key: Column) -> list[Column]:
     return [F.xxhash64(*fields).alias("_lb_k1"), F.xxhash64(F.lit("repeat"), *fields).alias("_lb_k2")]
 
 
-def _look_back(k1, k2, ts, window_s: float, cap: int) -> np.ndarray:
+def look_back(k1, k2, ts, window_s: float, cap: int) -> np.ndarray:
     """Per row the distance to the oldest of the ``cap`` rows before it that has its key
     and is not older than ``window_s``: the deque's length. Older rows ahead of that
     one have left the deque."""
@@ -105,7 +105,7 @@ def _scan_fn(schema: T.StructType, window_s: float, cap: int):
             k1 = np.concatenate([k1, batch.column(k1_at).to_numpy()])
             k2 = np.concatenate([k2, batch.column(k2_at).to_numpy()])
             ts = np.concatenate([ts, batch.column(ts_at).to_numpy(zero_copy_only=False)])
-            prev = _look_back(k1, k2, ts, window_s, cap)[kept:]
+            prev = look_back(k1, k2, ts, window_s, cap)[kept:]
             if first is None:
                 first = (k1[0], k2[0])
             at = np.arange(pos, pos + n)

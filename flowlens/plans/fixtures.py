@@ -117,6 +117,22 @@ def eve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(fid.alias("line_no"), js.alias("value"))
 
 
+def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input of the live job: ``eve_lines`` and, for the flows whose EVE line is another event
+    (``flow_id % 10 = 7``), a scoring request; every other of these lacks two features."""
+    from ..operators.flows import compact_from_flows
+
+    some = flows(spark, sf_dir).where("flow_id % 10 = 7")
+    made = compact_from_flows(some)
+    full = F.create_map(*[x for n in fixed.COMPACT_FEATURES for x in (F.lit(n), F.col(n))])
+    part = F.map_filter(full, lambda k, v: ~k.isin("byte_rate", "proto"))
+    feats = made.select(F.col("flow_id").alias("line_no"), F.when(F.col("flow_id") % 20 == 7, part).otherwise(full).alias("features"))
+    meta = ["ts_unix", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto", "direction"]
+    requests = some.withColumnRenamed("flow_id", "line_no").select("line_no", *meta).join(feats, "line_no")
+    body = F.to_json(F.struct(F.col("line_no").cast("string").alias("flow_id"), *meta, "features"))
+    return eve_lines(spark, sf_dir).unionByName(requests.select("line_no", body.alias("value")))
+
+
 def zeek_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``zeek_conn``: flows renamed to the conn.log columns (FIXTURES.md 1.1, section 3)."""
     f = flows(spark, sf_dir)

@@ -29,23 +29,24 @@ def _demo(spark, sf):
     return comp, ae.demo_model(FEATS, scaler)
 
 
-def _demo_forward_sql(select_tail: str, where: str = "") -> str:
+def demo_layers(source: str, columns: dict[str, str] | None = None) -> list[str]:
+    """CTEs ``xs, hs, os, es, ms``: the demo model on ``source`` (with ``stats``); ``ms`` has all
+    columns of ``source``, scaled inputs ``x0..``, outputs ``o0..``, errors ``e0..``, ``mse``."""
     m = ae.demo_model(FEATS, [(f, 0.0, 1.0) for f in FEATS])
     w1, b1, w2, b2 = m.ws[0], m.bs[0], m.ws[1], m.bs[1]
-    xs = ", ".join(f"({f} - m_{f}) / s_{f} AS x{i}" for i, f in enumerate(FEATS))
+    xs = ", ".join(f"({(columns or {}).get(f, f)} - m_{f}) / s_{f} AS x{i}" for i, f in enumerate(FEATS))
     hid = ", ".join("greatest(0.0, " + " + ".join(f"x{i} * ({float(w1[i][j])!r})" for i in range(len(FEATS)))
                     + f" + ({float(b1[j])!r})) AS h{j}" for j in range(w1.shape[1]))
     out = ", ".join(" + ".join(f"h{j} * ({float(w2[j][k])!r})" for j in range(w1.shape[1])) + f" + ({float(b2[k])!r}) AS o{k}"
                     for k in range(len(FEATS)))
     errs = ", ".join(f"(x{k} - o{k}) * (x{k} - o{k}) AS e{k}" for k in range(len(FEATS)))
     mse = "(" + " + ".join(f"e{k}" for k in range(len(FEATS))) + f") / {len(FEATS)}.0 AS mse"
-    return with_layers([STATS_SQL], f"""
-, xs AS (SELECT flow_id, label, {', '.join(FEATS)}, {xs} FROM compact, stats {where}),
-hs AS (SELECT *, {hid} FROM xs),
-os AS (SELECT *, {out} FROM hs),
-es AS (SELECT *, {errs} FROM os),
-ms AS (SELECT *, {mse} FROM es)
-{select_tail}""")
+    return [f"xs AS (SELECT src.*, {xs} FROM {source} src, stats)", f"hs AS (SELECT *, {hid} FROM xs)",
+            f"os AS (SELECT *, {out} FROM hs)", f"es AS (SELECT *, {errs} FROM os)", f"ms AS (SELECT *, {mse} FROM es)"]
+
+
+def _demo_forward_sql(select_tail: str) -> str:
+    return with_layers([STATS_SQL, *demo_layers("compact")], select_tail)
 
 
 @register("m03_score_autoencoder", _demo_forward_sql(f"SELECT flow_id, {sql_round('mse', 8)} AS ae_mse FROM ms"))

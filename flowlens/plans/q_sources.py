@@ -337,7 +337,7 @@ def _priv(addr):
     return s["private"]
 
 
-LIVE_SQL = with_layers([EVE_SRC], f"""
+LIVE_SELECT = f"""
 SELECT CASE WHEN flow_id % 13 = 0 THEN src_ip || ':' || CAST(src_port AS VARCHAR) || '->' || dest_ip || ':'
             || CAST(dest_port AS VARCHAR) ELSE CAST(flow_id AS VARCHAR) END AS flow_id,
   ts_unix, src_ip, src_port, dest_ip, dest_port,
@@ -353,7 +353,8 @@ SELECT CASE WHEN flow_id % 13 = 0 THEN src_ip || ':' || CAST(src_port AS VARCHAR
   (bytes_fwd + bytes_rev) / greatest(CASE WHEN age > 0 THEN age ELSE duration END, 0.01) AS byte_rate,
   (bytes_fwd + 1.0) / (bytes_rev + 1.0) AS fwd_rev_ratio,
   CAST(CASE proto WHEN 'ICMP' THEN 1 WHEN 'TCP' THEN 6 WHEN 'UDP' THEN 17 ELSE 0 END AS DOUBLE) AS proto_feature
-FROM eve WHERE NOT (dest_port = 5353 OR src_port = 5353 OR dest_ip IN ('224.0.0.251', 'ff02::fb'))""")
+FROM eve WHERE NOT (dest_port = 5353 OR src_port = 5353 OR dest_ip IN ('224.0.0.251', 'ff02::fb'))"""
+LIVE_SQL = with_layers([EVE_SRC], LIVE_SELECT)
 
 
 def _live(spark, sf):

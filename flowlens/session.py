@@ -129,3 +129,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     on a cluster: the checkpoint directory is the cluster's shared folder)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/flowlens-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, asked through Spark's file systems."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        return True
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return False
+        raise

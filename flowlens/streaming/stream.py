@@ -1,11 +1,12 @@
 """The live decision path as one Structured Streaming query.
 
 * T01: EVE lines -> the B14 features and D02 mDNS filter (same column code as batch).
-* T02: the 45 s repetition count with keyed state: ``applyInPandasWithState``
-  per repetition key; the state is the deque of at most 50 event times, so it
-  is bounded per key; an event-time timeout drops a key 45 s after its newest
-  event. Only anomalous rows reach the stateful operator; the others pass
-  through with the defaults (no null-key hot group).
+* T02: the 45 s repetition count with keyed state: ``applyInPandasWithState`` per
+  repetition key; the state in RocksDB is the deque of at most 50 event times, and an
+  event-time timeout drops a key 45 s after its newest event. Only anomalous rows reach the stateful
+  operator; the others pass through with the defaults (no null-key hot group).
+  A key's rows of a micro-batch meet in one task; the live job (``live.py``)
+  cuts hot keys.
 * T03: features -> score -> context -> repetition -> decision -> text -> sink.
 * T04: rolling throughput as a sliding event-time window count.
 * T05: the watermark is configurable (default 45 s, the repetition window).
@@ -26,45 +27,40 @@ from ..functions import fixed
 from ..functions.context import enrich_context, raw_event
 from ..functions.decision import decide
 from ..functions.text import attach_explanations
-from ..operators.repetition import repeat_key_expr
+from ..operators.repetition import look_back, repeat_key_expr, with_levels
 from ..session import default_parallelism, scratch_dir
 
 KEY_FIELDS = ["k_src", "k_dst", "k_proto", "k_class", "k_port"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 STATE_SCHEMA = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType()))])
 
 
 def repetition_state_fn(window_s: float = fixed.REPEAT_WINDOW_S, cap: int = fixed.REPEAT_MAX_EVENTS_PER_KEY,
                         ts_col: str = "ts_unix", seq_col: str = "flow_id"):
-    """Per-key deque semantics: evict times older than ``window_s`` (strictly),
-    previous = len(deque), append, keep the newest ``cap``."""
+    """Per-key deque: evict times older than ``window_s`` (strictly) from its head, previous =
+    its length, append, keep the newest ``cap``. The rows of a micro-batch are counted
+    together by the look-back of the batch operator, after the times in the state."""
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
-        times = [float(t) for t in state.get[0]] if state.exists else []
+        had = [float(t) for t in state.get[0]] if state.exists else []
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True).sort_values([ts_col, seq_col], kind="mergesort")
-        prev_out = np.empty(len(pdf), dtype=np.int32)
-        cur_out = np.empty(len(pdf), dtype=np.int32)
-        for i, now in enumerate(float(t) for t in pdf[ts_col].tolist()):
-            start = 0
-            while start < len(times) and now - times[start] > window_s:
-                start += 1
-            times = times[start:]
-            prev_out[i] = len(times)
-            times.append(now)
-            if len(times) > cap:
-                times = times[-cap:]
-            cur_out[i] = len(times)
-        state.update(([float(t) for t in times],))
+        ts = np.concatenate([np.array(had, dtype=float), pdf[ts_col].to_numpy(dtype=float)])
+        one = np.zeros(len(ts), dtype=np.int64)
+        prev = look_back(one, one, ts, window_s, cap)
+        left = [float(t) for t in ts[-min(int(prev[-1]) + 1, cap):]]
+        state.update((left,))
         # expire 45 s after the newest time, never before the current watermark
-        expire_ms = int((max(times) + float(window_s)) * 1000) + 1
+        expire_ms = int((max(left) + float(window_s)) * 1000) + 1
         state.setTimeoutTimestamp(max(expire_ms, state.getCurrentWatermarkMs() + 1))
         out = pdf.copy()
-        out["repeat_previous_count"] = prev_out
-        out["repeat_count"] = cur_out
+        out["repeat_previous_count"] = prev[len(had):]
         yield out
     return fn
 
@@ -72,33 +68,25 @@ def repetition_state_fn(window_s: float = fixed.REPEAT_WINDOW_S, cap: int = fixe
 def attach_repetition_stream(events: DataFrame, watermark: str = "45 seconds",
                              window_s: float = fixed.REPEAT_WINDOW_S,
                              cap: int = fixed.REPEAT_MAX_EVENTS_PER_KEY) -> DataFrame:
-    """T02 on a streaming (or batch) frame with ``is_anom`` and ``traffic_class``."""
+    """T02 on a streaming frame with ``is_anom`` and ``traffic_class``: one list of at most
+    ``cap`` times per key in RocksDB. No row is dropped for being late."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     key = repeat_key_expr()
     ev = events.withColumn("event_time", F.timestamp_seconds(F.col("ts_unix")))
     ev = ev.withWatermark("event_time", watermark)
     anom = ev.filter(F.col("is_anom")).withColumns({
         "k_src": key["src_ip"], "k_dst": key["dest_ip"], "k_proto": key["proto"],
         "k_class": key["traffic_class"], "k_port": key["dest_port"]})
-    out_schema = T.StructType(list(anom.schema.fields) + [
-        T.StructField("repeat_previous_count", T.IntegerType()),
-        T.StructField("repeat_count", T.IntegerType())])
+    out_schema = T.StructType(list(anom.schema.fields) + [T.StructField("repeat_previous_count", T.IntegerType())])
     counted = anom.groupBy(*KEY_FIELDS).applyInPandasWithState(
         repetition_state_fn(window_s, cap), out_schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     counted = counted.withColumn("repetition_key", F.struct(
         F.col("k_src").alias("src_ip"), F.col("k_dst").alias("dest_ip"), F.col("k_proto").alias("proto"),
         F.col("k_class").alias("traffic_class"), F.col("k_port").alias("dest_port"))).drop(*KEY_FIELDS)
     quiet = ev.filter(~F.col("is_anom")).withColumns({
-        "repeat_previous_count": F.lit(0), "repeat_count": F.lit(0),
+        "repeat_previous_count": F.lit(0),
         "repetition_key": F.lit(None).cast(counted.schema["repetition_key"].dataType)})
-    both = counted.unionByName(quiet)
-    prev = F.col("repeat_previous_count")
-    return both.withColumns({
-        "repeat_level": F.when(prev <= 0, "single").when(prev < fixed.REPEAT_PERSISTENT_PREV_COUNT, "repeated")
-        .otherwise("persistent"),
-        "repeat_window_s": F.lit(int(window_s)),
-        "is_repeated": prev > 0,
-    }).withColumn("repeat_boost", F.when(F.col("repeat_level") == "single", 0)
-                  .when(F.col("repeat_level") == "repeated", 1).otherwise(2))
+    return with_levels(counted.unionByName(quiet), window_s, cap)
 
 
 def decision_stream(events: DataFrame, bands: dict | None = None, watermark: str = "45 seconds",
