@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     the files, so a lost executor costs no recomputation of earlier stages."""
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan reads any more, and let Spark clean up the
+    shuffle files of the jobs before."""
+    for table in tables:
+        spark, path = table.sparkSession, table.staged_path
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

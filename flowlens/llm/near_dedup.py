@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from flowlens.llm.common import staged, text_of
+from flowlens.llm.common import released, staged, text_of
 from flowlens.llm.text import SPACE_WORDS, Prefix, blocks, buffer, mix, shingles, words
 
 SHINGLE = 5
@@ -189,12 +189,16 @@ def _near_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=_NEAR.names)
 
 
-def _neighbour_rows(classes: DataFrame) -> DataFrame:
-    """Neighbouring classes of all sorted orders: ``tree, label, digest, other,
-    other_label`` where at least the root values agree."""
+def _sorted_orders(classes: DataFrame) -> DataFrame:
+    """The neighbours and edges of all sorted orders (``_NEAR``), written."""
     rows = _forest_rows(classes)
     shuffled = rows.repartitionByRange("tree", "label", "digest").sortWithinPartitions("tree", "label", "digest")
-    near = staged(shuffled.mapInArrow(_neighbours, _NEAR), "forest")
+    return staged(shuffled.mapInArrow(_neighbours, _NEAR), "forest")
+
+
+def _neighbour_rows(near: DataFrame) -> DataFrame:
+    """Neighbouring classes of all sorted orders: ``tree, label, digest, other,
+    other_label`` where at least the root values agree."""
     # two rows per partition meet again by region, to be joined over the border
     region = Window.partitionBy("tree", F.substring("label", 1, 2 * ROOT)).orderBy("label", "digest")
     border = (near.where(F.col("kind") == _EDGE).dropDuplicates(["tree", "label", "digest"])
@@ -203,14 +207,12 @@ def _neighbour_rows(classes: DataFrame) -> DataFrame:
     return near.where(F.col("kind") == _PAIR).unionByName(border).drop("kind")
 
 
-_SET = StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType()),
-                   StructField("short", BinaryType())])
+_SET = StructType([StructField("digest", BinaryType()), StructField("shingles", BinaryType())])
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``digest, shingles, short`` of the classes in ``wanted`` (``digest, member``),
-    made anew from the text of one member document each; ``short`` has 32 bits of
-    each hash."""
+    """``digest, shingles`` of the classes in ``wanted`` (``digest, member``), made anew
+    from the text of one member document each."""
     src = docs.select(F.col(key).alias("_key"), text_of(docs, text).alias("_text"))
     mine = src.join(wanted.select(F.col("member").alias("_m")), src["_key"].eqNullSafe(F.col("_m")), "left_semi")
 
@@ -220,14 +222,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", key: str =
                 sets = [s for s in shingle_sets(batch.slice(i, 250).column(1)) if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_digest(s) for s in sets], pa.binary()),
-                     pa.array([s.tobytes() for s in sets], pa.binary()),
-                     pa.array([np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in sets], pa.binary())],
-                    names=_SET.names)
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=_SET.names)
 
     made = mine.mapInArrow(run, _SET)
     return made.join(wanted.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
+def short_sets(sets: DataFrame) -> DataFrame:
+    """``digest, short``: 32 bits of each hash of the full sets."""
+    def run(batches):
+        for batch in batches:
+            full = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(1))
+            short = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in full]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["digest", "short"])
+
+    return sets.select("digest", "shingles").mapInArrow(run, "digest binary, short binary")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``u, v`` of which ``100 * intersection >= percent * union``."""
     both = (pairs.join(sets.select(F.col("digest").alias("u"), F.col("shingles").alias("_a")), "u")
@@ -325,10 +336,11 @@ def _remaining(regions: DataFrame, classes: DataFrame, sets: DataFrame, parts: D
         "root", F.coalesce("root", "digest"))
     mixed = rows.groupBy(*_REGION_KEYS).agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where(
         "_lo != _hi").select(*_REGION_KEYS)
-    rows = staged(rows.join(mixed, _REGION_KEYS, "left_semi"), "mixed-regions")
-    rows = rows.join(classes.select("digest", "n", "signature"), "digest").join(
-        sets.select("digest", "short"), "digest")
-    return _told(rows, _REGION_KEYS, percent)
+    mixed = staged(rows.join(mixed, _REGION_KEYS, "left_semi"), "mixed-regions")
+    rows = mixed.join(classes.select("digest", "n", "signature"), "digest").join(short_sets(sets), "digest")
+    told = staged(_told(rows, _REGION_KEYS, percent), "remaining")
+    released(mixed)
+    return told
 
 
 def _told(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
@@ -417,8 +429,10 @@ def _across(regions: DataFrame, classes: DataFrame, sets: DataFrame, parts: Data
         return table.select([*cols, "mine"]).filter(pa.array(keep))
 
     some = staged(signed_rows.groupBy(*_BLOCK_KEYS).applyInArrow(likely, schema), "split-likely")
-    payload = classes.select("digest", "n", "signature").join(sets.select("digest", "short"), "digest")
-    return _told(some.join(payload, "digest"), _BLOCK_KEYS, percent)
+    payload = classes.select("digest", "n", "signature").join(short_sets(sets), "digest")
+    told = staged(_told(some.join(payload, "digest"), _BLOCK_KEYS, percent), "across")
+    released(rows, some)
+    return told
 
 
 def _grouped(docs: DataFrame, percent: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -430,17 +444,23 @@ def _grouped(docs: DataFrame, percent: int, text: str, key: str) -> tuple[DataFr
                      .agg(first.alias("_f"), F.max("n_shingles").alias("n"), F.min("signature").alias("signature"))
                      .select("digest", F.col("_f.doc_id").alias("member"), F.col("_f.name").alias("name"), "n",
                              "signature"), "classes")
-    regions = staged(_regions(_neighbour_rows(classes)), "regions")
+    forest = _sorted_orders(classes)
+    regions = staged(_regions(_neighbour_rows(forest)), "regions")
+    released(forest)
     wanted = classes.select("digest", "member").join(regions.select("digest"), "digest", "left_semi")
     sets = staged(full_sets(docs, wanted, text, key), "sets")
-    links = staged(confirmed(staged(_likely(regions, classes, percent), "likely"), sets, percent), "links")
-    more = staged(_remaining(regions, classes, sets, components(links), percent), "remaining")
+    likely = staged(_likely(regions, classes, percent), "likely")
+    links = staged(confirmed(likely, sets, percent), "links")
+    more = _remaining(regions, classes, sets, components(links), percent)
     links = links.unionByName(staged(confirmed(more, sets, percent), "more-links"))
+    released(likely, more)
     parts = components(links)
-    last = staged(_across(regions, classes, sets, parts, percent), "across")
+    last = _across(regions, classes, sets, parts, percent)
     if not last.isEmpty():
         parts = components(links.unionByName(staged(confirmed(last, sets, percent), "last-links")))
-    joined = classes.select("digest", "member", "name").join(
+    names = staged(classes.select("digest", "member", "name"), "class-names")
+    released(sets, regions, last, classes)
+    joined = names.join(
         parts.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     return own, joined
 
