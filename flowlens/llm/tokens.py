@@ -27,7 +27,7 @@ import regex
 from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
 
 #: cuts remembered per worker process (bounds on memory, not on results)
-MEMO, COUNTED = 1_200_000, 500_000
+MEMO, COUNTED = 1_700_000, 500_000
 #: a longer cut is not remembered
 MEMO_CHARS = 64
 #: bytes of a part, and so at most tokens, whose counts fit 16 bits with one more for the space
@@ -106,8 +106,8 @@ class Encoder:
         # several cuts in one call: the line feed between them is an id of its own
         lines = [p for p in cuts if p[0] == "\n"]
         for some, glue, skip in ((lines, "", 0), ([p for p in cuts if p[0] != "\n"], "\n ", 4)):
-            for i in range(0, len(some), 64):
-                part = some[i:i + 64]
+            for i in range(0, len(some), 128):
+                part = some[i:i + 128]
                 ids = np.frombuffer(self._library([glue + glue.join(part)])[0], dtype="<u4")
                 at = np.flatnonzero(ids == self.line_feed) * 4
                 if len(at) != len(part):
