@@ -84,7 +84,12 @@ def test_empty_table(make):
 
 
 def test_names_are_added_up_before_the_shuffle(make):
-    rows = make(["a"]).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    plan = line_dedup.common_lines(rows)._jdf.queryExecution().executedPlan().toString()
+    lines = make(["a"]).selectExpr("doc_id as _id", "1L as _a", "2L as _b", "true as new")
+    plan = line_dedup.common_lines(lines)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "partial_count" in plan
-    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_empty_lines_and_documents_side_by_side(make):
+    texts = ["", LONG, "", "", f"\n\n{LONG}\n", None, f"{LONG}\n\n", "\n", f"\r\n{LONG}\r\n", LONG, "x", LONG]
+    assert result(make(texts, parts=1)) == brute(list(enumerate(texts)))
+    assert result(make(texts, parts=3)) == brute(list(enumerate(texts)))
