@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import ordered_running_sums, partition_offsets, quantile_linear, ranged
+from .selection import first_rows
 
 
 # ---------------------------------------------------------------------------
@@ -146,41 +147,18 @@ def error_moments(df: DataFrame, col: str) -> DataFrame:
 # E12-E14 exact-size shuffled splits
 # ---------------------------------------------------------------------------
 def shuffle_key(key_col: str, seed: int = 42) -> Column:
-    return F.md5(F.concat(F.col(key_col).cast("string"), F.lit(str(seed))))
+    return F.md5(F.concat(F.coalesce(F.col(key_col).cast("string"), F.lit("\0null")), F.lit(str(seed))))
 
 
 def exact_split(df: DataFrame, key_col: str, valid_fraction: float, seed: int = 42) -> DataFrame:
     """Rows in md5(key || seed) order; n_valid = int(n * f); the
-    first n - n_valid rows are ``train``, the rest ``valid``. The cut is the
-    (n - n_valid)-th hash, found by the rank helper; then a plain filter."""
-    h = shuffle_key(key_col, seed)
-    x = df.withColumn("_h", h)
-    n, vals = _kth_text(x, "_h", lambda n: [n - int(n * valid_fraction)] if int(n * valid_fraction) > 0 else [])
-    n_valid = int(n * valid_fraction)
-    if n_valid == 0:
-        return x.drop("_h").withColumn("split", F.lit("train"))
-    cut = vals[n - n_valid]
-    return x.withColumn("split", F.when(F.col("_h") < F.lit(cut), "train").otherwise("valid")).drop("_h")
-
-
-def _kth_text(df: DataFrame, col: str, ks_of_n):
-    """k-th values of a text column (same helper, no numeric cast)."""
-    r = ranged(df.select(F.col(col).alias("_v")).filter(F.col("_v").isNotNull()), [F.col("_v")])
-    counts = sorted((row["_pid"], row["_cnt"]) for row in
-                    r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).collect())
-    n = sum(c for _, c in counts)
-    ks = sorted(set(ks_of_n(n))) if n else []
-    wanted, start = [], 0
-    for pid, cnt in counts:
-        for k in ks:
-            if start <= k < start + cnt:
-                wanted.append((pid, k - start, k))
-        start += cnt
-    vals = {}
-    for pid, pos, k in wanted:
-        row = r.filter((F.col("_pid") == pid) & (F.col("_pos") == pos)).select("_v").collect()
-        vals[k] = row[0]["_v"]
-    return n, vals
+    first n - n_valid rows are ``train``, the rest ``valid``. The sizes hold for null and
+    repeated keys too: rows of one key are cut by their other columns, equal rows anywhere."""
+    n = df.count()
+    hashed = shuffle_key(key_col, seed)
+    digits = [F.conv(F.substring(hashed, at, size), 16, 10).cast("bigint") for at, size in ((1, 15), (16, 15), (31, 2))]
+    out = first_rows(df, digits, n - int(n * valid_fraction), "_train")
+    return out.withColumn("split", F.when(F.col("_train"), "train").otherwise("valid")).drop("_train")
 
 
 def stratified_split(df: DataFrame, key_col: str, label_col: str, valid_fraction: float,

@@ -214,9 +214,8 @@ def flow_matrix(df: DataFrame, source: str = "auto", fix_aliases: bool = True,
 def winsorise_columns(df: DataFrame, cols: list[str], q: float = 0.999, materialise: bool = True) -> DataFrame:
     """Clip each column at its nearest-rank ``q`` quantile (exact).
 
-    The quantile pass needs the finished columns three times (range-bound
-    sampling, the range shuffle, the final clip); with ``materialise`` the
-    frame is written once to the reliable checkpoint folder so the upstream
+    The counting passes and the final clip read the finished columns several
+    times; with ``materialise`` the frame is written once to the reliable checkpoint folder so the upstream
     parse and feature expressions run once."""
     if materialise:
         ensure_checkpoint_dir(df.sparkSession)

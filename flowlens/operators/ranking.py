@@ -13,18 +13,20 @@ scale that is never acceptable. Instead:
    prefix offsets, joined back by broadcast;
 4. running sums inside a partition are computed by an Arrow ``mapInPandas``
    (numpy cumsum over the already-sorted batches).
+
+Single order statistics (quantiles, exact cuts) need no order: ``selection`` counts.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from .selection import kth
 
 _ROW_BITS = 33
 
@@ -57,102 +59,33 @@ def partition_offsets(r: DataFrame, sums: dict[str, Column] | None = None,
     return per.withColumns(cols)
 
 
-def with_global_rank(df: DataFrame, order: list[Column], n_parts: int | None = None) -> DataFrame:
-    """Adds ``_rank``: 0-based position in the global order."""
-    r = ranged(df, order, n_parts)
-    off = partition_offsets(r).select("_pid", "_off_cnt")
-    return (r.join(F.broadcast(off), "_pid")  # one row per partition
-            .withColumn("_rank", F.col("_off_cnt") + F.col("_pos")).drop("_off_cnt"))
-
-
-def kth_values(df: DataFrame, col: str, ks_of_n, n_parts: int | None = None) -> tuple[int, dict]:
-    """Exact order statistics of a numeric column: ``ks_of_n(n)`` returns the
-    0-based ranks wanted; returns (n, {rank: value}). Only the per-partition
-    counts and the wanted rows reach the driver."""
-    base = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    r = ranged(base, [F.col("_v")], n_parts)
-    counts = sorted((row["_pid"], row["_cnt"]) for row in
-                    r.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt")).collect())
-    n = sum(c for _, c in counts)
-    ks = sorted(set(int(k) for k in ks_of_n(n))) if n else []
-    wanted = []
-    start = 0
-    for pid, cnt in counts:
-        for k in ks:
-            if start <= k < start + cnt:
-                wanted.append((pid, k - start, k))
-        start += cnt
-    values = {}
-    if wanted:
-        cond = None
-        for pid, pos, _ in wanted:
-            c = (F.col("_pid") == pid) & (F.col("_pos") == pos)
-            cond = c if cond is None else (cond | c)
-        got = {(row["_pid"], row["_pos"]): row["_v"] for row in r.filter(cond).select("_pid", "_pos", "_v").collect()}
-        values = {k: got[(pid, pos)] for pid, pos, k in wanted}
-    return n, values
-
-
-def quantile_linear(df: DataFrame, col: str, q: float, n_parts: int | None = None):
+def quantile_linear(df: DataFrame, col: str, q: float) -> float | None:
     """numpy ``percentile(..., linear)`` / DuckDB ``quantile_cont``: exact, from
     the two neighbouring order statistics."""
     def ks(n):
         pos = q * (n - 1)
         return [math.floor(pos), math.ceil(pos)]
-    n, vals = kth_values(df, col, ks, n_parts)
+    n, found = kth(df, [F.col(col).cast("double")], ks)[0]
     if n == 0:
         return None
     pos = q * (n - 1)
-    lo, hi = vals[math.floor(pos)], vals[math.ceil(pos)]
-    return lo + (hi - lo) * (pos - math.floor(pos))
+    lo, hi = found[math.floor(pos)].value, found[math.ceil(pos)].value
+    return lo if lo == hi else lo + (hi - lo) * (pos - math.floor(pos))
+
 
+def nearest_rank(q: float, n: int) -> int:
+    return int(math.floor(q * (n - 1) + 0.5))
 
-def quantile_nearest(df: DataFrame, col: str, q: float, n_parts: int | None = None):
+
+def quantile_nearest(df: DataFrame, col: str, q: float) -> float | None:
     """pandas ``quantile(q, interpolation='nearest')`` (ties of the fraction round up)."""
-    def k(n):
-        return [int(math.floor(q * (n - 1) + 0.5))]
-    n, vals = kth_values(df, col, k, n_parts)
-    if n == 0:
-        return None
-    return vals[int(math.floor(q * (n - 1) + 0.5))]
-
-
-def nearest_quantiles_stacked(df: DataFrame, cols: list[str], q: float, n_parts: int | None = None) -> dict:
-    """Nearest-rank quantile of several columns in one range-partitioned pass:
-    the columns are stacked as (name, value) rows ordered by (name, value)."""
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in cols])).alias("_s"))
-    stacked = stacked.select("_s._name", "_s._v").filter(F.col("_v").isNotNull())
-    r = ranged(stacked, [F.col("_name"), F.col("_v")], n_parts)
-    per = [(row["_name"], row["_pid"], row["_cnt"]) for row in
-           r.groupBy("_name", "_pid").agg(F.count(F.lit(1)).alias("_cnt")).collect()]
-    out, wanted = {}, []
-    for c in cols:
-        parts = sorted((pid, cnt) for name, pid, cnt in per if name == c)
-        n = sum(cnt for _, cnt in parts)
-        if n == 0:
-            out[c] = None
-            continue
-        k = int(math.floor(q * (n - 1) + 0.5))
-        start = 0
-        for pid, cnt in parts:
-            if start <= k < start + cnt:
-                wanted.append((c, pid, k - start))
-                break
-            start += cnt
-    if wanted:
-        # positions count rows of every name in the partition: offset by the
-        # rows of earlier names inside the same partition (sorted by name)
-        firsts = {(row["_name"], row["_pid"]): row["_first"] for row in
-                  r.groupBy("_name", "_pid").agg(F.min("_pos").alias("_first")).collect()}
-        cond = None
-        for c, pid, pos in wanted:
-            p = firsts[(c, pid)] + pos
-            e = (F.col("_pid") == pid) & (F.col("_pos") == p)
-            cond = e if cond is None else (cond | e)
-        for row in r.filter(cond).select("_name", "_v").collect():
-            out[row["_name"]] = row["_v"]
-    return out
+    return nearest_quantiles_stacked(df, [col], q)[col]
+
+
+def nearest_quantiles_stacked(df: DataFrame, cols: list[str], q: float) -> dict:
+    """Nearest-rank quantile of several columns in the same counting passes."""
+    found = kth(df, [F.col(c).cast("double") for c in cols], lambda n: [nearest_rank(q, n)])
+    return {c: values[nearest_rank(q, n)].value if n else None for c, (n, values) in zip(cols, found)}
 
 
 def ordered_running_sums(df: DataFrame, order: list[Column], sum_cols: list[str],
@@ -182,5 +115,3 @@ def ordered_running_sums(df: DataFrame, order: list[Column], sum_cols: list[str]
     return out.withColumns({f"cum_{c}": F.col(f"_loc_{c}") + F.col(f"_off__t_{c}") for c in sum_cols}) \
         .drop(*[f"_loc_{c}" for c in sum_cols], *[f"_off__t_{c}" for c in sum_cols])
 
-
-__all__ = ["pd"]

@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.operators import evaluation as ev
 from flowlens.operators import ranking
@@ -13,10 +14,10 @@ def test_quantiles_match_numpy(spark, n):
     rng = np.random.default_rng(n)
     vals = rng.normal(size=n).round(3)
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
-    lin = ranking.quantile_linear(df, "v", 0.995, n_parts=4)
+    lin = ranking.quantile_linear(df, "v", 0.995)
     assert lin == pytest.approx(float(np.percentile(vals, 99.5)), rel=1e-12, abs=1e-12)
     k = int(math.floor(0.999 * (n - 1) + 0.5))
-    near = ranking.quantile_nearest(df, "v", 0.999, n_parts=4)
+    near = ranking.quantile_nearest(df, "v", 0.999)
     assert near == sorted(vals)[k]
 
 
@@ -24,7 +25,7 @@ def test_stacked_quantiles(spark):
     rng = np.random.default_rng(3)
     a, b = rng.exponential(size=700), rng.exponential(size=700) * 10
     df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
-    caps = ranking.nearest_quantiles_stacked(df, ["a", "b"], 0.999, n_parts=3)
+    caps = ranking.nearest_quantiles_stacked(df, ["a", "b"], 0.999)
     k = int(math.floor(0.999 * 699 + 0.5))
     assert caps["a"] == sorted(a)[k] and caps["b"] == sorted(b)[k]
 
@@ -109,3 +110,45 @@ def test_binary_metrics_reproduce_stored_record(spark):
     assert m["precision"] == pytest.approx(rec["precision"], rel=1e-12)
     assert m["recall"] == pytest.approx(rec["recall"], rel=1e-12)
     assert m["f1"] == pytest.approx(rec["f1"], rel=1e-12)
+
+
+@pytest.mark.parametrize("case", ["ties", "wide", "odd", "one", "tiny"])
+def test_counting_selection(spark, case):
+    from flowlens.operators.selection import kth
+    rng = np.random.default_rng(7)
+    vals = {"ties": [5.0] * 900 + list(rng.normal(size=100)), "wide": list(10.0 ** rng.uniform(-300, 300, 700)) + [-1.7e308, 1.7e308],
+            "odd": [float("nan")] * 3 + [float("inf")] * 2 + [-float("inf")] + list(rng.normal(size=50)),
+            "one": [3.0], "tiny": [5e-324 * i for i in range(40)]}[case]
+    df = spark.createDataFrame([(float(v),) for v in vals] + [(None,)], "v double").repartition(5)
+    want = sorted(vals, key=lambda v: (math.isnan(v), v))
+    ks = sorted({0, len(vals) // 3, len(vals) // 2, len(vals) - 1})
+    n, found = kth(df, [F.col("v")], lambda n: ks)[0]
+    assert n == len(vals)
+    for k in ks:
+        assert found[k].value == want[k] or math.isnan(want[k])
+        if not math.isnan(want[k]):
+            assert (found[k].below, found[k].equal) == (sum(v < want[k] for v in vals), vals.count(want[k]))
+
+
+def test_selection_of_whole_numbers_and_empty(spark):
+    from flowlens.operators.selection import kth
+    vals = [-2**63, 2**63 - 1, 0, 7, 7, 7, -5]
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    _, found = kth(df, [F.col("v")], lambda n: list(range(n)))[0]
+    assert [found[k].value for k in range(7)] == sorted(vals)
+    assert kth(df.limit(0), [F.col("v")], lambda n: [0]) == [(0, {})]
+
+
+@pytest.mark.parametrize("keys", [[None] * 100, [1] * 90 + list(range(10)), [None] * 50 + list(range(50)), [3] * 100])
+def test_split_sizes_hold_for_null_and_repeated_keys(spark, keys):
+    for other in (lambda i: i, lambda i: 0):  # rows that differ, rows that are equal
+        df = spark.createDataFrame([(k, other(i)) for i, k in enumerate(keys)], "k long, v long").repartition(4)
+        got = {r["split"]: r["count"] for r in ev.exact_split(df, "k", 0.2).groupBy("split").count().collect()}
+        assert got == {"train": 80, "valid": 20}
+
+
+def test_selection_shuffles_only_counts(spark):
+    df = spark.range(1000).selectExpr("id * 1.0D as v")
+    out = ev.exact_split(df.selectExpr("cast(v as long) as k", "v"), "k", 0.2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
