@@ -1,15 +1,16 @@
 """Isolation forest grown and applied on Spark.
 
 Sampling (M05): every tree needs ``min(256, n)`` rows drawn without
-replacement. A seeded Bernoulli pre-sample first keeps about 4 x trees x 256
-rows of the input; within it each row gets one hash per tree, a filter keeps a
-row for a tree when its hash falls below 4 x 256 / (pre-sample size) (about
-1,000 rows per tree), and the 256 smallest hashes per tree are the sample. The
-per-tree groups are therefore bounded, and ``groupBy(tree).applyInPandas``
-grows each tree in its own task. The node table (trees x at most 2^(depth+1)
-nodes) is the model; scoring broadcasts it and computes path lengths in an
-Arrow UDF. The random streams differ from any single-machine library, so
-scores agree in distribution, not bit for bit.
+replacement. A hash of the row's key below a threshold keeps about
+4 x trees x 256 rows; within these each row gets one hash per tree, a
+threshold keeps about 1,000 rows per tree, and the 256 smallest hashes per tree
+are the sample. Both thresholds are one expression at every size (up to 1: all
+rows), and depend on keys alone, so equal rows give the same trees however they
+are partitioned. The per-tree groups are bounded, and
+``groupBy(tree).applyInPandas`` grows each tree in its own task. The node table
+(trees x at most 2^(depth+1) nodes) is the model; it is saved as Parquet, and
+scoring computes path lengths from it in an Arrow UDF. The random streams differ from any
+single-machine library, so scores agree in distribution, not bit for bit.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..session import ensure_checkpoint_dir
+from .evaluation import scale_columns
 from .ranking import quantile_linear
 
 EULER_GAMMA = 0.5772156649015329
@@ -77,24 +79,21 @@ def train_isolation_forest(df: DataFrame, features: list[str], key_col: str, n_t
     if psi == 0:
         raise ValueError("no rows")
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    # Stage 1 (JVM, one random number per row): a seeded Bernoulli pre-sample of
-    # about oversample x trees x psi rows, so the per-tree hashing below never
-    # touches the full input. A uniform subset of a uniform subset is uniform.
-    p0 = min(1.0, oversample * n_trees * psi / n)
-    if p0 < 1.0:
-        df = df.sample(withReplacement=False, fraction=p0, seed=seed)
-    n_base = max(1.0, p0 * n)
-    frac = min(1.0, oversample * psi / n_base)
-    # uniform [0, 1) per (row, tree) from a 64-bit hash
-    u = lambda t: (F.pmod(F.xxhash64(F.col(key_col), t, F.lit(seed)), F.lit(1 << 53))
-                   .cast("double") / F.lit(float(1 << 53)))
+    def u(*salt) -> F.Column:
+        """uniform [0, 1) per key and salt from a 64-bit hash"""
+        h = F.xxhash64(F.col(key_col), *salt, F.lit(seed))
+        return F.pmod(h, F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+
+    # a uniform subset of a uniform subset is uniform
+    base = min(1.0, oversample * n_trees * psi / n)
+    share = min(1.0, oversample * psi / max(1.0, base * n))
     trees = F.sequence(F.lit(0), F.lit(n_trees - 1))
-    picked = F.filter(trees, lambda t: u(t) < F.lit(frac)) if frac < 1.0 else trees
-    cand = (df.select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(key_col),
-                      F.explode(picked).alias("tree"))
+    cand = (df.where(u(F.lit("base")) < F.lit(base))
+            .select(F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.col(key_col),
+                    F.explode(F.filter(trees, lambda t: u(t) < F.lit(share))).alias("tree"))
             .withColumn("_u", u(F.col("tree"))))
     # per tree at most ~oversample x psi rows: the window groups are bounded
-    w = Window.partitionBy("tree").orderBy("_u", key_col)
+    w = Window.partitionBy("tree").orderBy("_u", key_col, "x")
     sample = cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r", "_u")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,6 +108,34 @@ def train_isolation_forest(df: DataFrame, features: list[str], key_col: str, n_t
     return sample.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
+def save_forest(nodes: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").parquet(path)
+
+
+def load_forest(spark, path: str) -> DataFrame:
+    return spark.read.schema(NODE_SCHEMA).parquet(path)
+
+
+def demo_forest(spark, features: list[str]) -> DataFrame:
+    """Fixed small trees from a closed formula (used by the SQL oracle of M06 and M08)."""
+    return spark.createDataFrame([(t, *node) for t in range(DEMO_TREES) for node in demo_tree(t, len(features))], NODE_SCHEMA)
+
+
+DEMO_TREES = 5
+
+
+def demo_tree(t: int, n_features: int) -> list[tuple]:
+    """Node rows of one of these trees: a root, two splits, four leaves of 64 rows in all."""
+    def threshold(k: int) -> float:
+        return ((t * 5 + k * 3) % 11 - 4) / 8.0
+    leaf = [(64 - 7 * t) // 4 + k for k in range(3)]
+    sizes = [*leaf, 64 - sum(leaf)]
+    rows = [(0, t % n_features, threshold(0), 1, 2, 64, 0),
+            (1, (t + 2) % n_features, threshold(1), 3, 4, sizes[0] + sizes[1], 1),
+            (2, (t + 4) % n_features, threshold(2), 5, 6, sizes[2] + sizes[3], 1)]
+    return rows + [(3 + k, -1, float("nan"), -1, -1, sizes[k], 2) for k in range(4)]
+
+
 def _forest_arrays(nodes: DataFrame):
     """Collect the node table (bounded: trees x 2^(depth+1) rows) into arrays."""
     pdf = nodes.toPandas().sort_values(["tree", "node"])
@@ -156,8 +183,8 @@ def fit_offset(scored_train: DataFrame, score_col: str = "if_score", contaminati
     """offset = contamination percentile of the training ``score_samples``
     (= -s(x)), exact via the rank helper."""
     neg = scored_train.select((-F.col(score_col)).alias("_ss"))
-    # one double column, written once: the range sampling and the range
-    # shuffle then read it instead of re-running the scoring UDF twice
+    # one double column, written once: the counting passes read it instead of
+    # re-running the scoring UDF
     ensure_checkpoint_dir(neg.sparkSession)
     neg = neg.checkpoint(eager=True)
     return quantile_linear(neg, "_ss", contamination)
@@ -175,6 +202,13 @@ def flag_by_threshold(score: F.Column, threshold: float = -0.200629) -> F.Column
     return ((-score) >= F.lit(float(threshold))).cast("int")
 
 
-def preview(df: DataFrame, key_col: str, n: int = 5) -> DataFrame:
-    """The first ``n`` rows in key order (top-k)."""
-    return df.orderBy(key_col).limit(n)
+def preview(df: DataFrame, key_col: str, nodes: DataFrame, features: list[str], offset: float, n: int = 5,
+            label_col: str | None = None, scaler=None) -> DataFrame:
+    """The first ``n`` rows in key order (top-k), scored with the forest: key, label if there is
+    one, score, decision and flag. ``scaler`` rows scale the features before."""
+    rows = df.orderBy(key_col).limit(n)
+    if scaler is not None:
+        rows = scale_columns(rows, scaler)
+    label = [label_col] if label_col and label_col in df.columns else []
+    return decision(score_isolation_forest(rows, nodes, features), offset).select(
+        key_col, *label, "if_score", "if_decision", "if_anomaly_score", "if_flag")

@@ -11,6 +11,7 @@ from ..operators import evaluation as ev
 from ..operators import flows as fl
 from ..operators import iforest as iso
 from ..sources.sinks import json_lines
+from ..session import scratch_dir
 from . import fixtures
 from .oracle_sql import with_layers
 from .q_stats import STATS_SQL
@@ -82,12 +83,69 @@ def f05(spark, sf):
                     stable_round(F.col("top")[0]["err"], 8).alias("top_err"))
 
 
-@register("m08_preview_scoring", _demo_forward_sql(
-    f"SELECT flow_id, label, {sql_round('mse', 8)} AS ae_mse FROM ms ORDER BY flow_id LIMIT 5"))
+def _forest_score_sql() -> str:
+    """Score of the fixed forest from scaled features ``x0..``: path length is 2 plus the leaf's part."""
+    def tree(t):
+        rows = {r[0]: r for r in iso.demo_tree(t, len(FEATS))}
+        leaf = {k: 2.0 + float(iso.avg_path_length([rows[k][5]])[0]) for k in range(3, 7)}
+
+        def split(k, left, right):
+            return f"CASE WHEN x{rows[k][1]} < {rows[k][2]!r} THEN {left} ELSE {right} END"
+        return split(0, split(1, repr(leaf[3]), repr(leaf[4])), split(2, repr(leaf[5]), repr(leaf[6])))
+    total = " + ".join(f"({tree(t)})" for t in range(iso.DEMO_TREES))
+    return f"pow(2.0, -(({total}) / {float(iso.DEMO_TREES)!r}) / {float(iso.avg_path_length([64])[0])!r})"
+
+
+FOREST_LAYERS = [STATS_SQL, demo_layers("compact")[0], f"fs AS (SELECT *, {_forest_score_sql()} AS s FROM xs)",
+                 "fo AS (SELECT quantile_cont(-s, 0.05) AS o FROM fs)",
+                 "fd AS (SELECT *, -s - o AS d, CAST(-s - o < 0 AS INTEGER) AS flag FROM fs, fo)"]
+
+
+def _fixed_forest(spark, sf):
+    """The compact rows scaled and scored with the fixed forest, written as its node table and read back."""
+    def build():
+        path = scratch_dir(spark, "forest")
+        iso.save_forest(iso.demo_forest(spark, FEATS), path)
+        comp, model = _demo(spark, sf)
+        nodes = iso.load_forest(spark, path)
+        scored = iso.score_isolation_forest(ev.scale_columns(comp, model.scaler), nodes, FEATS)
+        return comp, model.scaler, nodes, scored, iso.fit_offset(scored, contamination=0.05)
+    return fixtures.memo(spark, sf, "fixed-forest", build)
+
+
+@register("m06_fixed_forest_scores", with_layers(FOREST_LAYERS, f"""
+SELECT flow_id, {sql_round('s', 9)} AS if_score, {sql_round('d', 9)} AS if_decision, flag AS if_flag FROM fd"""))
+def m06_fixed(spark, sf):
+    *_, scored, offset = _fixed_forest(spark, sf)
+    return iso.decision(scored, offset).select("flow_id", stable_round("if_score", 9).alias("if_score"),
+                                               stable_round("if_decision", 9).alias("if_decision"), "if_flag")
+
+
+@register("m06_forest_metrics", with_layers(FOREST_LAYERS, f"""
+, cm AS (SELECT count(*) FILTER (WHERE label = 0 AND flag = 0) AS tn, count(*) FILTER (WHERE label = 0 AND flag = 1) AS fp,
+                count(*) FILTER (WHERE label = 1 AND flag = 0) AS fn, count(*) FILTER (WHERE label = 1 AND flag = 1) AS tp FROM fd),
+g AS (SELECT round(s, 9) AS s, sum(label) AS pos, sum(1 - label) AS neg FROM fd GROUP BY 1),
+k AS (SELECT *, sum(neg) OVER (ORDER BY s DESC) AS fps FROM g)
+SELECT tn, fp, fn, tp, {sql_round("coalesce(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 0.0)", 9)} AS f1,
+  (SELECT {sql_round("sum(pos * ((SELECT sum(neg) FROM g) - fps + neg / 2.0)) / ((SELECT sum(pos) FROM g) * (SELECT sum(neg) FROM g))", 9)} FROM k)
+  AS roc_auc FROM cm"""))
+def m06_metrics(spark, sf):
+    """AUC of the anomaly score and F1 of the flag, as the training script reports them."""
+    *_, scored, offset = _fixed_forest(spark, sf)
+    out = iso.decision(scored, offset).withColumn("if_rank", F.round("if_score", 9))
+    cm = ev.confusion_counts(out, "label", F.col("if_flag") == 1)
+    auc = ev.roc_auc_ap(ev.score_curve(out, "if_rank", "label")).select(stable_round("roc_auc", 9).alias("roc_auc"))
+    return ev.binary_metrics(cm).select("tn", "fp", "fn", "tp", stable_round("f1", 9).alias("f1")).join(F.broadcast(auc))
+
+
+@register("m08_preview_scoring", with_layers(FOREST_LAYERS, f"""
+SELECT flow_id, label, {sql_round('s', 9)} AS if_score, {sql_round('d', 9)} AS if_decision, flag AS if_flag
+FROM fd ORDER BY flow_id LIMIT 5"""))
 def m08(spark, sf):
-    comp, model = _demo(spark, sf)
-    return ae.score_autoencoder(iso.preview(comp, "flow_id", 5), model, "ae_mse").select(
-        "flow_id", "label", stable_round("ae_mse", 8).alias("ae_mse"))
+    comp, scaler, nodes, _, offset = _fixed_forest(spark, sf)
+    return iso.preview(comp, "flow_id", nodes, FEATS, offset, 5, "label", scaler).select(
+        "flow_id", "label", stable_round("if_score", 9).alias("if_score"),
+        stable_round("if_decision", 9).alias("if_decision"), "if_flag")
 
 
 @register("m07_fixed_threshold_flag", with_layers([STATS_SQL], """

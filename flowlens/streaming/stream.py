@@ -108,6 +108,15 @@ def throughput_windows(events: DataFrame, window: str = "10 seconds", slide: str
                     (F.col("n") / F.lit(secs)).alias("fps")))
 
 
+def closing_event(events: DataFrame, window: str = "10 seconds", watermark: str = "10 seconds") -> DataFrame:
+    """One row that moves the watermark past every window of ``events``, to be sent as a batch after
+    them. Windows that it falls into itself stay open, so none of them comes out."""
+    past = sum(float(x.split()[0]) for x in (window, watermark)) + 60.0
+    names = [f.name for f in events.schema.fields]
+    last = events.agg((F.max("ts_unix") + F.lit(past)).alias("ts_unix"))
+    return last.select(*[F.col(c) if c == "ts_unix" else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in names])
+
+
 def start_with_state_partitions(writer, path: str, spark: SparkSession, state_partitions: int | None):
     """Start a query whose stateful operators use ``state_partitions`` shuffle
     partitions (fixed in its checkpoint at the first batch). The stream clones

@@ -66,3 +66,31 @@ def test_isolation_forest_properties(spark):
     off = iso.fit_offset(iso.score_isolation_forest(df, nodes, ["a", "b"]), contamination=0.05)
     flagged = iso.decision(iso.score_isolation_forest(df, nodes, ["a", "b"]), off).filter("if_flag = 1").count()
     assert abs(flagged - 0.05 * 2001) <= 3
+
+
+def test_forest_does_not_depend_on_partitions(spark):
+    """Equal rows give the same node table from 4 and from 7 partitions, whether or not the
+    thresholds keep all rows."""
+    from flowlens.operators import iforest as iso
+    rng = np.random.default_rng(3)
+    rows = [(int(i), *map(float, x)) for i, x in enumerate(rng.normal(size=(6000, 3)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, c double")
+    for frame, trees in ((df, 2), (df.limit(300), 3)):
+        tables = [sorted(map(tuple, iso.train_isolation_forest(frame.repartition(p), ["a", "b", "c"], "k", trees, 64)
+                             .select("tree", "node", "feature", F.coalesce(F.nanvl("threshold", F.lit(0.0)), F.lit(0.0)), "size").collect()))
+                  for p in (4, 7)]
+        assert tables[0] == tables[1] and len({r[0] for r in tables[0]}) == trees
+
+
+def test_forest_tables_and_preview(spark, tmp_path):
+    from flowlens.operators import iforest as iso
+    nodes = iso.demo_forest(spark, ["a", "b", "c", "d", "e"])
+    iso.save_forest(nodes, str(tmp_path / "f"))
+    again = iso.load_forest(spark, str(tmp_path / "f"))
+    df = spark.createDataFrame([(i, *[float((i * k) % 5) for k in range(1, 6)]) for i in range(9)],
+                               "k long, a double, b double, c double, d double, e double")
+    one, two = (iso.preview(df, "k", t, ["a", "b", "c", "d", "e"], -0.5, 4).collect() for t in (nodes, again))
+    assert one == two and [r["k"] for r in one] == [0, 1, 2, 3] and "label" not in one[0]
+    scaled = iso.preview(df, "k", nodes, ["a", "b", "c", "d", "e"], -0.5, 4, "a",
+                         [(c, 1.0, 2.0) for c in "abcde"]).collect()
+    assert [r["if_score"] for r in scaled] != [r["if_score"] for r in one]
