@@ -35,8 +35,16 @@ def _text(c) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(""))
 
 
-def _int_or(c, default=0) -> Column:
-    return F.coalesce(F.col(c).cast("string").try_cast("bigint"), F.lit(default))
+def _eve_int(ev: DataFrame, name: str) -> Column:
+    """An integer of an EVE field: whole text or number, a JSON number with a fraction cut off; else 0."""
+    whole = F.col(name).cast("string").try_cast("bigint")
+    if "numbers" not in ev.columns:
+        return F.coalesce(whole, F.lit(0))
+    return F.coalesce(whole, F.col(f"numbers.{name}").try_cast("bigint"), F.lit(0))
+
+
+def _eve_port(ev: DataFrame, name: str) -> Column:
+    return F.coalesce(_eve_int(ev, name).try_cast("int"), F.lit(0))
 
 
 def _float_or(c, default=0.0) -> Column:
@@ -70,12 +78,12 @@ def eve_to_flow_rows(ev: DataFrame) -> DataFrame:
     port outside INT counts as 0, like a port that is not a number."""
     f = ev.select(
         _text("timestamp").alias("timestamp"),
-        _int_or("flow_id").alias("flow_id"),
+        _eve_int(ev, "flow_id").alias("flow_id"),
         _text("community_id").alias("community_id"),
         _text("src_ip").alias("src_ip"),
-        F.coalesce(F.coalesce(_int_or("src_port").try_cast("int"), F.lit(0)), F.lit(0)).alias("src_port"),
+        _eve_port(ev, "src_port").alias("src_port"),
         _text("dest_ip").alias("dest_ip"),
-        F.coalesce(F.coalesce(_int_or("dest_port").try_cast("int"), F.lit(0)), F.lit(0)).alias("dest_port"),
+        _eve_port(ev, "dest_port").alias("dest_port"),
         proto_name(F.col("proto"), F.col("proto_is_number")).alias("proto"),
         _text("app_proto").alias("app_proto"),
         F.coalesce(F.col("flow.start"), F.lit("")).alias("flow_start"),
@@ -83,10 +91,10 @@ def eve_to_flow_rows(ev: DataFrame) -> DataFrame:
         F.coalesce(F.col("flow.age").try_cast("double"), F.lit(0.0)).alias("_age"),
         F.coalesce(F.col("flow.state"), F.lit("")).alias("flow_state"),
         F.coalesce(F.col("flow.reason"), F.lit("")).alias("flow_reason"),
-        F.coalesce(F.col("flow.pkts_toserver").try_cast("bigint"), F.lit(0)).alias("pkts_toserver"),
-        F.coalesce(F.col("flow.pkts_toclient").try_cast("bigint"), F.lit(0)).alias("pkts_toclient"),
-        F.coalesce(F.col("flow.bytes_toserver").try_cast("bigint"), F.lit(0)).alias("bytes_toserver"),
-        F.coalesce(F.col("flow.bytes_toclient").try_cast("bigint"), F.lit(0)).alias("bytes_toclient"),
+        _eve_int(ev, "flow.pkts_toserver").alias("pkts_toserver"),
+        _eve_int(ev, "flow.pkts_toclient").alias("pkts_toclient"),
+        _eve_int(ev, "flow.bytes_toserver").alias("bytes_toserver"),
+        _eve_int(ev, "flow.bytes_toclient").alias("bytes_toclient"),
     )
     f = f.withColumns({
         "pkts_total": F.col("pkts_toserver") + F.col("pkts_toclient"),
@@ -110,9 +118,9 @@ def eve_to_flow_rows(ev: DataFrame) -> DataFrame:
         "pkts_ratio_ts_over_tc": r6(F.col("pkts_toserver") / nonneg1("pkts_toclient")),
         "avg_bytes_per_pkt_ts": r6(F.col("bytes_toserver") / nonneg1("pkts_toserver")),
         "avg_bytes_per_pkt_tc": r6(F.col("bytes_toclient") / nonneg1("pkts_toclient")),
-        "is_tcp": (F.col("proto") == "TCP").try_cast("int"),
-        "is_udp": (F.col("proto") == "UDP").try_cast("int"),
-        "is_icmp": (F.col("proto") == "ICMP").try_cast("int"),
+        "is_tcp": (F.col("proto") == "TCP").cast("int"),
+        "is_udp": (F.col("proto") == "UDP").cast("int"),
+        "is_icmp": (F.col("proto") == "ICMP").cast("int"),
     })
     return f.select(*EVE_ROW_COLUMNS)
 
@@ -347,8 +355,8 @@ def live_flow_features(ev: DataFrame, filter_mdns: bool = True, min_duration: fl
     request metadata. age > 0 wins, else end - start, else 0.01; floor 0.01 s;
     ratio (bytes_fwd + 1) / (bytes_rev + 1)."""
     x = ev.withColumns({
-        "_sport": F.coalesce(_int_or("src_port").try_cast("int"), F.lit(0)),
-        "_dport": F.coalesce(_int_or("dest_port").try_cast("int"), F.lit(0)),
+        "_sport": _eve_port(ev, "src_port"),
+        "_dport": _eve_port(ev, "dest_port"),
     })
     if filter_mdns:
         x = x.filter(~is_mdns(F.col("_sport"), F.col("_dport"), F.col("dest_ip")))  # D02
@@ -358,10 +366,10 @@ def live_flow_features(ev: DataFrame, filter_mdns: bool = True, min_duration: fl
            .when(s.isNotNull() & e.isNotNull() & (e >= s), e - s).otherwise(F.lit(min_duration)))
     dur = F.greatest(dur, F.lit(min_duration))
     x = x.withColumns({
-        "pkts_fwd": F.coalesce(F.col("flow.pkts_toserver").try_cast("bigint"), F.lit(0)).cast("double"),
-        "pkts_rev": F.coalesce(F.col("flow.pkts_toclient").try_cast("bigint"), F.lit(0)).cast("double"),
-        "bytes_fwd": F.coalesce(F.col("flow.bytes_toserver").try_cast("bigint"), F.lit(0)).cast("double"),
-        "bytes_rev": F.coalesce(F.col("flow.bytes_toclient").try_cast("bigint"), F.lit(0)).cast("double"),
+        "pkts_fwd": _eve_int(ev, "flow.pkts_toserver").cast("double"),
+        "pkts_rev": _eve_int(ev, "flow.pkts_toclient").cast("double"),
+        "bytes_fwd": _eve_int(ev, "flow.bytes_toserver").cast("double"),
+        "bytes_rev": _eve_int(ev, "flow.bytes_toclient").cast("double"),
         "duration": dur,
     })
     x = x.withColumns({

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..session import scratch_dir
 
 EVENTS_COLUMNS = ["event_id", "user_id", "event_type", "value", "props"]
 
@@ -117,6 +118,28 @@ def eve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(fid.alias("line_no"), js.alias("value"))
 
 
+def eve_token_files(spark: SparkSession, sf_dir: str) -> str:
+    """EVE files on disk whose counters are written as ``n``, ``n.0``, ``n.7`` and ``"n.7"`` in turn, whose
+    protocol is a number on every third line, with another protocol in a nested object and, on
+    every sixth line, a byte that is no UTF-8 inside ``app_proto``. Returns their folder."""
+    def build():
+        fid = F.col("flow_id")
+        count = _case(fid % 4, [(0, ""), (1, ".0"), (2, ".7")], ".7")
+        n = F.concat(F.col("pkts_fwd").cast("string"), count)
+        n = F.when(fid % 4 == 3, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n)
+        proto = F.when(fid % 3 == 0, F.lit("17")).when(fid % 3 == 1, F.lit('"6"')).otherwise(F.lit('"TCP"'))
+        head = F.concat(F.lit('{"event_type":"flow","tunnel":{"proto":1,"age":5},"flow_id":'), fid.cast("string"),
+                        F.lit(',"proto":'), proto, F.lit(',"app_proto":"t'))
+        tail = F.concat(F.lit('ls","flow":{"pkts_toserver":'), n, F.lit(',"age":'),
+                        F.when(fid % 2 == 0, F.lit("1.5")).otherwise(F.lit('"1.5"')), F.lit("}}"))
+        stray = F.when(fid % 6 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+        line = F.concat(head.cast("binary"), stray, tail.cast("binary")).cast("string")
+        path = scratch_dir(spark, "eve-tokens")
+        flows(spark, sf_dir).select(line.alias("value")).write.text(path)
+        return path
+    return memo(spark, sf_dir, "eve-tokens", build)
+
+
 def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input of the live job: ``eve_lines`` and, for the flows whose EVE line is another event
     (``flow_id % 10 = 7``), a scoring request; every other of these lacks two features."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..operators import flows as fl
 from ..sources import bands as bands_src
-from ..sources.eve import iso_to_epoch, parse_eve_lines
+from ..sources.eve import iso_to_epoch, parse_eve_lines, read_eve_flows
 from ..sources.labelled import parse_csv_lines
 from ..sources.sinks import json_lines
 from ..session import scratch_dir
@@ -81,6 +81,21 @@ def a01(spark, sf):
                      F.col("proto").alias("proto_raw"), "proto_is_number", "app_proto")
 
 
+@register("a01_token_types", with_layers([FLOWS], """
+SELECT flow_id, CASE WHEN flow_id % 3 = 0 THEN 'UDP' WHEN flow_id % 3 = 1 THEN '6' ELSE 'TCP' END AS proto,
+  'tls' AS app_proto, CASE WHEN flow_id % 4 = 3 THEN 0 ELSE pkts_fwd END AS pkts_toserver,
+  CASE WHEN flow_id % 3 = 0 THEN 17 WHEN flow_id % 3 = 1 THEN 0 ELSE 6 END AS proto_number,
+  CASE WHEN flow_id % 2 = 0 THEN 1.5 ELSE 0.01 END::DOUBLE AS live_duration FROM flows"""))
+def a01_tokens(spark, sf):
+    """Files read with ``read_eve_flows``: numbers with fractions, quoted numbers, nested fields of
+    the same names, stray bytes (B01, B14, B15)."""
+    ev = read_eve_flows(spark, fixtures.eve_token_files(spark, sf))
+    rows = fl.eve_to_flow_rows(ev).select("flow_id", "proto", "app_proto", "pkts_toserver")
+    live_rows = fl.live_flow_features(ev).select(F.col("flow_id").cast("bigint").alias("flow_id"), F.col(
+        "proto_feature").cast("int").alias("proto_number"), F.col("duration").alias("live_duration"))
+    return rows.join(live_rows, "flow_id")
+
+
 @register("d01_keep_flow_events", with_layers([EVE_SRC], """
 SELECT count(*) AS flow_events FROM eve"""))
 def d01(spark, sf):

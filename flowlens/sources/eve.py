@@ -2,9 +2,11 @@
 
 Lines are parsed with ``from_json`` against a schema whose leaves are all
 STRING: the same key may hold a number in one event and text in another, and
-a STRING leaf keeps the raw token either way; values are ``try_cast`` later.
-Blank, truncated or non-JSON lines parse to null and fall out with the
-``event_type = 'flow'`` filter (D01). ``.gz`` files are read natively.
+a STRING leaf keeps the raw token either way; values are ``try_cast`` later. What was a
+JSON number is told by a second, narrow parse whose leaves are DOUBLE (text gives
+null there). Bytes that are no UTF-8 are left out. Blank, truncated or non-JSON lines
+parse to null and fall out with the ``event_type = 'flow'`` filter (D01). ``.gz`` files
+are read natively.
 """
 
 from __future__ import annotations
@@ -23,25 +25,33 @@ EVE_SCHEMA = T.StructType(
     + [T.StructField("flow", T.StructType([T.StructField(f, T.StringType()) for f in FLOW_FIELDS]))]
 )
 
-# A JSON integer / number (not a quoted string) as the value of a key.
-_NUMERIC_PROTO = r'"proto"\s*:\s*-?[0-9]+\s*[,}]'
-_NUMERIC_AGE = r'"age"\s*:\s*-?[0-9]'
+NUMBER_FIELDS = ["flow_id", "src_port", "dest_port", "proto"]
+FLOW_NUMBER_FIELDS = ["age", "pkts_toserver", "pkts_toclient", "bytes_toserver", "bytes_toclient"]
+NUMBER_SCHEMA = T.StructType(
+    [T.StructField(f, T.DoubleType()) for f in NUMBER_FIELDS]
+    + [T.StructField("flow", T.StructType([T.StructField(f, T.DoubleType()) for f in FLOW_NUMBER_FIELDS]))])
+
+
+def readable(value: Column) -> Column:
+    """The text without bytes that are no UTF-8."""
+    return F.when(F.is_valid_utf8(value), value).otherwise(
+        F.translate(F.make_valid_utf8(value), "\ufffd", ""))
 
 
 def parse_eve_lines(lines: DataFrame, value_col: str = "value", keep_all: bool = False) -> DataFrame:
-    """Lines -> one row per flow event: the top-level fields, ``flow`` struct and
-    ``proto_is_number`` / ``age_is_number`` (the raw token was a JSON number).
+    """Lines -> one row per flow event: the top-level fields, ``flow`` struct, ``numbers`` (the
+    values of fields whose token was a JSON number) and ``proto_is_number`` / ``age_is_number``.
 
     The parse is a generator (``inline`` of the one-element array), so the
     ``event_type`` filter stays above it and every line is parsed exactly once
     (a filter pushed through a projection would re-run ``from_json``)."""
-    v = F.col(value_col)
-    parsed = lines.select(
-        *[c for c in lines.columns if c != value_col],
-        F.coalesce(v.rlike(_NUMERIC_PROTO), F.lit(False)).alias("proto_is_number"),
-        F.coalesce(v.rlike(_NUMERIC_AGE), F.lit(False)).alias("age_is_number"),
-        F.inline(F.array(F.from_json(v, EVE_SCHEMA, {"mode": "PERMISSIVE"}))),
-    )
+    v = readable(F.col(value_col))
+    both = F.struct(F.from_json(v, EVE_SCHEMA, {"mode": "PERMISSIVE"}).alias("_e"),
+                    F.from_json(v, NUMBER_SCHEMA, {"mode": "PERMISSIVE"}).alias("numbers"))
+    kept = [c for c in lines.columns if c != value_col]
+    parsed = lines.select(*kept, F.inline(F.array(both))).select(
+        *kept, F.col("numbers.proto").isNotNull().alias("proto_is_number"),
+        F.col("numbers.flow.age").isNotNull().alias("age_is_number"), "_e.*", "numbers")
     if not keep_all:
         parsed = parsed.filter(F.col("event_type") == "flow")  # D01
     return parsed
