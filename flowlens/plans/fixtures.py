@@ -140,6 +140,31 @@ def eve_token_files(spark: SparkSession, sf_dir: str) -> str:
     return memo(spark, sf_dir, "eve-tokens", build)
 
 
+def zeek_segment_files(spark: SparkSession, sf_dir: str) -> str:
+    """Conn logs with two headers in one file (four files): two rows before the first header, then
+    ``uid, id.resp_p, duration`` in this order for the first half of the flows, then
+    ``duration, uid, service`` (no types line) for the second half. Returns their folder."""
+    def build():
+        f = flows(spark, sf_dir)
+        half = F.col("flow_id") >= (f.agg(F.max("flow_id")).first()[0] or 0) // 2
+        uid = F.concat(F.lit("C"), F.col("flow_id").cast("string"))
+        dur = F.format_string("%.6f", "duration")
+        one = F.concat_ws("\t", uid, F.col("dest_port").cast("string"), dur)
+        two = F.concat_ws("\t", dur, uid, F.when(F.col("app_proto") == "", F.lit("-")).otherwise(F.col("app_proto")))
+        body = f.select((F.col("flow_id") % 4).alias("file"), F.when(half, 6).otherwise(3).alias("part"), "flow_id",
+                        F.when(half, two).otherwise(one).alias("value"))
+        marks = [(0, "C0\t1\t1.0"), (0, "#separator \\x09"), (1, "#fields\tuid\tid.resp_p\tduration"),
+                 (2, "#types\tstring\tport\tinterval"), (4, "#close"), (5, "#fields\tduration\tuid\tservice")]
+        lines = spark.createDataFrame([(f"{k}", p, 0, t) for k in range(4) for p, t in marks],
+                                      "file string, part int, flow_id long, value string")
+        every = lines.unionByName(body.withColumn("file", F.col("file").cast("string")))
+        path = scratch_dir(spark, "zeek-segments")
+        (every.repartition("file").sortWithinPartitions("file", "part", "flow_id").select("file", "value")
+         .write.partitionBy("file").text(path))
+        return path
+    return memo(spark, sf_dir, "zeek-segments", build)
+
+
 def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Input of the live job: ``eve_lines`` and, for the flows whose EVE line is another event
     (``flow_id % 10 = 7``), a scoring request; every other of these lacks two features."""

@@ -217,6 +217,17 @@ def a02(spark, sf):
                     F.col("ip_proto").cast("int").alias("ip_proto"), F.col("_file").alias("src_file"))
 
 
+@register("a02_header_segments", with_layers([FLOWS], """
+, h AS (SELECT *, flow_id >= (SELECT max(flow_id) FROM flows) // 2 AS late FROM flows)
+SELECT 'C' || CAST(flow_id AS VARCHAR) AS uid, CASE WHEN NOT late THEN dest_port END AS resp_p,
+  CASE WHEN late THEN CAST(printf('%.6f', duration) AS VARCHAR) ELSE printf('%.6f', duration) END AS duration,
+  CASE WHEN late THEN nullif(app_proto, '') END AS service FROM h"""))
+def a02_segments(spark, sf):
+    """Two headers in one file, rows before the first, a layout without types."""
+    z = read_zeek_log(spark, fixtures.zeek_segment_files(spark, sf))
+    return z.select("uid", F.col("`id.resp_p`").alias("resp_p"), "duration", "service")
+
+
 B05_SQL = with_layers([ZEEK_SRC], """
 SELECT ts AS start_ts, ts + CASE WHEN duration > 0 THEN duration ELSE 0 END AS end_ts, duration,
   orig_h AS src_ip, orig_p AS src_port, resp_h AS dst_ip, resp_p AS dst_port,

@@ -1,16 +1,18 @@
 """Generic Zeek TSV log reader.
 
-Each file carries its own ``#fields`` / ``#types`` header. Lines are read with
-their file path; the distinct header strings (one per log layout, a handful)
-are collected to plan one typed projection per layout; data rows are joined
-to their file's header and split by position. Layouts are combined with
-``unionByName(allowMissingColumns=True)``. ``-`` is unset (null), ``(empty)``
-an empty set; short rows read the missing trailing fields as unset.
+A file's ``#fields`` / ``#types`` lines hold for the rows that follow them, up to the next such
+lines; rows before the first are dropped. Lines carry their place (start of the file's split,
+running number), the header lines of each file are put together with theirs (a few per
+file), and every row takes the last header before it. The distinct headers (one per log
+layout, a handful) are collected to plan the columns; all layouts are read in one pass, a
+row's columns being found by name in its own header. ``-`` is unset (null), ``(empty)``
+an empty set; short rows read the missing trailing fields as unset. A name whose type
+differs between layouts is read as text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNSET = "-"
@@ -36,48 +38,79 @@ def _typed(raw: Column, zeek_type: str) -> Column:
     return v
 
 
+_PLACE = ["_split", "_row"]
+
+
+def with_place(lines: DataFrame, split: Column | None = None) -> DataFrame:
+    """``_split, _row``: order of the lines within their file."""
+    return lines.withColumns({"_split": F.lit(0).cast("bigint") if split is None else split.cast("bigint"),
+                              "_row": F.monotonically_increasing_id()})
+
+
+def _headers(lines: DataFrame, value_col: str, file_col: str) -> DataFrame:
+    """``_f, _heads``: the header lines of each file in order, as (place, fields) or (place, types)."""
+    v = F.col(value_col)
+    marks = lines.filter(v.startswith("#fields") | v.startswith("#types"))
+    item = F.struct(*_PLACE, F.when(v.startswith("#fields"), v).alias("fields"), F.when(v.startswith("#types"), v).alias("types"))
+    return marks.groupBy(F.col(file_col).alias("_f")).agg(F.sort_array(F.collect_list(item)).alias("_heads"))
+
+
+def _in_force() -> list[Column]:
+    """The last fields line before a row, and the types line between that and the row."""
+    here = F.struct(*_PLACE)
+    before = F.filter("_heads", lambda h: F.struct(h["_split"], h["_row"]) < here)
+    fields = F.element_at(F.filter("_before", lambda h: h["fields"].isNotNull()), -1)
+    types = F.filter("_before", lambda h: h["types"].isNotNull() & (
+        F.struct(h["_split"], h["_row"]) > F.struct(F.col("_head._split"), F.col("_head._row"))))
+    return [before, fields, types]
+
+
 def parse_zeek_lines(lines: DataFrame, value_col: str = "value", file_col: str = "file",
                      header_shift: int = 0) -> DataFrame:
-    """Lines with their source file -> typed rows (all layouts, union by name).
+    """Lines with their source file (and place, see ``with_place``) -> typed rows of all layouts.
 
     ``header_shift=1`` reproduces a reader that keeps the ``#fields`` token as
     column 0, so every name reads the value one column to its right; tests only.
     """
+    if "_row" not in lines.columns:
+        lines = with_place(lines)
     v = F.col(value_col)
-    heads = (lines.filter(v.startswith("#fields") | v.startswith("#types"))
-             .select(F.col(file_col).alias("_f"),
-                     F.when(v.startswith("#fields"), F.lit("fields")).otherwise(F.lit("types")).alias("_k"),
-                     v.alias("_h")))
-    per_file = (heads.groupBy("_f")
-                .agg(F.max(F.when(F.col("_k") == "fields", F.col("_h"))).alias("_fields"),
-                     F.max(F.when(F.col("_k") == "types", F.col("_h"))).alias("_types")))
-    per_file = per_file.filter(F.col("_fields").isNotNull())
-    # distinct layouts: bounded by the number of log kinds, not by data volume
-    layouts = per_file.select("_fields", "_types").distinct().collect()
+    heads = _headers(lines, value_col, file_col)
     data = lines.filter(~v.startswith("#") & (F.length(v) > 0))
-    # one row per file; AQE turns this into a broadcast join at run time when
+    # a few header lines per file; AQE turns this into a broadcast join at run time when
     # the measured size is small, otherwise it stays a shuffle join
-    rows = data.join(per_file, data[file_col] == per_file["_f"], "inner")
-    out = None
-    for lay in layouts:
-        names = lay["_fields"].split("\t")[1:]
-        types = (lay["_types"].split("\t")[1:] if lay["_types"] else ["string"] * len(names))
-        part = rows.filter(F.col("_fields") == lay["_fields"]).withColumn("_parts", F.split(v, "\t"))
-        cols = []
+    rows = data.join(heads, data[file_col] == heads["_f"], "inner")
+    before, fields, types = _in_force()
+    rows = rows.withColumn("_before", before).where(F.exists("_before", lambda h: h["fields"].isNotNull()))
+    rows = rows.withColumn("_head", fields).withColumn("_types", F.try_element_at(types, F.lit(-1))["types"])
+    rows = rows.select(F.col(file_col).alias("_file"), F.split(v, "\t").alias("_parts"),
+                       F.slice(F.split("_head.fields", "\t"), 2, 1 << 20).alias("_names"), "_types")
+    # distinct layouts: bounded by the number of log kinds, not by data volume
+    pairs = heads.select("_f", F.inline("_heads"))
+    types_of: dict[str, str] = {}
+    order = Window.partitionBy("_f").orderBy(*_PLACE)  # the header lines of one file
+    laid = pairs.withColumn("_next", F.lead("types").over(order)).where("fields is not null")
+    for lay in laid.select("fields", "_next").distinct().collect():
+        names = lay["fields"].split("\t")[1:]
+        kinds = lay["_next"].split("\t")[1:] if lay["_next"] else []
         for i, name in enumerate(names):
-            # with the token kept, name i reads the value of field i + shift
-            raw = F.try_element_at(F.col("_parts"), F.lit(i + 1 + header_shift))
-            cols.append(_typed(raw, types[i] if i < len(types) else "string").alias(name))
-        part = part.select(F.col(file_col).alias("_file"), *cols)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+            kind = kinds[i] if i < len(kinds) else "string"
+            types_of[name] = kind if types_of.get(name, kind) == kind else "string"
+    if not types_of:
         return lines.sparkSession.createDataFrame([], "_file string")
-    return out
+    cols = []
+    for name, kind in types_of.items():
+        at = F.array_position("_names", F.lit(name)).cast("int")
+        # with the token kept, a name reads the value of the next field
+        raw = F.when(at > 0, F.try_element_at(F.col("_parts"), F.greatest(at, F.lit(1)) + header_shift))
+        cols.append(_typed(raw, kind).alias(name))
+    return rows.select("_file", *cols)
 
 
 def read_zeek_log(spark: SparkSession, paths) -> DataFrame:
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-    return parse_zeek_lines(lines)
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"),
+                                          F.col("_metadata.file_block_start").alias("_at"))
+    return parse_zeek_lines(with_place(lines, F.col("_at")).drop("_at"))
 
 
 def zeek_lines_from_rows(df: DataFrame, file_col: str, fields: list[str], types: list[str]) -> DataFrame:
