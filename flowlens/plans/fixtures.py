@@ -238,6 +238,28 @@ def cic_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+CIC_COLS = ["flow_id", "Flow Duration", "Total Fwd Packets", "Total Backward Packets",
+            "Total Length of Fwd Packets", "Total Length of Bwd Packets", "Protocol", "Label"]
+
+
+def labelled_files(spark: SparkSession, sf_dir: str) -> str:
+    """``cic_raw`` as header CSV files with ``;`` and a column ``Note`` (``caf\u00e9``): even flows in a UTF-8
+    file, odd ones in an ISO-8859-1 file. Returns their folder."""
+    def build():
+        raw = cic_raw(spark, sf_dir).withColumn("Note", F.lit("caf\u00e9"))
+        cols = [*CIC_COLS, "Note"]
+        line = F.concat_ws(";", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
+        body = raw.select((F.col("flow_id") % 2).alias("file"), F.lit(1).alias("part"), line.alias("value"))
+        head = spark.createDataFrame([(k, 0, ";".join(cols)) for k in (0, 1)], "file long, part int, value string")
+        every = head.unionByName(body)
+        latin = F.encode("value", "ISO-8859-1").cast("string")
+        path = scratch_dir(spark, "labelled")
+        (every.withColumn("value", F.when(F.col("file") == 1, latin).otherwise(F.col("value"))).repartition("file")
+         .sortWithinPartitions("file", "part").select("file", "value").write.partitionBy("file").text(path))
+        return path
+    return memo(spark, sf_dir, "labelled-files", build)
+
+
 def unsw_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UNSW-style labelled rows: marker columns as published, other headers
     untrimmed and mixed case (normalised by the mapper)."""

@@ -10,11 +10,11 @@ from ..operators import autoencoder as ae
 from ..operators import evaluation as ev
 from ..operators import flows as fl
 from ..operators import iforest as iso
-from ..sources.sinks import json_lines
+from ..sources.sinks import write_metrics
 from ..session import scratch_dir
 from . import fixtures
 from .oracle_sql import with_layers
-from .q_stats import STATS_SQL
+from .q_stats import CM_SQL, CURVE_SQL, STATS_SQL, TAU_SQL
 from .registry import register, sql_round, stable_round
 
 FEATS = fixed.COMPACT_FEATURES
@@ -176,22 +176,52 @@ def m02(spark, sf):
     return hist
 
 
-@register("a09_model_tables")
-def a09(spark, sf):
-    _, model = _demo(spark, sf)
-    return model.to_frames(spark)["scaler"]
+_A09 = " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, {i} AS pos, {sql_round(f'm_{f}', 6)} AS mean, {sql_round(f's_{f}', 6)} AS scale FROM stats"
+    for i, f in enumerate(FEATS))
+_A09_NET = ae.demo_model(FEATS, [(f, 0.0, 1.0) for f in FEATS])
 
 
-@register("a10_metrics_export")
+@register("a09_model_tables", with_layers([STATS_SQL], f"""
+SELECT t.*, l.* FROM ({_A09}) t, (VALUES {', '.join(
+    f"({k}, {w.shape[0]}, {w.shape[1]}, {round(float(w.sum()), 9) + 0.0!r}::DOUBLE, {round(float(b.sum()), 9) + 0.0!r}::DOUBLE)"
+    for k, (w, b) in enumerate(zip(_A09_NET.ws, _A09_NET.bs)))}) l(layer, in_dim, out_dim, weight_sum, bias_sum)"""))
+def a09(spark, sf):
+    """The model saved, loaded and saved as tables again: features and scaler by layer shapes and sums."""
+    _, model = _demo(spark, sf)
+    path = scratch_dir(spark, "model")
+    model.save(spark, path)
+    tables = ae.Model.load(spark, path).to_frames(spark)
+
+    def total(c):
+        return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    layers = tables["layers"].select("layer", "in_dim", "out_dim", stable_round(total("weights"), 9).alias("weight_sum"),
+                                     stable_round(total("bias"), 9).alias("bias_sum"))
+    scaler = tables["features"].join(tables["scaler"].drop("pos"), F.col("name") == F.col("feature")).select(
+        "feature", "pos", stable_round("mean", 6).alias("mean"), stable_round("scale", 6).alias("scale"))
+    return scaler.join(F.broadcast(layers))  # a few layers
+
+
+@register("a10_metrics_export", f"""
+SELECT tn, fp, fn, tp, {sql_round('coalesce(tp / NULLIF(tp + fp, 0), 0.0)', 9)} AS precision,
+  {sql_round('coalesce(tp / NULLIF(tp + fn, 0), 0.0)', 9)} AS recall, {sql_round('tau', 9)} AS threshold,
+  {sql_round('roc_auc', 9)} AS roc_auc, {sql_round('pr_auc', 9)} AS pr_auc
+FROM ({CM_SQL}) cm, ({with_layers([TAU_SQL], 'SELECT tau FROM tau')}) t,
+  ({with_layers([CURVE_SQL], "SELECT sum(pos * ((N - fps) + neg / 2.0)) / (max(P) * max(N)) AS roc_auc, "
+                             "sum(CASE WHEN pos > 0 THEN (pos / P) * (tps / (tps + fps)) END) AS pr_auc FROM c, tot")}) a""")
 def a10(spark, sf):
-    """One-row evaluation record as a JSON line (threshold, matrix, P/R/F1, AUC, AP)."""
+    """One-row evaluation record (threshold, matrix, P/R, AUC, AP) written as JSON and read back."""
     scored = fixtures.flows(spark, sf).select("flow_id", "ae_score", "label")
     tau = ev.percentile_threshold(scored, "ae_score", 99.5)
     cm = ev.binary_metrics(ev.confusion_counts(scored, "label", F.col("ae_score") >= F.lit(tau)))
     rank = ev.roc_auc_ap(ev.score_curve(scored, "ae_score", "label")).collect()[0]
-    rec = cm.withColumns({"threshold": F.lit(tau), "threshold_percentile": F.lit(99.5),
-                          "roc_auc": F.lit(rank["roc_auc"]), "pr_auc": F.lit(rank["average_precision"])})
-    return json_lines(rec)
+    rec = cm.withColumns({"threshold": F.lit(tau), "roc_auc": F.lit(rank["roc_auc"]),
+                          "pr_auc": F.lit(rank["average_precision"])})
+    path = scratch_dir(spark, "metrics")
+    write_metrics(rec, path)
+    back = spark.read.schema(rec.schema).json(path)
+    return back.select("tn", "fp", "fn", "tp", *[stable_round(c, 9).alias(c) for c in (
+        "precision", "recall", "threshold", "roc_auc", "pr_auc")])
 
 
 def _iforest(spark, sf):

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import flows as fl
 from ..sources import bands as bands_src
 from ..sources.eve import iso_to_epoch, parse_eve_lines, read_eve_flows
-from ..sources.labelled import parse_csv_lines
-from ..sources.sinks import json_lines
+from ..sources.labelled import read_labelled_csv
+from ..sources.sinks import append_prediction_log, write_csv
 from ..session import scratch_dir
 from ..sources.zeek import read_zeek_log, zeek_lines_from_rows
 from . import fixtures
@@ -304,22 +306,17 @@ def b09(spark, sf):
 # ---------------------------------------------------------------------------
 # A03 / B10-B13 labelled datasets
 # ---------------------------------------------------------------------------
-CIC_COLS = ["flow_id", "Flow Duration", "Total Fwd Packets", "Total Backward Packets",
-            "Total Length of Fwd Packets", "Total Length of Bwd Packets", "Protocol", "Label"]
 CIC_DUR = "CASE WHEN flow_id % 31 = 0 THEN 'NaN'::DOUBLE ELSE CAST(CAST(duration * 1e6 AS BIGINT) AS DOUBLE) / 1e6 END"
 CIC_PROTO = "CASE WHEN flow_id % 17 = 0 THEN -1 WHEN proto = 'TCP' THEN 6 WHEN proto = 'UDP' THEN 17 ELSE 1 END"
 CIC_SQL = with_layers([FLOWS], _compact_sql(CIC_DUR, CIC_PROTO))
 
 
-@register("a03_read_labelled_csv", CIC_SQL)
+@register("a03_read_labelled_csv", f"SELECT *, 'caf\u00e9' AS note FROM ({CIC_SQL}) x")
 def a03(spark, sf):
-    raw = fixtures.cic_raw(spark, sf)
-    lines = raw.select(F.concat_ws(";", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-                                          for c in CIC_COLS]).alias("value"))
-    ddl = ", ".join(f"`{c}` STRING" for c in CIC_COLS)
-    parsed = parse_csv_lines(lines, ddl, sep=";")
-    parsed = parsed.withColumn("Label", F.when(F.col("Label") == "", F.lit(None)).otherwise(F.col("Label")))
-    return fl.map_cicids2017(parsed, keep=[F.col("flow_id").cast("bigint").alias("flow_id")])
+    """A UTF-8 and an ISO-8859-1 file read together."""
+    raw = read_labelled_csv(spark, f"{fixtures.labelled_files(spark, sf)}/*", sep=";")
+    raw = raw.withColumn("Label", F.nullif("Label", F.lit("")))
+    return fl.map_external(raw, keep=[F.col("flow_id").cast("bigint").alias("flow_id"), F.col("Note").alias("note")])
 
 
 @register("b10_map_cicids2017", CIC_SQL)
@@ -462,11 +459,13 @@ SELECT shape, severity, count(*) AS n FROM (
   UNION ALL SELECT 'number', CASE WHEN ae_score < 0.5 THEN 'OK' WHEN ae_score < 0.75 THEN 'WARN' WHEN ae_score < 1.0 THEN 'MED' ELSE 'CRIT' END FROM flows
   UNION ALL SELECT 'invalid', 'UNKNOWN' FROM flows) x GROUP BY 1, 2"""))
 def a08(spark, sf):
+    """Each shape written as a file and loaded from there."""
     from ..functions.context import severity_from
     f = fixtures.flows(spark, sf)
-    out = None
+    out, path = None, scratch_dir(spark, "bands")
     for shape, obj in BAND_SHAPES.items():
-        b = bands_src.bands_from_object(obj)
+        spark.createDataFrame([(json.dumps(obj),)], "value string").coalesce(1).write.text(f"{path}/{shape}")
+        b = bands_src.load_bands(spark, f"{path}/{shape}")
         part = f.select(F.lit(shape).alias("shape"), severity_from("ae_score", b).alias("severity"))
         out = part if out is None else out.unionByName(part)
     return out.groupBy("shape", "severity").agg(F.count(F.lit(1)).alias("n"))
@@ -482,17 +481,28 @@ def e18(spark, sf):
                       F.count(F.when(F.col("event_type") == "flow", 1)).alias("rows_written"))
 
 
-@register("a06_csv_sink_rows")
+@register("a06_csv_sink_rows", B01_SQL)
 def a06(spark, sf):
-    """The frame the CSV sink writes: fixed 30-column order of the EVE rows."""
-    return fl.eve_to_flow_rows(_eve_parsed(spark, sf)).select(*fl.EVE_ROW_COLUMNS)
-
-
-@register("a07_prediction_log_lines")
+    """The EVE rows written by the CSV sink in their fixed order and read back."""
+    rows = fl.eve_to_flow_rows(_eve_parsed(spark, sf))
+    path = scratch_dir(spark, "csv-sink")
+    write_csv(rows, path, fl.EVE_ROW_COLUMNS)
+    # empty texts are not null
+    return spark.read.option("header", "true").option("nullValue", "\\N").schema(rows.select(
+        *fl.EVE_ROW_COLUMNS).schema).csv(path)
+
+
+@register("a07_prediction_log_lines", with_layers([FLOWS], """
+SELECT flow_id, ts_unix, ae_score, CASE WHEN flow_id % 101 = 0 THEN 'error' ELSE 'ok' END AS status,
+  (flow_id % 997) / 10.0::DOUBLE AS infer_ms, (flow_id % 997) / 10.0::DOUBLE + 0.3::DOUBLE AS total_ms,
+  CAST(strftime(make_timestamp(CAST(floor(ts_unix) * 1000000 AS BIGINT)), '%Y-%m-%d') AS VARCHAR) AS log_date FROM flows"""))
 def a07(spark, sf):
-    """One JSON object per event (the append-only log record)."""
-    f = fixtures.prediction_log(spark, sf)
-    return json_lines(f.select("flow_id", "ts_unix", "ae_score", "status", "infer_ms", "total_ms"))
+    """Two appends to the prediction log (one JSON object per event, by day), read back."""
+    log = fixtures.prediction_log(spark, sf).select("flow_id", "ts_unix", "ae_score", "status", "infer_ms", "total_ms")
+    path = scratch_dir(spark, "prediction-log")
+    for k in (0, 1):
+        append_prediction_log(log.where(F.col("flow_id") % 2 == k), path)
+    return spark.read.schema(log.schema.add("log_date", "date")).json(path).withColumn("log_date", F.col("log_date").cast("string"))
 
 
 @register("a04_read_feature_csv", with_layers([FLOWS], """

@@ -175,7 +175,9 @@ def t04(spark, sf):
                       "n", "fps")
 
 
-@register("t05_stream_watermark_late_rows")
+@register("t05_stream_watermark_late_rows", with_layers(chain("rep2"), """
+SELECT 2 * count(*) AS rows_out, 2 * count(*) FILTER (WHERE is_anom) AS anomalous_rows_out,
+       2 * count(*) FILTER (WHERE NOT is_anom) AS quiet_rows_out FROM rep2"""))
 def t05(spark, sf):
     """Late data (T05): the events arrive as one micro-batch of files, then the
     same events are replayed as a second micro-batch, behind the watermark.

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-import os
+
+from pyspark.sql import SparkSession
+
+from ..session import path_exists
 
 
 def bands_from_object(obj) -> dict | None:
@@ -21,9 +24,8 @@ def bands_from_object(obj) -> dict | None:
     return None
 
 
-def load_bands(path: str) -> dict | None:
-    """Missing file -> None."""
-    if not os.path.exists(path):
+def load_bands(spark: SparkSession, path: str) -> dict | None:
+    """The bands of a JSON file on any file system that Spark reads; missing file -> None."""
+    if not path_exists(spark, path):
         return None
-    with open(path, encoding="utf-8") as fh:
-        return bands_from_object(json.load(fh))
+    return bands_from_object(json.loads(spark.read.text(path, wholetext=True).first()["value"]))
