@@ -43,8 +43,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.sharded(documents(spark, sf_dir))
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
-                       F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard",
+                       "vslot", "version")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

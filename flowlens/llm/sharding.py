@@ -1,14 +1,23 @@
 """Operator 6: sharding by fixed virtual slots.
 
-Records hash into a fixed number of slots; bytes are added up per slot; a
-versioned map says which shard owns each slot. Rebalancing edits the map
-(slots change owner, records never change slot) and adds a version.
+Records hash by their key into a fixed number of slots; bytes are added up per slot; a
+versioned map says which shard owns each slot. Editing the map adds a version: one
+more shard takes an even share of slots, and only into itself (``grown``), or slots change
+owner until the bytes of the shards are near equal (``rebalanced``). Records never change
+slot, and a key alone finds its shard.
+
+By the map of version 0 (slots dealt in turn) the key and the number of shards decide
+the shard: law ``key``. By a rebalanced map the bytes are near equal, as far as no slot
+is too large: law ``bytes``.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -23,11 +32,11 @@ MAP = StructType([StructField("version", IntegerType()), StructField("slot", Int
 
 def slotted(docs: DataFrame, slots: int = SLOTS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, size`` (UTF-8 bytes of the text plus 1; null text: 1), ``text_crc32``
-    and the virtual slot of each record, by a hash of key and text."""
+    and the virtual slot of each record, by a hash of its key."""
     t = text_of(docs, text)
     return docs.select(F.col(key).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"),
                        F.crc32(F.encode(t, "UTF-8")).alias("text_crc32"),
-                       F.pmod(F.xxhash64(F.col(key), t), F.lit(slots)).cast("int").alias("vslot"))
+                       F.pmod(F.xxhash64(F.col(key)), F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_sizes(records: DataFrame) -> dict[int, int]:
@@ -40,6 +49,17 @@ def first_map(shards: int = SHARDS, slots: int = SLOTS) -> dict[int, int]:
     return {s: s % shards for s in range(slots)}
 
 
+def grown(owner: dict[int, int], shards: int = SHARDS) -> dict[int, int]:
+    """The map edited for one more shard: it takes its even share, from every shard in turn the
+    last slot that shard still has. No slot moves between the old shards."""
+    owner = dict(owner)
+    of = [[s for s in sorted(owner) if owner[s] == k] for k in range(shards)]
+    for i in range(len(owner) // (shards + 1)):
+        most = max(range(shards), key=lambda k: (len(of[k]), -k))
+        owner[of[most].pop()] = shards
+    return owner
+
+
 def rebalanced(owner: dict[int, int], sizes: dict[int, int], shards: int = SHARDS) -> dict[int, int]:
     """The map edited so that shard bytes are near equal.
 
@@ -106,27 +126,66 @@ def map_table(docs: DataFrame, versions: list[dict[int, int]]) -> DataFrame:
     return docs.sparkSession.createDataFrame(rows, MAP)
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, text: str = "text", key: str = "doc_id"):
-    """``(rows, map)``: every record with its shard and its place there, and the
-    map with version 0 (dealt in turn) and version 1 (rebalanced by bytes).
-
-    ``rows``: ``doc_id, size, text_crc32, vslot, version, shard, slot``; ``slot``
-    numbers the shard's records gaplessly from 0, by virtual slot and then key.
-    Numbers are given inside each virtual slot (a thousandth of a shard) and
-    moved by the counts of the slots before, so no task sees a whole shard.
-    Null keys and repeated rows are records like others.
+_PLACED = ["doc_id", "size", "text_crc32", "vslot", "version", "shard", "grown_shard"]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``slot``: numbers from 0 in each shard, by virtual slot and key. Rows are sorted
+    over range partitions, numbered within them and moved by the counts of the partitions
+    before, so that no task needs a whole shard, slot or key."""
+    order = ["shard", "vslot", "doc_id", "text_crc32", "size", "_row"]
+    spread = rows.withColumn("_row", F.monotonically_increasing_id())  # parts equal rows; equal, so in any order
+    spread = spread.repartitionByRange(*order).sortWithinPartitions(*order).select(*_PLACED)
+    schema = StructType([*spread.schema.fields, StructField("_part", IntegerType()), StructField("_at", LongType())])
+    shard_at = _PLACED.index("shard")
+
+    def run(batches):
+        part, last, count = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            shard = batch.column(shard_at).to_numpy()
+            new = np.ones(n, dtype=bool)
+            new[1:] = shard[1:] != shard[:-1]
+            new[0] = shard[0] != last
+            start = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            at = np.where(start < 0, np.arange(n) + count, np.arange(n) - start)
+            last, count = shard[-1], int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), pa.array(at)],
+                                             names=schema.names)
+
+    placed = staged(spread.mapInArrow(run, schema), "placed")
+    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # a row per partition, and one more for each shard that begins within one
+    base = placed.groupBy("shard", "_part").agg(F.count("*").alias("_n")).select(
+        "shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(base), ["shard", "_part"]).select(
+        *_PLACED, (F.col("_base") + F.col("_at")).cast("long").alias("slot"))
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, text: str = "text", key: str = "doc_id",
+            law: str = "key"):
+    """``(rows, map)``: every record with its shard and its place there, and the map with
+    version 0 (dealt in turn), 1 (version 0 with one more shard) and 2 (version 0
+    rebalanced by bytes).
+
+    ``rows``: ``doc_id, size, text_crc32, vslot, version, shard, grown_shard, slot``, by version 0
+    for law ``key`` (``grown_shard``: by version 1) and by version 2 for law ``bytes``
+    (``grown_shard`` null). ``slot`` numbers the shard's records gaplessly from 0, by virtual
+    slot and then key. Null keys and repeated rows are records like others; all rows of a
+    key are in one shard.
     """
+    if law not in ("key", "bytes"):
+        raise ValueError("law is 'key' or 'bytes'")
     records = slotted(docs, slots, text, key)
-    owner = first_map(shards, slots)
-    table = staged(map_table(docs, [owner, rebalanced(owner, slot_sizes(records), shards)]), "slot-map")
-    now = table.where(F.col("version") == 1)
-    counts = records.groupBy("vslot").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per virtual slot: a bounded table
-    base = (counts.join(F.broadcast(now.withColumnRenamed("slot", "vslot")), "vslot")
-            .select("vslot", "version", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")))
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    rows = (records.withColumn("_place", place).join(F.broadcast(base), "vslot")
-            .select("doc_id", "size", "text_crc32", "vslot", "version", "shard",
-                    (F.col("_base") + F.col("_place")).cast("long").alias("slot")))
-    return rows, table
+    first = first_map(shards, slots)
+    versions = [first, grown(first, shards), rebalanced(first, slot_sizes(records), shards)]
+    table = staged(map_table(docs, versions), "slot-map")
+    used = 0 if law == "key" else 2
+    now = table.where(F.col("version") == used).withColumnRenamed("slot", "vslot")
+    more = table.where(F.col("version") == 1).select(F.col("slot").alias("vslot"), F.col("shard").alias("grown_shard"))
+    owner = now.join(more, "vslot")  # one row per virtual slot: a bounded table
+    if law == "bytes":
+        owner = owner.withColumn("grown_shard", F.lit(None).cast("int"))
+    return _numbered(records.join(F.broadcast(owner), "vslot").select(*_PLACED)), table

@@ -21,10 +21,10 @@ def test_near_equal_bytes(make):
     rng = random.Random(2)
     texts = ["x" * int(rng.paretovariate(1.2) * 50) for _ in range(3000)]
     texts = [t[:4000] for t in texts] + [None, "", "x" * 51, "x" * 51]
-    rows, table = H.sharded(make(texts), slots=512)
+    rows, table = H.sharded(make(texts), slots=512, law="bytes")
     load = check(rows.collect(), list(enumerate(texts)), 8)
     assert max(load) - min(load) <= 0.002 * sum(load) / 8
-    assert sorted((r["version"], r["count"]) for r in table.groupBy("version").count().collect()) == [(0, 512), (1, 512)]
+    assert sorted((r["version"], r["count"]) for r in table.groupBy("version").count().collect()) == [(0, 512), (1, 512), (2, 512)]
 
 
 def test_null_and_repeated_keys(make):
@@ -48,3 +48,36 @@ def test_rebalancing_edits_the_map(seed):
     assert sum(edited[s] == first[s] for s in first) > 150  # an edit, not a new deal
     one = H.rebalanced(first, {5: 10**9, **{s: 10 for s in range(6, 300)}})
     assert sum(one[s] == one[5] for s in range(6, 300)) == 0
+
+
+def test_key_and_shard_count_decide(make):
+    """The same key goes to the same shard whatever else is there; one more shard takes rows only
+    into itself."""
+    texts = [f"text {i}" * (i % 40) for i in range(2000)]
+    rows = H.sharded(make(texts))[0].collect()
+    check(rows, list(enumerate(texts)), 8)
+    where = {r["doc_id"]: r["shard"] for r in rows}
+    some = H.sharded(make([t + "!" for t in texts[::7]], ids=list(range(0, 2000, 7))))[0].collect()
+    assert all(where[r["doc_id"]] == r["shard"] for r in some)
+    more = {r["doc_id"]: r["shard"] for r in H.sharded(make(texts), shards=9)[0].collect()}
+    grown = {r["doc_id"]: r["grown_shard"] for r in rows}
+    moved = [i for i in where if grown[i] != where[i]]
+    assert all(grown[i] == 8 for i in moved) and 2000 / 9 * 0.8 < len(moved) < 2000 / 9 * 1.2
+    assert set(more.values()) == set(range(9))
+
+
+def test_a_third_of_equal_rows(make):
+    texts, ids = ["same"] * 1000 + [f"own {i}" for i in range(2000)], [7] * 1000 + list(range(10, 2010))
+    df = make(texts, ids=ids, parts=12)
+    rows, _ = H.sharded(df)
+    check(rows.collect(), list(zip(ids, texts)), 8)
+    assert len({r["shard"] for r in rows.where("doc_id = 7").collect()}) == 1
+
+
+@pytest.mark.parametrize("shards,slots", [(1, 10), (8, 4096), (3, 100), (5, 7)])
+def test_growing_moves_slots_only_into_the_new_shard(shards, slots):
+    first = H.first_map(shards, slots)
+    more = H.grown(first, shards)
+    assert all(more[s] in (first[s], shards) for s in first)
+    sizes = [sum(more[s] == k for s in more) for k in range(shards + 1)]
+    assert max(sizes) - min(sizes) <= 1
