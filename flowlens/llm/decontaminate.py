@@ -9,6 +9,7 @@ the original text.
 from __future__ import annotations
 
 import hashlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from flowlens.llm.common import text_of
+from flowlens.llm.common import staged, text_of
 from flowlens.llm.text import ALNUM_WORDS, RELEASE_FOR_TOKENS, buffer, words
 
 WINDOW = 13
@@ -47,6 +48,9 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
         yield block
 
 
+#: blocks that are scanned in one chain
+TOGETHER = 16
+
 _BUILT: dict[str, object] = {}
 
 
@@ -93,7 +97,7 @@ _OWN = [StructField("n_words", LongType()), StructField("hit_words", ArrayType(_
 
 def _scan(batches, names: list[str], items: list[tuple], window: int, arrow: pa.Schema):
     auto = _built(items, window)
-    labels = [str(k) for k, _ in items]
+    labels = [None if k is None else str(k) for k, _ in items]
     for batch in batches:
         old = dict(zip(batch.schema.names, batch.columns))
         n_words, hits, found = [], [], []
@@ -109,7 +113,7 @@ def _scan(batches, names: list[str], items: list[tuple], window: int, arrow: pa.
                     spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 32)
                     last = np.searchsorted(spaces, [e for e, _ in got])  # words up to the match's end
                     runs = _merged(runs + [(int(b) - n, int(b)) for b, (_, (n, _)) in zip(last, got)])
-                    keys = sorted({*keys, *(labels[i] for _, (_, of) in got for i in of)})
+                    keys = sorted({*keys, *(labels[i] for _, (_, of) in got for i in of)} - {None})
             hits.append([{"start": a, "end": b} for a, b in runs])
             found.append(keys)
         old |= {"n_words": pa.array(n_words, pa.int64()), "hit_words": pa.array(hits, arrow.field("hit_words").type),
@@ -136,9 +140,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     the original UTF-8 text). Such columns of ``docs`` are replaced.
 
     No shuffle: the benchmark goes to the tasks in blocks of ``block_bytes``, one
-    narrow pass each. Null or empty text: no words, not contaminated. Null,
-    empty or repeated items add no window of their own. Empty benchmark:
-    nothing is hit.
+    narrow pass each; the driver holds ``TOGETHER`` blocks at a time, and what they
+    found is written before the next ones. Null or empty text: no words, not
+    contaminated. Items of null or empty text, or repeated ones, add no window of their
+    own. The windows of an item without an id are hit like others; it is not among
+    ``hit_items``. Empty benchmark: nothing is hit.
     """
     made = {"n_words", "hit_words", "hit_items", "n_hit", "n_items", "items_sha256", "contaminated", "hit_bytes",
             "_text"}
@@ -150,10 +156,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     schema = StructType([*[base[c] for c in kept], base["_text"], *_OWN])
     arrow = pa.schema([("hit_words", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                        ("hit_items", pa.list_(pa.string()))])
-    some = list(item_blocks(benchmark.where(F.col(item_key).isNotNull()), item_key, item_text, block_bytes)) or [[]]
-    out = src
-    for items in some:
-        out = out.mapInArrow(lambda it, items=items: _scan(it, schema.names, items, window, arrow), schema)
+    left = item_blocks(benchmark, item_key, item_text, block_bytes)
+    out, group = src, list(islice(left, TOGETHER)) or [[]]
+    while group:
+        for items in group:
+            out = out.mapInArrow(lambda it, items=items: _scan(it, schema.names, items, window, arrow), schema)
+        group = list(islice(left, TOGETHER))
+        if group:
+            out = staged(out, "scanned")
     n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
     out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("hit_items").cast("long"))
     out = out.withColumn("items_sha256", F.sha2(F.concat_ws(",", "hit_items"), 256))
