@@ -142,12 +142,12 @@ def telling_words(bigrams: list[str], dice: float) -> list[str]:
     """Words of which any text that reaches ``dice`` holds one. Such a text has at
     least ``size * dice / (2 - dice)`` of the template's bigrams (by the lower size
     bound), so it cannot miss all of more bigrams than the rest; words that touch
-    so many are taken, rare ones and those that touch most first."""
+    so many are taken, rare and long ones and those that touch most first."""
     spare, left, out = len(bigrams) * (1 - dice / (2 - dice)), set(bigrams), []
     words = {w: {b for b in bigrams if w in b.split(" ")} for w in {w for b in bigrams for w in b.split(" ")}}
     while len(bigrams) - len(left) <= spare + 1e-9:
         w = min((w for w in words if words[w] & left),
-                key=lambda w: (w in COMMON or w.isdigit(), -len(words[w] & left), -len(w), w))
+                key=lambda w: (w in COMMON or w.isdigit(), len(w) < 6, -len(words[w] & left), -len(w), w))
         out.append(w)
         left -= words[w]
     return out
@@ -257,17 +257,17 @@ norm AS (SELECT r, doc_id, unit, unit_no, string_split(trim(regexp_replace(trans
   '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM units),
 grams AS (SELECT r, doc_id, unit, unit_no,
   list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM norm WHERE len(w) > 1),
-places AS (SELECT r, unnest(b) AS g, unnest(range(len(b))) AS at FROM grams WHERE unit = 'window'),
-starts AS (SELECT r, template, at FROM places JOIN (SELECT template, unnest(bigrams) AS g FROM templates) USING (g)),
-windows AS (SELECT r, doc_id, at, template, license, bigrams, list_distinct(b[at + 1:at + width - 1]) AS b
+places AS (SELECT r, unnest(b) AS g, unnest(range(len(b))) AS place FROM grams WHERE unit = 'window'),
+starts AS (SELECT r, template, place FROM places JOIN (SELECT template, unnest(bigrams) AS g FROM templates) USING (g)),
+windows AS (SELECT r, doc_id, place, template, license, bigrams, list_distinct(b[place + 1:place + width - 1]) AS b
   FROM starts JOIN grams USING (r) JOIN templates USING (template)),
-spans AS (SELECT r, doc_id, at, template, license,
+spans AS (SELECT r, doc_id, place, template, license,
   2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice FROM windows),
 scored AS (SELECT doc_id, unit, unit_no, template, license,
   2.0 * len(list_intersect(b, bigrams)) / (len(b) + len(bigrams)) AS dice
   FROM (SELECT doc_id, unit, unit_no, list_distinct(b) AS b FROM grams WHERE unit <> 'window'), templates
   WHERE len(b) BETWEEN len(bigrams) * {dice / (2 - dice)!r} AND len(bigrams) * {(2 - dice) / dice!r}
-  UNION ALL SELECT doc_id, 'window', at, template, license, dice FROM spans
-  QUALIFY row_number() OVER (PARTITION BY r, template ORDER BY dice DESC, at) = 1)
+  UNION ALL SELECT doc_id, 'window', place, template, license, dice FROM spans
+  QUALIFY row_number() OVER (PARTITION BY r, template ORDER BY dice DESC, place) = 1)
 SELECT doc_id, unit, CAST(unit_no AS INTEGER) AS unit_no, CAST(template AS INTEGER) AS template, license,
   CAST(dice AS DOUBLE) AS dice FROM scored WHERE dice >= {dice!r}"""
