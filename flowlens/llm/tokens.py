@@ -20,8 +20,11 @@ import re
 import sys
 from array import array
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
@@ -116,36 +119,48 @@ class Encoder:
                 raw, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
                 memo.update(zip(part, [raw[a:b] for a, b in zip((at + skip).tolist(), ends)]))
 
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [p.pop(0) for p in parts]
-        seen: set[str] = set().union(*parts)
-        known = self.memo.get
-        here = {p: known(p, 0) for p in seen}  # small, so quicker to look up than all that is remembered
-        new = [p for p, ids in here.items() if ids == 0]
+    def _known(self, cuts: list[str]) -> list[bytes | None]:
+        """Ids of distinct cuts, remembered or new."""
+        found = list(map(self.memo.get, cuts, repeat(0)))
+        new = [i for i, ids in enumerate(found) if ids == 0]
         if new:
             if len(self.memo) + len(new) > MEMO:
                 self.memo = {}
-            self._new(new)
+            self._new([cuts[i] for i in new])
             memo = self.memo
-            here.update((p, memo[p]) for p in new)
-            for p in new:
-                if len(p) > MEMO_CHARS:
-                    del memo[p]
-        get, out, whole = here.__getitem__, [], []
-        first_ids = dict(zip(once := list(set(heads)), self._library(once)))
-        for i, (p, head, first) in enumerate(zip(parts, heads, map(first_ids.__getitem__, heads))):
-            try:
-                ids = first + b"".join(map(get, p))
-                odd = bool(p) and head[-1:].isspace()
-            except TypeError:  # a None among them
-                ids, odd = b"", True
-            if odd:
-                whole.append(i)
-            out.append(ids)
+            for i in new:
+                found[i] = memo[cuts[i]] if len(cuts[i]) <= MEMO_CHARS else memo.pop(cuts[i])
+        return found
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        at = parts.offsets.to_numpy().astype(np.int64)  # of each text's first part; none is without a part
+        coded = parts.flatten().dictionary_encode()
+        code, head_at = coded.indices.to_numpy().astype(np.int64), at[:-1]
+        heads = coded.dictionary.take(pa.array(code[head_at])).to_pylist()
+        # a head follows no space: it gets a place of its own behind the distinct cuts
+        n, first = len(coded.dictionary), dict.fromkeys(heads)
+        first = dict(zip(first, range(n, n + len(first))))
+        code[head_at] = np.fromiter(map(first.__getitem__, heads), np.int64, len(heads))
+        used = np.zeros(n + len(first), dtype=bool)
+        used[code] = True
+        cuts = coded.dictionary.filter(pa.array(used[:n])).to_numpy(zero_copy_only=False).tolist()
+        ids = self._known(cuts) + self._library(list(first))
+        size = np.zeros(len(used) + 1, dtype=np.int64)
+        size[1:][used] = [0 if x is None else len(x) // 4 for x in ids]
+        pool, start, size = np.frombuffer(b"".join(filter(None, ids)), dtype="<u4"), size.cumsum(), size[1:]
+        ends = size[code].cumsum()
+        out = pool[np.repeat(start[code] - (ends - size[code]), size[code]) + np.arange(ends[-1])]
+        stop = ends[at[1:] - 1].tolist()
+        made = [out[a:b].tobytes() for a, b in zip([0, *stop], stop)]
+        unknown = np.zeros(len(used), dtype=bool)
+        unknown[used] = [x is None for x in ids]
+        odd = np.logical_or.reduceat(unknown[code], head_at) if len(heads) else unknown[:0]
+        whole = [i for i, (bad, head, k) in enumerate(zip(odd.tolist(), heads, np.diff(at).tolist()))
+                 if bad or k > 1 and head[-1:].isspace()]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+            made[i] = ids
+        return made
 
 
 def encoder(path: str) -> Encoder:
