@@ -62,8 +62,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
         narrow = not wide and enc.vocab_size <= 1 << 16 and end_id < 1 << 16
         end, last, repeat = np.array([end_id], dtype="<u4").tobytes(), object(), 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for i in range(0, batch.num_rows, 400):
+                part = batch.slice(i, 400)
                 out = []
                 for k, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
                     repeat, last = (repeat + 1 if k == last else 0), k
