@@ -10,7 +10,7 @@ synchronisations, so losses are close to but not identical with a serial run.
 ``gradient_pass`` gives the exact full-batch gradient (sums from all
 partitions) for checks and for ``mode="full"`` training.
 
-Scoring (M03/M04) is one Arrow ``pandas_udf`` (vectorised matmul per batch,
+Scoring (M03/M04) is one Arrow UDF (vectorised matmul per batch,
 weights captured in the closure: bounded by the net size) returning the MSE
 and, on request, the per-feature squared errors, inputs and reconstruction.
 """
@@ -21,11 +21,12 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from ..functions import fixed
 from .evaluation import exact_split, fit_scaler, scale_columns, scaler_params
@@ -174,12 +175,14 @@ def score_autoencoder_detail(df: DataFrame, model: Model, out_col: str = "ae") -
     scales = np.array([s for _, _, s in model.scaler])
     ws, bs = model.ws, model.bs
 
-    @pandas_udf(DETAIL_TYPE)
-    def detail_udf(*cols: pd.Series) -> pd.DataFrame:
-        xs = _scaled_matrix(cols, means, scales)
+    @arrow_udf(DETAIL_TYPE)
+    def detail_udf(*cols: pa.Array) -> pa.Array:
+        xs = (np.column_stack([c.to_numpy(zero_copy_only=False) for c in cols]).astype(float) - means) / scales
         xh = forward(xs, ws, bs)[-1]
         err = (xs - xh) ** 2
-        return pd.DataFrame({"mse": err.mean(axis=1), "x": list(xs), "x_hat": list(xh), "err": list(err)})
+        at = pa.array(np.arange(len(xs) + 1, dtype=np.int32) * xs.shape[1])
+        lists = [pa.ListArray.from_arrays(at, pa.array(np.ascontiguousarray(m).ravel())) for m in (xs, xh, err)]
+        return pa.StructArray.from_arrays([pa.array(err.mean(axis=1)), *lists], ["mse", "x", "x_hat", "err"])
 
     return df.withColumn(out_col, detail_udf(*[F.col(f).cast("double") for f in model.features]))
 

@@ -103,20 +103,18 @@ LIVE_COLUMNS = ["src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_prot
 
 
 def _live_job(spark, sf, chunks=4):
-    """The job over the fixture lines in several micro-batches; run once per session and folder."""
-    def build():
-        _, model = _demo(spark, sf)
-        lines = fixtures.live_lines(spark, sf)
-        path, files = _in_time_order(lines, spark, "live-lines", "line_no", chunks,
-                                     lambda df, p: df.select("value").write.mode("append").text(p))
-        job = live.LiveJob(spark, model, scratch_dir(spark, "live"))
-        stream = spark.readStream.option("maxFilesPerTrigger", str(files)).text(path)
-        q = job.start(stream, scratch_dir(spark, "live-ckpt"), availableNow=True)
-        q.awaitTermination()
-        if q.exception():
-            raise q.exception()
-        return job
-    return fixtures.memo(spark, sf, "live-job", build)
+    """The job over the fixture lines in several micro-batches."""
+    _, model = _demo(spark, sf)
+    lines = fixtures.live_lines(spark, sf)
+    path, files = _in_time_order(lines, spark, "live-lines", "line_no", chunks,
+                                 lambda df, p: df.select("value").write.mode("append").text(p))
+    job = live.LiveJob(spark, model, scratch_dir(spark, "live"))
+    stream = spark.readStream.option("maxFilesPerTrigger", str(files)).text(path)
+    q = job.start(stream, scratch_dir(spark, "live-ckpt"), availableNow=True)
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return job
 
 
 @register("t03_live_job", with_layers(LIVE_LAYERS, f"""

@@ -72,8 +72,9 @@ def scored_requests(accepted: DataFrame, model: ae.Model) -> DataFrame:
 
 
 class LiveJob:
-    """``foreachBatch`` handler. Under ``path``: ``records`` (parquet), ``log`` (one JSON object
-    per event), ``rejected`` (``flow_id, error``) and ``state``, each by ``batch_id``."""
+    """``foreachBatch`` handler. Under ``path``: ``requests`` and ``scored`` (what the lines held, and
+    the accepted ones scored), ``records`` (parquet), ``log`` (one JSON object per event),
+    ``rejected`` (``flow_id, error``) and ``state``, each by ``batch_id``."""
 
     def __init__(self, spark: SparkSession, model: ae.Model, path: str, bands: dict | None = None,
                  window_s: int = fixed.REPEAT_WINDOW_S, cap: int = fixed.REPEAT_MAX_EVENTS_PER_KEY,
@@ -90,20 +91,22 @@ class LiveJob:
             return self.spark.read.schema(BEFORE_SCHEMA).parquet(path)
         return None
 
+    def _written(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
+        path = self._at(name, batch_id)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
-        accepted, rejected = fl.check_feature_contract(requests_from_lines(lines, self.value_col),
-                                                       feature_names=tuple(self.model.features))
+        # every line is parsed once, every request scored once; what follows reads the files
+        requests = self._written(requests_from_lines(lines, self.value_col), "requests", batch_id)
+        accepted, rejected = fl.check_feature_contract(requests, feature_names=tuple(self.model.features))
         rejected.select("flow_id", "ts_unix", "error").write.mode("overwrite").parquet(self._at("rejected", batch_id))
-        # scored once; what follows reads the files
-        scored = scored_requests(accepted, self.model)
-        scored.write.mode("overwrite").parquet(self._at("scored", batch_id))
-        events = self.spark.read.schema(scored.schema).parquet(self._at("scored", batch_id))
+        events = self._written(scored_requests(accepted, self.model), "scored", batch_id)
         keep: list[DataFrame] = []
         rep = attach_repetition(enrich_context(raw_event(events, self.bands)), window_s=self.window_s, cap=self.cap,
                                 before=self._before(batch_id), keep=keep)
         record = assemble_alert(attach_explanations(decide(rep)), self.bands)
-        record.write.mode("overwrite").parquet(self._at("records", batch_id))
-        done = self.spark.read.schema(record.schema).parquet(self._at("records", batch_id))
+        done = self._written(record, "records", batch_id)
         done.write.mode("overwrite").json(self._at("log", batch_id))
         newest = keep[0].agg(F.max("_lb_ts")).first()[0]
         horizon = None if newest is None else newest - self.window_s - self.lateness_s

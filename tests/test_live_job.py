@@ -97,3 +97,20 @@ def test_record_sections(spark):
     assert errs == sorted(errs, reverse=True) and len(errs) == 5
     for t in row["top_features"]:
         assert t["err"] == pytest.approx((t["x"] - t["x_hat"]) ** 2)
+
+
+def test_each_line_is_parsed_once(spark, tmp_path):
+    """The lines are read once for the events and once for the requests, not again for what is rejected."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(value):
+        seen.add(1)
+        return value
+
+    lines = spark.createDataFrame([(x,) for x in LINES], "value string").coalesce(1)
+    lines.write.parquet(str(tmp_path / "lines"))
+    job = live.LiveJob(spark, MODEL, str(tmp_path / "out"))
+    job(spark.read.parquet(str(tmp_path / "lines")).select(told.asNondeterministic()("value").alias("value")), 0)
+    assert 0 < seen.value <= 2 * len(LINES)
+    assert job.records().count() == 26 and job.rejected().count() == 2
