@@ -20,23 +20,24 @@ DEC = chain("lab4")
 TXT = chain("text")
 
 
-# The chain stages are immutable plans: built once per session and input
-# folder and shared by every query that selects from them.
+# The context stage is a plan: built once per session and input folder. Repetition runs
+# a job when it is called, so every query runs its own: what a query costs does not
+# depend on the queries before it.
 def _ctx(spark, sf):
     return fixtures.memo(spark, sf, "ctx", lambda: enrich_context(raw_event(fixtures.flows(spark, sf)),
                                                                  keep_helpers=True))
 
 
 def _rep(spark, sf):
-    return fixtures.memo(spark, sf, "rep", lambda: attach_repetition(_ctx(spark, sf)))
+    return attach_repetition(_ctx(spark, sf))
 
 
 def _dec(spark, sf):
-    return fixtures.memo(spark, sf, "dec", lambda: display_label(repeat_review(adjust_for_context(_rep(spark, sf)))))
+    return display_label(repeat_review(adjust_for_context(_rep(spark, sf))))
 
 
 def _txt(spark, sf):
-    return fixtures.memo(spark, sf, "txt", lambda: attach_explanations(_dec(spark, sf)))
+    return attach_explanations(_dec(spark, sf))
 
 
 # --- flagship slice ---------------------------------------------------------

@@ -53,3 +53,14 @@ def test_alert_record_sections(spark):
     row = rec.orderBy("ts_unix").collect()[-1]
     assert row["timing"]["throughput_fps"] > 0 and row["model"]["bands"]["crit"] == 8.0
     assert row["display_label"] == row["final_label"] and row["severity"] == row["final_severity"]
+
+
+def test_queries_run_their_own_repetition(spark):
+    """No query takes over the rows that another one had counted."""
+    first, second = _rep(spark, SF), _rep(spark, SF)
+    assert not set(first.inputFiles()) & {f for f in second.inputFiles() if "flowlens-repetition" in f}
+
+
+def test_long_rule_chains_are_not_one_method(spark):
+    """The JVM compiles no method of more than 8,000 bytes."""
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
