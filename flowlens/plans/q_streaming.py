@@ -65,7 +65,7 @@ SELECT flow_id, repeat_previous_count, repeat_count, repeat_level FROM rep2"""))
 def t02(spark, sf):
     from ..functions.context import enrich_context, raw_event
     ev = enrich_context(raw_event(_event_batches(spark, sf)))
-    rep = st.attach_repetition_stream(ev)
+    rep = st.attach_repetition_stream(ev, columns=["flow_id"])
     out = st.run_to_parquet(rep.select("flow_id", "repeat_previous_count", "repeat_count", "repeat_level"),
                             spark, "t02")
     return out
@@ -191,7 +191,8 @@ def t05(spark, sf):
     flows.repartition(files).write.mode("append").parquet(path)  # replay, written later
     stream = (spark.readStream.schema(flows.schema).option("maxFilesPerTrigger", str(files))
               .parquet(path))
-    rep = st.attach_repetition_stream(enrich_context(raw_event(stream)), watermark="45 seconds")
+    rep = st.attach_repetition_stream(enrich_context(raw_event(stream)), watermark="45 seconds",
+                                      columns=["flow_id", "is_anom"])
     out = st.run_to_parquet(rep.select("flow_id", "is_anom", "repeat_count"), spark, "t05")
     return out.agg(F.count(F.lit(1)).alias("rows_out"),
                    F.count(F.when(F.col("is_anom"), 1)).alias("anomalous_rows_out"),

@@ -34,6 +34,9 @@ KEY_FIELDS = ["k_src", "k_dst", "k_proto", "k_class", "k_port"]
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: columns that the count reads
+COUNTED_BY = ["flow_id", "ts_unix", "is_anom", "src_ip", "dest_ip", "proto", "traffic_class", "dest_port"]
+
 STATE_SCHEMA = T.StructType([T.StructField("times", T.ArrayType(T.DoubleType()))])
 
 
@@ -50,8 +53,10 @@ def repetition_state_fn(window_s: float = fixed.REPEAT_WINDOW_S, cap: int = fixe
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
-        pdf = pd.concat(frames, ignore_index=True).sort_values([ts_col, seq_col], kind="mergesort")
-        ts = np.concatenate([np.array(had, dtype=float), pdf[ts_col].to_numpy(dtype=float)])
+        # only time and sequence are put in order; the rows stay where they are
+        order = pd.concat([p[[ts_col, seq_col]] for p in frames], ignore_index=True).sort_values(
+            [ts_col, seq_col], kind="mergesort")
+        ts = np.concatenate([np.array(had, dtype=float), order[ts_col].to_numpy(dtype=float)])
         one = np.zeros(len(ts), dtype=np.int64)
         prev = look_back(one, one, ts, window_s, cap)
         left = [float(t) for t in ts[-min(int(prev[-1]) + 1, cap):]]
@@ -59,17 +64,25 @@ def repetition_state_fn(window_s: float = fixed.REPEAT_WINDOW_S, cap: int = fixe
         # expire 45 s after the newest time, never before the current watermark
         expire_ms = int((max(left) + float(window_s)) * 1000) + 1
         state.setTimeoutTimestamp(max(expire_ms, state.getCurrentWatermarkMs() + 1))
-        out = pdf.copy()
-        out["repeat_previous_count"] = prev[len(had):]
-        yield out
+        counts = np.empty(len(order), dtype=np.int32)
+        counts[order.index.to_numpy()] = prev[len(had):]
+        del order, ts, one, prev
+        frames.reverse()
+        while frames:
+            pdf = frames.pop()
+            mine, counts = counts[:len(pdf)], counts[len(pdf):]
+            yield pdf.assign(repeat_previous_count=mine)
     return fn
 
 
 def attach_repetition_stream(events: DataFrame, watermark: str = "45 seconds",
                              window_s: float = fixed.REPEAT_WINDOW_S,
-                             cap: int = fixed.REPEAT_MAX_EVENTS_PER_KEY) -> DataFrame:
+                             cap: int = fixed.REPEAT_MAX_EVENTS_PER_KEY, columns: list[str] | None = None) -> DataFrame:
     """T02 on a streaming frame with ``is_anom`` and ``traffic_class``: one list of at most
-    ``cap`` times per key in RocksDB. No row is dropped for being late."""
+    ``cap`` times per key in RocksDB. No row is dropped for being late. With ``columns`` only
+    those and what the count needs go on: Spark prunes no columns below Python."""
+    if columns is not None:
+        events = events.select(*dict.fromkeys([*columns, *COUNTED_BY]))
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     key = repeat_key_expr()
     ev = events.withColumn("event_time", F.timestamp_seconds(F.col("ts_unix")))
