@@ -26,6 +26,8 @@ from flowlens.llm.tokens import encoder
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 END_ID = 2
+#: texts given to the encoder at once: as many as it splits and names together
+STEP = 400
 
 
 class CapacityTree:
@@ -129,8 +131,8 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
         enc, task = encoder(vocabulary), TaskContext.get().partitionId()
         end, seen = np.array([end_id], dtype="<u4").tobytes(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                part = batch.slice(i, 200)
+            for i in range(0, batch.num_rows, STEP):
+                part = batch.slice(i, STEP)
                 rows: list[tuple] = []
                 at: list[int] = []
                 for row, ids in enumerate(enc.encode(part.column(1).to_pylist())):

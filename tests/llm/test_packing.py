@@ -79,3 +79,16 @@ def test_small_capacity_null_and_repeated_keys(make):
 
 def test_empty_table(make):
     assert P.packed(make([])).collect() == []
+
+
+def test_the_encoder_gets_as_many_texts_as_it_names_together():
+    """Each step of the encoder splits and names the cuts of its texts anew."""
+    from flowlens.llm import packing, tokens
+
+    enc, steps = tokens.Encoder(tokens.vocabulary_path(packing.VOCABULARY)), []
+    cut = enc._cut
+    enc._cut = lambda texts: steps.append(len(texts)) or cut(texts)
+    texts = [f"text {i}" for i in range(1000)]
+    for i in range(0, len(texts), packing.STEP):
+        enc.encode(texts[i:i + packing.STEP])
+    assert steps == [400, 400, 200]
