@@ -48,7 +48,7 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
         yield block
 
 
-#: blocks that are scanned in one chain
+#: blocks that are scanned in one Python step
 TOGETHER = 16
 
 _BUILT: dict[str, object] = {}
@@ -81,12 +81,12 @@ def automaton(items: list[tuple], window: int = WINDOW):
     return out
 
 
-def _built(items: list[tuple], window: int):
-    """The automaton of a block, built once per worker process."""
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+def _built(group: list[list[tuple]], window: int) -> list:
+    """The automata of some blocks, built once per worker process."""
+    key = hashlib.sha256(repr((group, window)).encode()).hexdigest()
     if key not in _BUILT:
-        _BUILT.clear()  # one at a time
-        _BUILT[key] = automaton(items, window)
+        _BUILT.clear()  # one group at a time
+        _BUILT[key] = [automaton(items, window) for items in group]
     return _BUILT[key]
 
 
@@ -95,8 +95,7 @@ _OWN = [StructField("n_words", LongType()), StructField("hit_words", ArrayType(_
         StructField("hit_items", ArrayType(StringType()))]
 
 
-def _scan(batches, names: list[str], items: list[tuple], window: int, arrow: pa.Schema):
-    auto = _built(items, window)
+def _scan(batches, names: list[str], items: list[tuple], auto, arrow: pa.Schema):
     labels = [None if k is None else str(k) for k, _ in items]
     for batch in batches:
         old = dict(zip(batch.schema.names, batch.columns))
@@ -139,9 +138,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     ``20 * n_hit >= n_words``) and ``hit_bytes`` (the ranges as byte offsets of
     the original UTF-8 text). Such columns of ``docs`` are replaced.
 
-    No shuffle: the benchmark goes to the tasks in blocks of ``block_bytes``, one
-    narrow pass each; the driver holds ``TOGETHER`` blocks at a time, and what they
-    found is written before the next ones. Null or empty text: no words, not
+    No shuffle: the benchmark goes to the tasks in blocks of ``block_bytes``, ``TOGETHER``
+    of them in one narrow Python step; what they found is written before the next ones. Null or empty text: no words, not
     contaminated. Items of null or empty text, or repeated ones, add no window of their
     own. The windows of an item without an id are hit like others; it is not among
     ``hit_items``. Empty benchmark: nothing is hit.
@@ -157,18 +155,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     arrow = pa.schema([("hit_words", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                        ("hit_items", pa.list_(pa.string()))])
     left = item_blocks(benchmark, item_key, item_text, block_bytes)
-    out, group = src, list(islice(left, TOGETHER)) or [[]]
-    while group:
-        for items in group:
-            out = out.mapInArrow(lambda it, items=items: _scan(it, schema.names, items, window, arrow), schema)
-        group = list(islice(left, TOGETHER))
-        if group:
-            out = staged(out, "scanned")
-    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
-    out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("hit_items").cast("long"))
-    out = out.withColumn("items_sha256", F.sha2(F.concat_ws(",", "hit_items"), 256))
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    final = StructType([*[f for f in out.schema.fields if f.name != "_text"], StructField("hit_bytes", ArrayType(_SPAN))])
+    final = StructType([*[f for f in schema.fields if f.name != "_text"], StructField("hit_bytes", ArrayType(_SPAN))])
+
+    def run(batches, group, last):
+        # one Python step: every further one in a task is a worker process of its own
+        for items, auto in zip(group, _built(group, window)):
+            batches = _scan(batches, schema.names, items, auto, arrow)
+        return offsets(batches) if last else batches
 
     def offsets(batches):
         for batch in batches:
@@ -184,4 +177,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
             old["hit_bytes"] = pa.array(spans, arrow.field("hit_words").type)
             yield pa.RecordBatch.from_arrays([old[n] for n in final.names], names=final.names)
 
-    return out.mapInArrow(offsets, final)
+    out, group = src, list(islice(left, TOGETHER)) or [[]]
+    while group:
+        more = list(islice(left, TOGETHER))
+        out = out.mapInArrow(lambda it, group=group, last=not more: run(it, group, last), schema if more else final)
+        if more:
+            out = staged(out, "scanned")
+        group = more
+    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("hit_items").cast("long"))
+    out = out.withColumn("items_sha256", F.sha2(F.concat_ws(",", "hit_items"), 256))
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return out.select(*[c for c in out.columns if c != "hit_bytes"], "hit_bytes")

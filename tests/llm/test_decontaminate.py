@@ -62,3 +62,11 @@ def test_many_blocks_have_the_plan_of_a_few(spark, make):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") <= D.TOGETHER + 1
     assert {r["doc_id"]: r["n_items"] for r in found.collect()} == {0: 1, 1: 0}
+
+
+def test_a_task_needs_one_python_worker(spark, make):
+    """Each Python step of a stage is a worker process of its own in every task."""
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    for block in (1 << 20, 40):  # one block, several
+        plan = D.scan(make(texts()), bench, block_bytes=block)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1
