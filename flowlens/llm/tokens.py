@@ -20,7 +20,7 @@ import re
 import sys
 from array import array
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,9 @@ MEMO_CHARS = 64
 SHORT_BYTES = 65_534
 _MIXED_SPACE = re.compile(r"\s | \s")
 _SPACES = re.compile(r"\s{2,}")
+#: marks behind a word, one piece together; of each byte, whether a character starts with it
+_MARKS = ".,;:!?"
+_STARTS = bytes(b & 0xC0 != 0x80 for b in range(256))
 #: fixed value: the splitting pattern of byte-level BPE vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -219,9 +222,10 @@ class PrefixBPE:
         self.fits: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
         special = [re.escape(t["content"]) for t in added]
         self.special = re.compile("|".join(special)) if special else None
+        self.lines = not any("\n" in t["content"] for t in added)
         self.split = regex.compile(PATTERN)
 
     def forget(self) -> None:
@@ -253,46 +257,56 @@ class PrefixBPE:
             self.sound[t] = known
         return known
 
-    def _step(self, data: bytes, i: int, count: list[int], last: list[int]) -> None:
-        """Extend the table by the prefix of ``i`` bytes."""
-        ids, fits = self.ids, self.fits
-        for start in range(i - 1, max(-1, i - self.longest - 1), -1):
-            t = ids.get(data[start:i])
-            if t is None:
-                continue
-            if start:
-                key = last[start] << 20 | t
-                ok = fits.get(key)
-                if ok is None:
-                    if len(fits) > 1_000_000:
-                        fits.clear()
-                    ok = fits[key] = self._sound(t) and self._apart(last[start], t, 1 << 60)
+    def _extend(self, data: bytes, upto: int, count: list[int], last: list[int]) -> None:
+        """Extend the table to the prefix of ``upto`` bytes."""
+        ids, fits, longest = self.ids, self.fits, self.longest
+        for i in range(len(count), upto + 1):
+            for start in range(i - 1, max(-1, i - longest - 1), -1):
+                t = ids.get(data[start:i])
+                if t is None:
+                    continue
+                if start:
+                    key = last[start] << 20 | t
+                    ok = fits.get(key)
+                    if ok is None:
+                        if len(fits) > 1_000_000:
+                            fits.clear()
+                        ok = fits[key] = self._sound(t) and self._apart(last[start], t, 1 << 60)
+                else:
+                    ok = self._sound(t)
+                if ok:
+                    count.append(count[start] + 1)
+                    last.append(t)
+                    break
             else:
-                ok = self._sound(t)
-            if ok:
-                count.append(count[start] + 1)
-                last.append(t)
-                return
-        raise ValueError("the vocabulary lacks a byte")
+                raise ValueError("the vocabulary lacks a byte")
 
     def piece(self, data: bytes) -> list[int]:
         """Token count of every byte prefix of one piece (index 0: empty).
-        Pieces that begin alike share the table of their common prefix."""
+        Pieces that begin alike share the table of their common prefix: a known
+        prefix of n bytes has its n + 1 counts, a byte each, and the last tokens."""
         known = self.known
-        count, last = [0], [0]
-        for i in range(1, min(len(data), 20) + 1):
-            pre = data[:i]
-            v = known.get(pre)
-            if v is None:
-                self._step(data, i, count, last)
+        short = k = min(len(data), 20)
+        while k:
+            v = known.get(data[:k])
+            if v is not None:
+                break
+            k -= 1
+        if not k:
+            count, last = [0], [0]
+        elif k == len(data):
+            return list(v[:k + 1])
+        else:
+            count, last = list(v[:k + 1]), array("I", v[k + 1:]).tolist()
+        if k < short:
+            self._extend(data, short, count, last)
+            counts, tokens = bytes(count), array("I", last).tobytes()
+            for i in range(k + 1, short + 1):
                 if len(known) > COUNTED:
                     known.clear()
-                known[pre] = count[i] << 20 | last[i]
-            else:
-                count.append(v >> 20)
-                last.append(v & 0xFFFFF)
-        for i in range(len(count), len(data) + 1):
-            self._step(data, i, count, last)
+                known[data[:i]] = counts[:i + 1] + tokens[:4 * i + 4]
+        if short < len(data):
+            self._extend(data, len(data), count, last)
         return count
 
     def _chars(self, s: str) -> list[int]:
@@ -300,13 +314,20 @@ class PrefixBPE:
         count = self.piece(data := s.encode("utf-8"))
         if len(data) == len(s):
             return count[1:]
-        ends = [i for i in range(1, len(data) + 1) if i == len(data) or data[i] & 0xC0 != 0x80]
-        return [count[i] for i in ends]
+        return list(compress(count[1:], (data[1:] + b"a").translate(_STARTS)))
+
+    def _pieces(self, s: str) -> list[str]:
+        """The pieces of a text. A Latin word, with its space and marks behind it if
+        any, needs no pattern."""
+        core = s.rstrip(_MARKS)
+        if core[1:].isalpha() and (core[0] == " " or core[0].isalpha()) and max(core) < "\u0250":
+            return [s] if len(core) == len(s) else [core, s[len(core):]]
+        return self.split.findall(s)
 
     def _plain(self, s: str) -> list[int]:
         """Counts of every prefix of a text without special strings."""
         out, base = [0], 0
-        for p in self.split.findall(s):
+        for p in self._pieces(s):
             got = self._chars(p)
             if len(p) == 3 and p[0] == "'" and p[1:].isascii() and p in ("'re", "'ve", "'ll"):
                 got[1] = 2  # cut inside, the apostrophe and the letter are two pieces
@@ -339,24 +360,30 @@ class PrefixBPE:
 
     def counts(self, text: str) -> np.ndarray:
         """int32 counts of the prefixes of 0, 1, ... len(text) characters."""
-        if _MIXED_SPACE.search(text):
+        if not _SPACES.search(text) and self.lines:
+            # a line feed alone is a piece of its own: cut before it, too
+            parts = text.replace("\n", " \n").split(" ")
+        elif _MIXED_SPACE.search(text):
             return np.asarray(self.general(text), dtype="<i4")
-        parts = text.split(" ")
+        else:
+            parts = text.split(" ")
         memo = self.pieces
         if _long(parts[0]):
             return np.asarray(self.general(text), dtype="<i4")
-        got = [np.asarray(self.general(parts[0])[1:], dtype="<u2").tobytes()]
-        for p in parts[1:]:
+        got = list(map(memo.get, parts))
+        got[0] = np.asarray(self.general(parts[0])[1:], dtype="<u2").tobytes()
+        for i in [i for i, c in enumerate(got) if c is None]:
+            p = parts[i]
             c = memo.get(p)
             if c is None:
                 if _long(p):
                     return np.asarray(self.general(text), dtype="<i4")
-                c = array("H", self.general(" " + p)[1:]).tobytes()
+                c = array("H", self.general(p if p[:1] == "\n" else " " + p)[1:]).tobytes()
                 if len(p) <= MEMO_CHARS:
                     if len(memo) >= COUNTED:
                         memo.clear()
                     memo[p] = c
-            got.append(c)
+            got[i] = c
         inside = np.frombuffer(b"".join(got), dtype="<u2")
         sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 2
         ends = np.cumsum(sizes)

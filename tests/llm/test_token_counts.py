@@ -62,3 +62,23 @@ def test_long_parts_without_a_space():
             got = bpe.counts(t)
             assert len(got) == len(t) + 1 and got[-1] == count(t)
             assert [got[k] for k in (1, 999, 16_384)] == [count(t[:k]) for k in (1, 999, 16_384)]
+
+
+def test_lines_words_and_marks_are_exact():
+    rng = random.Random(8)
+    bpe = prefix_bpe(C.VOCABULARY)
+    parts = ["word", "Ünïcode", "naïve.", "end.\n", "\n", " ", "x?!", "ªº", "ɐɑ", "don't", "n'", "l1", "\n\n", "ß;", "日本.", "a" * 25 + "é" * 9]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 9)))
+        assert bpe.counts(t).tolist() == [count(t[:i]) for i in range(len(t) + 1)], t
+
+
+def test_lines_share_what_their_words_cost():
+    """Words at the ends of lines are not counted anew for every pair of neighbours."""
+    bpe = prefix_bpe(C.VOCABULARY)
+    bpe.forget()
+    words = [chr(97 + i) + "ber" for i in range(20)]
+    for a in words:
+        for b in words:
+            assert bpe.counts(f"x {a}\n{b} y")[-1] == count(f"x {a}\n{b} y")
+    assert len(bpe.pieces) <= 2 * len(words) + 1
