@@ -46,8 +46,9 @@ FIRST, GROWTH = 2, 8
 STEP = 1000
 #: bits of a filter: per entry, at least and at most
 BITS, FEWEST_BITS, MOST_BITS = 16, 15, 27
-#: bytes of text counted at once
-BLOCK = 4 << 20
+#: bytes of text counted at once, and of these whose words are named at once: naming takes some
+#: 40 bytes for each byte of text, counting some 60 for each word
+BLOCK, NAMED = 4 << 20, 128 << 10
 
 _DELIMITER = np.zeros(256, dtype=bool)
 _DELIMITER[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -66,15 +67,41 @@ class _Words:
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, langs: list[str], seed: int):
         self.raw = raw
-        self.starts, self.ends, self.first = words(raw, at, _WORD)
-        pre, half = Prefix(raw, fold=True), (self.starts + self.ends) >> 1
         odd = np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-        of = np.repeat(np.array([_language(x) for x in langs], dtype=np.uint64), np.diff(self.first))
-        self.ids = mix(pre.window(self.starts, half) * odd + pre.window(half, self.ends) + of)
-        piece = np.cumsum(_DELIMITER[raw])[self.starts] if len(raw) else np.zeros(0, dtype=np.int64)
-        begins = np.zeros(len(self.ids) + 1, dtype=bool)
-        begins[self.first] = True
-        self.linked = (piece[1:] == piece[:-1]) & ~begins[1:len(self.ids)]
+        parts, a = [], 0
+        while a < len(raw) or not parts:
+            b = _until(raw, at, a)
+            parts.append(self._named(raw[a:b], at[(at >= a) & (at <= b)] - a, a, odd))
+            a = b
+        self.starts, self.ends, ids, linked = map(np.concatenate, zip(*parts))
+        self.first = np.searchsorted(self.starts, at)
+        self.ids = mix(ids + np.repeat(np.array([_language(x) for x in langs], dtype=np.uint64), np.diff(self.first)))
+        linked[self.first[self.first > 0] - 1] = False
+        self.linked = linked[:-1]
+
+    @staticmethod
+    def _named(raw: np.ndarray, at: np.ndarray, a: int, odd: np.uint64):
+        """``starts, ends, names, linked`` of the bytes from ``a``, without their documents' languages."""
+        starts, ends, _ = words(raw, at, _WORD)
+        pre, half = Prefix(raw, fold=True), (starts + ends) >> 1
+        ids = pre.window(starts, half) * odd + pre.window(half, ends)
+        piece = np.cumsum(_DELIMITER[raw])[starts] if len(raw) else starts
+        linked = np.zeros(len(ids), dtype=bool)
+        linked[:-1] = piece[1:] == piece[:-1]
+        return starts + a, ends + a, ids, linked
+
+
+def _until(raw: np.ndarray, at: np.ndarray, a: int) -> int:
+    """Where the bytes from ``a`` that are named together end: ``NAMED`` bytes on, at the next end of
+    a document or delimiter, across which no word is linked."""
+    b = min(a + NAMED, len(raw))
+    stop = int(at[np.searchsorted(at, b)])
+    while b < stop:
+        found = np.flatnonzero(_DELIMITER[raw[b - 1:min(b - 1 + NAMED, stop)]])
+        if len(found):
+            return b + int(found[0])
+        b += NAMED
+    return stop
 
 
 def _blocks_of(batch: pa.RecordBatch, seed: int):

@@ -1,12 +1,15 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from flowlens.llm import collocations as C
+from flowlens.llm.text import forget
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +121,34 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_empty_tables(table):
     assert result(table([])) == []
     assert result(table([(None, None), ("en", "one"), ("en", " ., ")])) == []
+
+
+def _batch(rows):
+    return pa.RecordBatch.from_arrays([pa.array([r[0] or "und" for r in rows]), pa.array([r[1] for r in rows], pa.string())],
+                                      names=["lang", "text"])
+
+
+@pytest.mark.parametrize("texts", [["plain words. " * 20] * 8000, ["plain words. " * 160_000]])
+def test_naming_takes_little_memory(texts):
+    batch = _batch([("en", t) for t in texts])
+    forget()
+    tracemalloc.start()
+    try:
+        found = sum(len(w.ids) for w, _ in C._blocks_of(batch, 0))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == sum(2 * t.count(".") for t in texts)
+    assert peak < 40 << 20  # 2 MB of text, a word for each 6.5 bytes
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_names_do_not_depend_on_the_steps(monkeypatch, seed):
+    batch = _batch([("en", ""), *corpus(seed), (None, None)])
+    monkeypatch.setattr(C, "NAMED", 1 << 30)
+    (want, _), = C._blocks_of(batch, seed)
+    for step in (1, 7, 100):
+        monkeypatch.setattr(C, "NAMED", step)
+        (got, _), = C._blocks_of(batch, seed)
+        for name in ("starts", "ends", "first", "ids", "linked"):
+            assert np.array_equal(getattr(got, name), getattr(want, name))
