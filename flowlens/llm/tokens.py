@@ -29,8 +29,8 @@ import regex
 
 from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
 
-#: cuts remembered per worker process (bounds on memory, not on results)
-MEMO, COUNTED = 1_200_000, 500_000
+#: cuts remembered per worker process (bounds on memory, not on results; a step may add its own)
+MEMO, COUNTED = 600_000, 500_000
 #: a longer cut is not remembered
 MEMO_CHARS = 64
 #: bytes of a part, and so at most tokens, whose counts fit 16 bits with one more for the space
@@ -75,9 +75,16 @@ class Encoder:
         spaced = r"^\n?\Z|^[^\S\n]|^\n\s|\s\Z"
         self.spaced = re.compile(spaced).search
         self.odd = re.compile("|".join([spaced, *added])).search
-        feed = self.lib.encode("\n", add_special_tokens=False).ids
-        self.line_feed = feed[0] if len(feed) == 1 else -1
-        self.memo: dict[str, bytes | None] = {}
+        #: bytes of each id, where ids stand for bytes and leave none out
+        self.bytes_of = None
+        model = spec["model"]
+        if model.get("type") == "BPE" and not any(
+                model.get(x) for x in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+            self.bytes_of = np.zeros(self.vocab_size + 1, dtype=np.int64)
+            for token, i in self.lib.get_vocab(with_added_tokens=False).items():
+                self.bytes_of[i] = len(token)
+        self.mixed = re.compile("|".join([r"\s\s", *added])).search
+        self.forget()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -85,7 +92,11 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.memo = {}
+        #: place of each remembered cut; the ids of place i are ``pool[begin[i]:begin[i + 1]]``. At
+        #: place 0 there are none: such a cut has its text encoded whole
+        self.memo: dict[str, int] = {}
+        self.pool, self.begin = np.empty(1 << 10, dtype="<u4"), np.zeros(1 << 10, dtype=np.int64)
+        self.asked, self.places = np.zeros(1 << 10, dtype=bool), 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -96,45 +107,91 @@ class Encoder:
             out.extend(self._cut(texts[i:i + 400]))
         return out
 
-    def _new(self, cuts: list[str]) -> None:
-        """Remember the ids of each cut with what it is cut off by: the line feed
+    def _store(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New places for ids that end there."""
+        old, n = self.places, self.places + len(ends)
+        top = self.begin[old]
+        self.pool = _room(self.pool, top + len(ids))
+        self.begin, self.asked = _room(self.begin, n + 1), _room(self.asked, n)
+        self.pool[top:top + len(ids)], self.begin[old + 1:n + 1], self.asked[old:n] = ids, top + ends, False
+        self.places = n
+        return np.arange(old, n)
+
+    def _alone(self, texts: list[str]) -> np.ndarray:
+        """Places of texts encoded each by itself."""
+        ids = self._library(texts)
+        return self._store(np.frombuffer(b"".join(ids), dtype="<u4"),
+                           np.cumsum([len(x) // 4 for x in ids], dtype=np.int64))
+
+    def _new(self, cuts: list[str]) -> np.ndarray:
+        """Places of the ids of each cut with what it is cut off by: the line feed
         it starts with, or else a space. None where white space at an end makes
         the pieces depend on the neighbours: such a text is encoded whole."""
-        memo, odd = self.memo, self.odd
-        alone = [p for p in cuts if odd(p)]
-        if alone:
-            rest = set(alone)
-            cuts = [p for p in cuts if p not in rest]
-            memo.update((p, None) for p in alone if not self.special(p))
-            alone = [p for p in alone if self.special(p)]
-            for p, ids in zip(alone, self._library([p if p[0] == "\n" else " " + p for p in alone])):
-                memo[p] = ids if not self.spaced(p) else None
-        # several cuts in one call: the line feed between them is an id of its own
-        lines = [p for p in cuts if p[0] == "\n"]
-        for some, glue, skip in ((lines, "", 0), ([p for p in cuts if p[0] != "\n"], "\n ", 4)):
-            for i in range(0, len(some), 64):
-                part = some[i:i + 64]
-                ids = np.frombuffer(self._library([glue + glue.join(part)])[0], dtype="<u4")
-                at = np.flatnonzero(ids == self.line_feed) * 4
-                if len(at) != len(part):
-                    memo.update(zip(part, self._library([p if not skip else " " + p for p in part])))
-                    continue
-                raw, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
-                memo.update(zip(part, [raw[a:b] for a, b in zip((at + skip).tolist(), ends)]))
-
-    def _known(self, cuts: list[str]) -> list[bytes | None]:
-        """Ids of distinct cuts, remembered or new."""
-        found = list(map(self.memo.get, cuts, repeat(0)))
-        new = [i for i, ids in enumerate(found) if ids == 0]
-        if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo = {}
-            self._new([cuts[i] for i in new])
-            memo = self.memo
-            for i in new:
-                found[i] = memo[cuts[i]] if len(cuts[i]) <= MEMO_CHARS else memo.pop(cuts[i])
+        # a cut holds no space, and a line feed only where it starts
+        joined = [(" " + " ".join(cuts[i:i + 256])).replace(" \n", "\n") for i in range(0, len(cuts), 256)]
+        text = "".join(joined)
+        if self.mixed(text + " "):
+            plain, own, found = [], [], np.zeros(len(cuts), dtype=np.int64)
+            for i, p in enumerate(cuts):
+                if not self.odd(p):
+                    plain.append(i)
+                elif self.special(p) and not self.spaced(p):
+                    own.append(i)
+            if len(plain) < len(cuts):
+                if plain:
+                    found[plain] = self._new([cuts[i] for i in plain])
+                if own:
+                    found[own] = self._alone([p if p[0] == "\n" else " " + p for p in map(cuts.__getitem__, own)])
+                return found
+        if self.bytes_of is not None:
+            # many cuts in one call: the bytes of the ids tell where each cut ends
+            raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
+            ids = np.frombuffer(b"".join(self._library(joined)), dtype="<u4")
+            ends = np.append(np.flatnonzero((raw == 0x20) | (raw == 0x0A))[1:], len(raw))
+            upto = self.bytes_of[ids].cumsum()
+            at = np.searchsorted(upto, ends)
+            if len(ends) == len(cuts) and at[-1] == len(ids) - 1 and (upto[at] == ends).all():
+                return self._store(ids, at + 1)
+        return self._alone([p if p[0] == "\n" else " " + p for p in cuts])
+
+    def _known(self, cuts: list[str]) -> np.ndarray:
+        """Places of distinct cuts, remembered or new; long ones are at the end."""
+        if len(self.memo) >= MEMO:
+            self._make_room()
+        found = np.fromiter(map(self.memo.get, cuts, repeat(-1)), np.int64, len(cuts))
+        self.asked[found[found >= 0]] = True
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            some = [cuts[i] for i in new.tolist()]
+            long = np.fromiter(map(len, some), np.int64, len(some)) > MEMO_CHARS
+            if long.any():
+                new, some = np.append(new[~long], new[long]), [*compress(some, ~long), *compress(some, long)]
+            short = len(some) - int(long.sum())
+            if short:
+                found[new[:short]] = at = self._new(some[:short])
+                self.memo.update(zip(some, at.tolist()))
+            self.kept = self.places
+            if long.any():
+                found[new[short:]] = self._new(some[short:])
+        else:
+            self.kept = self.places
         return found
 
+    def _make_room(self) -> None:
+        """Forget the cuts that were not asked for again since the last time, and the
+        latest ones if the others fill more than half."""
+        asked = self.asked.copy()
+        asked[0] = False
+        kept = [k for k, i in self.memo.items() if asked[i]][:MEMO // 2]
+        at = np.fromiter(map(self.memo.__getitem__, kept), np.int64, len(kept))
+        pool, begin = self.pool, self.begin
+        self.forget()
+        if kept:
+            size = begin[at + 1] - begin[at]
+            ends = size.cumsum()
+            places = self._store(pool[np.repeat(begin[at] - (ends - size), size) + np.arange(ends[-1])], ends)
+            self.memo = dict(zip(kept, places.tolist()))
+
     def _cut(self, texts: list[str]) -> list[bytes]:
         parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
         at = parts.offsets.to_numpy().astype(np.int64)  # of each text's first part; none is without a part
@@ -148,17 +205,16 @@ class Encoder:
         used = np.zeros(n + len(first), dtype=bool)
         used[code] = True
         cuts = coded.dictionary.filter(pa.array(used[:n])).to_numpy(zero_copy_only=False).tolist()
-        ids = self._known(cuts) + self._library(list(first))
-        size = np.zeros(len(used) + 1, dtype=np.int64)
-        size[1:][used] = [0 if x is None else len(x) // 4 for x in ids]
-        pool, start, size = np.frombuffer(b"".join(filter(None, ids)), dtype="<u4"), size.cumsum(), size[1:]
-        ends = size[code].cumsum()
-        out = pool[np.repeat(start[code] - (ends - size[code]), size[code]) + np.arange(ends[-1])]
+        place = np.zeros(len(used), dtype=np.int64)
+        place[used] = np.append(self._known(cuts), self._alone(list(first)))
+        begin, size = self.begin[place], self.begin[place + 1] - self.begin[place]
+        size = size[code]
+        ends = size.cumsum()
+        out = self.pool[np.repeat(begin[code] - (ends - size), size) + np.arange(ends[-1])]
+        self.places = self.kept  # heads and long cuts are not remembered
         stop = ends[at[1:] - 1].tolist()
         made = [out[a:b].tobytes() for a, b in zip([0, *stop], stop)]
-        unknown = np.zeros(len(used), dtype=bool)
-        unknown[used] = [x is None for x in ids]
-        odd = np.logical_or.reduceat(unknown[code], head_at) if len(heads) else unknown[:0]
+        odd = np.logical_or.reduceat((place == 0)[code], head_at) if len(heads) else code[:0]
         whole = [i for i, (bad, head, k) in enumerate(zip(odd.tolist(), heads, np.diff(at).tolist()))
                  if bad or k > 1 and head[-1:].isspace()]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
@@ -166,6 +222,15 @@ class Encoder:
         return made
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for ``n``."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, len(a) * 5 // 4), dtype=a.dtype)
+    out[:len(a)] = a
+    return out
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process; a task asks for it once."""
     for give_way in RELEASE_FOR_TOKENS:

@@ -82,3 +82,37 @@ def test_lines_share_what_their_words_cost():
         for b in words:
             assert bpe.counts(f"x {a}\n{b} y")[-1] == count(f"x {a}\n{b} y")
     assert len(bpe.pieces) <= 2 * len(words) + 1
+
+
+def test_cuts_encoded_together_and_forgotten(monkeypatch):
+    from flowlens.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO", 60)
+    monkeypatch.setattr(tokens, "MEMO_CHARS", 9)
+    enc = tokens.Encoder(tokens.vocabulary_path(C.VOCABULARY))
+    rng, calls, library = random.Random(4), [], enc._library
+    enc._library = lambda texts: calls.append(len(texts)) or library(texts)
+    some = ["a", "B", "é", "日本", "'re", "don't", "x.,!", "12", "<|endoftext|>", "<|endo", "\r", "\x1c", "\u00a0", "\x00"]
+    cuts = ["".join(rng.choice(some) for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    for _ in range(60):
+        texts = ["".join(rng.choice(cuts[:40] if rng.random() < 0.7 else cuts) + rng.choice([" "] * 9 + ["\n", "  ", " \n", "\t"])
+                         for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 8))]
+        assert enc.encode(texts) == library(texts)
+        assert len(enc.memo) < 60 + 300 and enc.places <= len(enc.begin)
+    # plain new words: one call for all of them, however many, one for the heads and one for whole texts
+    calls.clear()
+    enc.encode([" ".join(f"word{i},{j}" for j in range(1000)) for i in range(9)])
+    assert len(calls) <= 4 and sum(calls) < 60
+
+
+def test_cuts_asked_for_again_stay(monkeypatch):
+    from flowlens.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO", 100)
+    enc = tokens.Encoder(tokens.vocabulary_path(C.VOCABULARY))
+    often = [f"often{i}" for i in range(30)]
+    for k in range(40):
+        texts = [" ".join(["x", *often, *(f"once{k}n{i}" for i in range(20))])]
+        assert enc.encode(texts) == enc._library(texts)
+        assert k == 0 or all(x in enc.memo for x in often)
+        assert len(enc.memo) < 100 + 50
