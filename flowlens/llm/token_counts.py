@@ -32,7 +32,7 @@ def _each(batches, vocabulary: str, answer):
         texts = batch.column(names.index("_text"))
         for i in range(0, len(texts), 200):  # bounds what is held at once
             part = texts.slice(i, 200)
-            counts = [bpe.counts(t) for t in part.to_pylist()]
+            counts = bpe.many(part.to_pylist())
             keep = [batch.column(k).slice(i, 200) for k, n in enumerate(names) if n != "_text"]
             yield pa.RecordBatch.from_arrays(
                 [*keep, *answer(part, counts)], names=[*[n for n in names if n != "_text"], *answer.names])

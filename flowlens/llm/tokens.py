@@ -33,6 +33,8 @@ from flowlens.llm.text import RELEASE, RELEASE_FOR_TOKENS
 MEMO, COUNTED = 600_000, 500_000
 #: a longer cut is not remembered
 MEMO_CHARS = 64
+#: characters that prefix counts are put together for at once
+STEP_CHARS = 1 << 20
 #: bytes of a part, and so at most tokens, whose counts fit 16 bits with one more for the space
 SHORT_BYTES = 65_534
 _MIXED_SPACE = re.compile(r"\s | \s")
@@ -53,7 +55,92 @@ def vocabulary_path(path: str) -> str:
     return public_tokenizers.path(path)
 
 
-class Encoder:
+class _Cuts:
+    """What was found for cuts of texts, remembered in one array. A class of it says
+    what is found: ``_new`` for cuts, ``_alone`` for heads of texts, ``kind`` of numbers."""
+
+    kind = "<u4"
+
+    def forget(self) -> None:
+        #: place of each remembered cut; what was found for place i is ``pool[begin[i]:begin[i + 1]]``.
+        #: At place 0 there is nothing: a text with such a cut is taken whole
+        self.memo: dict[str, int] = {}
+        self.pool, self.begin = np.empty(1 << 10, dtype=self.kind), np.zeros(1 << 10, dtype=np.int64)
+        self.asked, self.places = np.zeros(1 << 10, dtype=bool), 1
+
+    def _store(self, found: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New places for what was found, each ending there."""
+        old, n = self.places, self.places + len(ends)
+        top = self.begin[old]
+        self.pool = _room(self.pool, top + len(found))
+        self.begin, self.asked = _room(self.begin, n + 1), _room(self.asked, n)
+        self.pool[top:top + len(found)], self.begin[old + 1:n + 1], self.asked[old:n] = found, top + ends, False
+        self.places = n
+        return np.arange(old, n)
+
+    def _known(self, cuts: list[str]) -> np.ndarray:
+        """Places of distinct cuts, remembered or new; long ones are at the end."""
+        if len(self.memo) >= MEMO:
+            self._make_room()
+        found = np.fromiter(map(self.memo.get, cuts, repeat(-1)), np.int64, len(cuts))
+        self.asked[found[found >= 0]] = True
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            some = [cuts[i] for i in new.tolist()]
+            long = np.fromiter(map(len, some), np.int64, len(some)) > MEMO_CHARS
+            if long.any():
+                new, some = np.append(new[~long], new[long]), [*compress(some, ~long), *compress(some, long)]
+            short = len(some) - int(long.sum())
+            if short:
+                found[new[:short]] = at = self._new(some[:short])
+                self.memo.update(zip(some, at.tolist()))
+            self.kept = self.places
+            if long.any():
+                found[new[short:]] = self._new(some[short:])
+        else:
+            self.kept = self.places
+        return found
+
+    def _make_room(self) -> None:
+        """Forget the cuts that were not asked for again since the last time, and the
+        latest ones if the others fill more than half."""
+        asked = self.asked.copy()
+        asked[0] = False
+        kept = [k for k, i in self.memo.items() if asked[i]][:MEMO // 2]
+        at = np.fromiter(map(self.memo.__getitem__, kept), np.int64, len(kept))
+        pool, begin = self.pool, self.begin
+        self.forget()
+        if kept:
+            size = begin[at + 1] - begin[at]
+            ends = size.cumsum()
+            places = self._store(pool[np.repeat(begin[at] - (ends - size), size) + np.arange(ends[-1])], ends)
+            self.memo = dict(zip(kept, places.tolist()))
+
+    def _laid(self, parts: pa.Array):
+        """Of lists of parts, a text each: first part of each text (and the end), what was found for
+        all parts one after the other, end of each part in it, parts without a place, heads."""
+        at = parts.offsets.to_numpy().astype(np.int64)  # of each text's first part; none is without a part
+        coded = parts.flatten().dictionary_encode()
+        code, head_at = coded.indices.to_numpy().astype(np.int64), at[:-1]
+        heads = coded.dictionary.take(pa.array(code[head_at])).to_pylist()
+        # a head follows no space: it gets a place of its own behind the distinct cuts
+        n, first = len(coded.dictionary), dict.fromkeys(heads)
+        first = dict(zip(first, range(n, n + len(first))))
+        code[head_at] = np.fromiter(map(first.__getitem__, heads), np.int64, len(heads))
+        used = np.zeros(n + len(first), dtype=bool)
+        used[code] = True
+        cuts = coded.dictionary.filter(pa.array(used[:n])).to_numpy(zero_copy_only=False).tolist()
+        place = np.zeros(len(used), dtype=np.int64)
+        place[used] = np.append(self._known(cuts), self._alone(list(first)))
+        begin, size = self.begin[place], self.begin[place + 1] - self.begin[place]
+        size = size[code]
+        ends = size.cumsum()
+        out = self.pool[np.repeat(begin[code] - (ends - size), size) + np.arange(ends[-1])]
+        self.places = self.kept  # heads and long cuts are not remembered
+        return at, out, ends, (place == 0)[code], heads
+
+
+class Encoder(_Cuts):
     def __init__(self, path: str):
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are written as the machine's 32-bit integers; it must be little-endian")
@@ -91,13 +178,6 @@ class Encoder:
             return []
         return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def forget(self) -> None:
-        #: place of each remembered cut; the ids of place i are ``pool[begin[i]:begin[i + 1]]``. At
-        #: place 0 there are none: such a cut has its text encoded whole
-        self.memo: dict[str, int] = {}
-        self.pool, self.begin = np.empty(1 << 10, dtype="<u4"), np.zeros(1 << 10, dtype=np.int64)
-        self.asked, self.places = np.zeros(1 << 10, dtype=bool), 1
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
@@ -107,16 +187,6 @@ class Encoder:
             out.extend(self._cut(texts[i:i + 400]))
         return out
 
-    def _store(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """New places for ids that end there."""
-        old, n = self.places, self.places + len(ends)
-        top = self.begin[old]
-        self.pool = _room(self.pool, top + len(ids))
-        self.begin, self.asked = _room(self.begin, n + 1), _room(self.asked, n)
-        self.pool[top:top + len(ids)], self.begin[old + 1:n + 1], self.asked[old:n] = ids, top + ends, False
-        self.places = n
-        return np.arange(old, n)
-
     def _alone(self, texts: list[str]) -> np.ndarray:
         """Places of texts encoded each by itself."""
         ids = self._library(texts)
@@ -154,67 +224,12 @@ class Encoder:
                 return self._store(ids, at + 1)
         return self._alone([p if p[0] == "\n" else " " + p for p in cuts])
 
-    def _known(self, cuts: list[str]) -> np.ndarray:
-        """Places of distinct cuts, remembered or new; long ones are at the end."""
-        if len(self.memo) >= MEMO:
-            self._make_room()
-        found = np.fromiter(map(self.memo.get, cuts, repeat(-1)), np.int64, len(cuts))
-        self.asked[found[found >= 0]] = True
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            some = [cuts[i] for i in new.tolist()]
-            long = np.fromiter(map(len, some), np.int64, len(some)) > MEMO_CHARS
-            if long.any():
-                new, some = np.append(new[~long], new[long]), [*compress(some, ~long), *compress(some, long)]
-            short = len(some) - int(long.sum())
-            if short:
-                found[new[:short]] = at = self._new(some[:short])
-                self.memo.update(zip(some, at.tolist()))
-            self.kept = self.places
-            if long.any():
-                found[new[short:]] = self._new(some[short:])
-        else:
-            self.kept = self.places
-        return found
-
-    def _make_room(self) -> None:
-        """Forget the cuts that were not asked for again since the last time, and the
-        latest ones if the others fill more than half."""
-        asked = self.asked.copy()
-        asked[0] = False
-        kept = [k for k, i in self.memo.items() if asked[i]][:MEMO // 2]
-        at = np.fromiter(map(self.memo.__getitem__, kept), np.int64, len(kept))
-        pool, begin = self.pool, self.begin
-        self.forget()
-        if kept:
-            size = begin[at + 1] - begin[at]
-            ends = size.cumsum()
-            places = self._store(pool[np.repeat(begin[at] - (ends - size), size) + np.arange(ends[-1])], ends)
-            self.memo = dict(zip(kept, places.tolist()))
-
     def _cut(self, texts: list[str]) -> list[bytes]:
         parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
-        at = parts.offsets.to_numpy().astype(np.int64)  # of each text's first part; none is without a part
-        coded = parts.flatten().dictionary_encode()
-        code, head_at = coded.indices.to_numpy().astype(np.int64), at[:-1]
-        heads = coded.dictionary.take(pa.array(code[head_at])).to_pylist()
-        # a head follows no space: it gets a place of its own behind the distinct cuts
-        n, first = len(coded.dictionary), dict.fromkeys(heads)
-        first = dict(zip(first, range(n, n + len(first))))
-        code[head_at] = np.fromiter(map(first.__getitem__, heads), np.int64, len(heads))
-        used = np.zeros(n + len(first), dtype=bool)
-        used[code] = True
-        cuts = coded.dictionary.filter(pa.array(used[:n])).to_numpy(zero_copy_only=False).tolist()
-        place = np.zeros(len(used), dtype=np.int64)
-        place[used] = np.append(self._known(cuts), self._alone(list(first)))
-        begin, size = self.begin[place], self.begin[place + 1] - self.begin[place]
-        size = size[code]
-        ends = size.cumsum()
-        out = self.pool[np.repeat(begin[code] - (ends - size), size) + np.arange(ends[-1])]
-        self.places = self.kept  # heads and long cuts are not remembered
+        at, out, ends, lost, heads = self._laid(parts)
         stop = ends[at[1:] - 1].tolist()
         made = [out[a:b].tobytes() for a, b in zip([0, *stop], stop)]
-        odd = np.logical_or.reduceat((place == 0)[code], head_at) if len(heads) else code[:0]
+        odd = np.logical_or.reduceat(lost, at[:-1]) if len(heads) else lost[:0]
         whole = [i for i, (bad, head, k) in enumerate(zip(odd.tolist(), heads, np.diff(at).tolist()))
                  if bad or k > 1 and head[-1:].isspace()]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
@@ -259,9 +274,48 @@ def _long(part: str) -> bool:
     return 4 * len(part) > SHORT_BYTES and len(part.encode("utf-8")) > SHORT_BYTES
 
 
-class PrefixBPE:
+class _Table:
+    """Small numbers by keys of 0 or more, many looked up at once; -1 for an unknown key."""
+
+    def __init__(self, bits: int):
+        self.shift, self.last, self.n = np.uint64(64 - bits), (1 << bits) - 1, 0
+        self.keys, self.values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int32)
+
+    def _at(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self._at(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], -1)
+        left = np.flatnonzero((there != keys) & (there >= 0))
+        at = at[left]
+        while len(left):
+            at = at + 1 & self.last
+            there, asked = self.keys[at], keys[left]
+            hit = there == asked
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (there >= 0)
+            left, at = left[on], at[on]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that are not there yet; not to fill more than half."""
+        self.n += len(keys)
+        at = self._at(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            mine = self.keys[at] == keys  # of those at one free slot the last has it
+            self.values[at[mine]] = values[mine]
+            keys, values, at = keys[~mine], values[~mine], at[~mine] + 1 & self.last
+
+
+class PrefixBPE(_Cuts):
     """Token counts of all prefixes of a text under a byte-level BPE vocabulary."""
 
+    kind = "<u2"
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -284,17 +338,47 @@ class PrefixBPE:
             self.rank[m], self.left[m], self.right[m] = r, x, y
             self.merge[x << 20 | y] = r
         self.longest = max(map(len, self.ids))
-        self.fits: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
+        self._tables()
+        self.forget()
         special = [re.escape(t["content"]) for t in added]
         self.special = re.compile("|".join(special)) if special else None
         self.lines = not any("\n" in t["content"] for t in added)
         self.split = regex.compile(PATTERN)
+        self.odd = re.compile("|".join([r"\s\s", r"\s\Z", *special])).search
 
     def forget(self) -> None:
-        self.pieces, self.known, self.fits = {}, {}, {}
+        super().forget()
+        self.known: dict[bytes, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.fit = _Table(1)
+
+    @property
+    def pieces(self) -> dict[str, int]:
+        """The remembered cuts."""
+        return self.memo
+
+    def _tables(self) -> None:
+        """What ``_count`` looks up: tokens by their bytes from the last to the first (a
+        step leads from a node and a byte to a node), ranks and sound tokens."""
+        step: dict[int, int] = {}
+        ends: list[int] = [-1]
+        for data, t in self.ids.items():
+            node = 0
+            for byte in reversed(data):
+                to = step.get(node << 8 | byte)
+                if to is None:
+                    to = step[node << 8 | byte] = len(ends)
+                    ends.append(-1)
+                node = to
+            ends[node] = t
+        self.token = np.array(ends, dtype=np.int64)
+        self.steps, self.joins = (_Table(max(map(len, (step, self.merge))).bit_length() + 2) for _ in range(2))
+        for table, known in ((self.steps, step), (self.joins, self.merge)):
+            table.put(np.fromiter(known, np.int64, len(known)), np.fromiter(known.values(), np.int32, len(known)))
+        self.ranks, self.lefts, self.rights = (np.array(x, dtype=np.int64) for x in (self.rank, self.left, self.right))
+        self.whole = np.zeros(len(self.rank), dtype=bool)
+        self.whole[list(self.ids.values())] = [self._sound(t) for t in self.ids.values()]
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
         """No merge of rank under ``limit`` joins a token ending with ``a`` and
@@ -312,6 +396,34 @@ class PrefixBPE:
             else:
                 return True
 
+    def _fitting(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Which tokens are sound and lie apart from the last token before them."""
+        keys = last << 20 | token
+        out = self.fit.get(keys)
+        unknown = out < 0
+        if unknown.any():
+            new = np.unique(keys[unknown])
+            a, b = new >> 20, new & (1 << 20) - 1
+            ok, limit = self.whole[b], np.full(len(new), 1 << 60)
+            open_ = np.flatnonzero(ok)
+            a, b, limit = a[open_], b[open_], limit[open_]
+            while len(open_):  # as in _apart, all at once
+                r = self.joins.get(a << 20 | b)
+                bad = (r >= 0) & (r < limit)
+                ok[open_[bad]] = False
+                ra, rb = self.ranks[a], self.ranks[b]
+                first = ra > rb
+                on = ~bad & (first | (rb >= 0))
+                limit = np.where(first, ra, rb + 1)[on]
+                a, b = np.where(first, self.rights[a], a)[on], np.where(first, b, self.lefts[b])[on]
+                open_ = open_[on]
+            if 2 * (self.fit.n + len(new)) > self.fit.last:
+                self.fit = _Table(20)
+            if 2 * len(new) <= self.fit.last:
+                self.fit.put(new, ok.astype(np.int32))
+            out[unknown] = ok[np.searchsorted(new, keys[unknown])]
+        return out > 0
+
     def _sound(self, t: int) -> bool:
         """The bytes of token ``t`` alone encode to ``t``."""
         known = self.sound.get(t)
@@ -423,42 +535,131 @@ class PrefixBPE:
         out.extend([base + x for x in self._plain(s[at:])[1:]])
         return out
 
+    def _count(self, raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Token count of every byte prefix of many pieces, the table of ``_extend``
+        filled for all of them at once, byte after byte."""
+        count, last = np.zeros(len(raw), dtype=np.int64), np.zeros(len(raw), dtype=np.int64)
+        order = np.argsort(-size, kind="stable")
+        begin, size = begin[order], -size[order]
+        for i in range(int(-size[0]) if len(size) else 0):
+            at = begin[:np.searchsorted(size, -i)] + i  # of the pieces with a byte more
+            node = np.zeros(len(at), dtype=np.int64)
+            for back in range(i + 1):
+                node = self.steps.get(node << 8 | raw[at - back])
+                on = node >= 0
+                if not on.all():
+                    at, node = at[on], node[on]
+                token = self.token[node]
+                some = np.flatnonzero(token >= 0)
+                to, token = at[some], token[some]
+                ok = self._fitting(last[to - back - 1], token) if back < i else self.whole[token]
+                some, to, token = some[ok], to[ok], token[ok]
+                last[to] = token
+                count[to] = count[to - back - 1] + 1 if back < i else 1
+                on = np.ones(len(at), dtype=bool)
+                on[some] = False
+                at, node = at[on], node[on]
+                if not len(at):
+                    break
+        if not count.all():
+            raise ValueError("the vocabulary lacks a byte")
+        return count
+
+    def _alone(self, texts: list[str]) -> np.ndarray:
+        """Places of texts counted each by itself."""
+        found = [self.general(t)[1:] for t in texts]
+        return self._store(np.array([x for got in found for x in got], dtype="<u2"),
+                           np.cumsum([len(got) for got in found], dtype=np.int64))
+
+    def _new(self, cuts: list[str]) -> np.ndarray:
+        """Places of the counts of each cut with what it is cut off by: the line feed
+        it starts with, or else a space."""
+        own = [p if p[:1] == "\n" else " " + p for p in cuts]
+        text = "".join(own)
+        if self.odd(text):  # white space at an end, or runs of it, or special strings
+            odd = np.fromiter((self.odd(p) is not None for p in own), bool, len(own))
+            if odd.any():
+                found = np.zeros(len(cuts), dtype=np.int64)
+                found[odd] = self._alone([*compress(own, odd)])
+                if not odd.all():
+                    found[~odd] = self._new([*compress(cuts, ~odd)])
+                return found
+        # pieces never span cuts; each distinct one is counted once
+        coded = pa.array(self.split.findall(text), pa.large_string()).dictionary_encode()
+        code, pieces = coded.indices.to_numpy(), coded.dictionary
+        chars = pc.utf8_length(pieces).to_numpy()
+        upto = chars[code].cumsum()
+        ends = np.fromiter(map(len, own), np.int64, len(own)).cumsum()
+        stop = np.searchsorted(upto, ends)
+        if stop[-1] != len(code) - 1 or (upto[stop] != ends).any():
+            return self._alone(own)
+        _, offsets, data = pieces.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64)[:len(pieces) + 1]
+        raw, size = np.frombuffer(data, dtype=np.uint8), np.diff(offsets)
+        short = size <= MEMO_CHARS
+        count = np.zeros(offsets[-1], dtype=np.int64)
+        used = np.repeat(short, size)
+        count[used] = self._count(raw[:offsets[-1]][used], (size[short].cumsum() - size[short]), size[short])
+        for k in np.flatnonzero(~short).tolist():
+            count[offsets[k]:offsets[k + 1]] = self.piece(raw[offsets[k]:offsets[k + 1]].tobytes())[1:]
+        # a prefix of characters ends where the next byte starts one
+        count = count[np.append((raw[1:offsets[-1]] & 0xC0) != 0x80, True)]
+        after = chars.cumsum()
+        for k, p in enumerate(pieces.filter(pc.and_(pc.equal(pc.binary_length(pieces), 3), pc.starts_with(
+                pieces, "'"))).to_pylist()):
+            if p in ("'re", "'ve", "'ll"):  # cut inside, the apostrophe and the letter are two pieces
+                count[after[pc.index(pieces, p).as_py()] - 2] = 2
+        total = count[after - 1][code]
+        base = total.cumsum() - total
+        base -= np.repeat(base[np.append(0, stop[:-1] + 1)], np.diff(stop, prepend=-1))
+        n = chars[code]
+        at = np.repeat((after - chars)[code] - (upto - n), n) + np.arange(upto[-1])
+        return self._store((count[at] + np.repeat(base, n)).astype("<u2"), ends)
+
     def counts(self, text: str) -> np.ndarray:
         """int32 counts of the prefixes of 0, 1, ... len(text) characters."""
-        if not _SPACES.search(text) and self.lines:
-            # a line feed alone is a piece of its own: cut before it, too
-            parts = text.replace("\n", " \n").split(" ")
-        elif _MIXED_SPACE.search(text):
-            return np.asarray(self.general(text), dtype="<i4")
-        else:
-            parts = text.split(" ")
-        memo = self.pieces
-        if _long(parts[0]):
-            return np.asarray(self.general(text), dtype="<i4")
-        got = list(map(memo.get, parts))
-        got[0] = np.asarray(self.general(parts[0])[1:], dtype="<u2").tobytes()
-        for i in [i for i, c in enumerate(got) if c is None]:
-            p = parts[i]
-            c = memo.get(p)
-            if c is None:
-                if _long(p):
-                    return np.asarray(self.general(text), dtype="<i4")
-                c = array("H", self.general(p if p[:1] == "\n" else " " + p)[1:]).tobytes()
-                if len(p) <= MEMO_CHARS:
-                    if len(memo) >= COUNTED:
-                        memo.clear()
-                    memo[p] = c
-            got[i] = c
-        inside = np.frombuffer(b"".join(got), dtype="<u2")
-        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 2
-        ends = np.cumsum(sizes)
-        totals = np.where(sizes > 0, inside[np.maximum(ends - 1, 0)] if len(inside) else 0, 0).astype(np.int64)
-        base = np.cumsum(totals) - totals
-        out = np.empty(len(inside) + 1, dtype="<i4")
-        out[0] = 0
-        out[1:] = inside + np.repeat(base, sizes)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """``counts`` of each text."""
+        out: list = [None] * len(texts)
+        step, parts, held = [], [], 0
+        for i, text in enumerate(texts):
+            if not _SPACES.search(text) and self.lines:
+                # a line feed alone is a piece of its own: cut before it, too
+                cut = text.replace("\n", " \n")
+            elif _MIXED_SPACE.search(text):
+                out[i] = np.asarray(self.general(text), dtype="<i4")
+                continue
+            else:
+                cut = text
+            if 4 * len(cut) > SHORT_BYTES and any(map(_long, cut.split(" "))):
+                out[i] = np.asarray(self.general(text), dtype="<i4")
+                continue
+            step.append(i)
+            parts.append(cut)
+            held += len(cut)
+            if held > STEP_CHARS:
+                self._step(step, parts, out)
+                step, parts, held = [], [], 0
+        if step:
+            self._step(step, parts, out)
         return out
 
+    def _step(self, step: list[int], parts: list[str], out: list) -> None:
+        at, inside, ends, _, _ = self._laid(pc.split_pattern(pa.array(parts, pa.large_string()), " "))
+        sizes = np.diff(ends, prepend=0)
+        total = np.zeros(len(ends), dtype=np.int64)
+        some = sizes > 0
+        total[some] = inside[ends[some] - 1]
+        base = total.cumsum() - total
+        base -= np.repeat(base[at[:-1]], np.diff(at))
+        counts = inside + np.repeat(base.astype("<i4"), sizes)
+        stop = ends[at[1:] - 1].tolist()
+        for i, a, b in zip(step, [0, *stop], stop):
+            out[i] = np.zeros(b - a + 1, dtype="<i4")
+            out[i][1:] = counts[a:b]
+
 
 @lru_cache(maxsize=4)
 def prefix_bpe(path: str) -> PrefixBPE:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from flowlens.llm import token_counts as C
 from flowlens.llm.tokens import encoder, prefix_bpe
@@ -116,3 +117,37 @@ def test_cuts_asked_for_again_stay(monkeypatch):
         assert enc.encode(texts) == enc._library(texts)
         assert k == 0 or all(x in enc.memo for x in often)
         assert len(enc.memo) < 100 + 50
+
+
+def test_new_words_are_counted_together(monkeypatch):
+    """New words take no step of their own: a batch with thousands of them fills one table."""
+    from flowlens.llm import tokens
+
+    bpe = prefix_bpe(C.VOCABULARY)
+    bpe.forget()
+    alone, piece = [], tokens.PrefixBPE.piece
+    monkeypatch.setattr(tokens.PrefixBPE, "piece", lambda self, data: alone.append(data) or piece(self, data))
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeéß日" + "."[:k % 2]) for _ in range(rng.randint(2, 12))) for k in range(3000)]
+    batch = pa.record_batch({"_text": ["x " + " ".join(words[i:i + 100]) + "\nend" for i in range(0, 3000, 100)]})
+    got = next(C._each([batch], C.VOCABULARY, C._Store())).to_pydict()
+    for t, n, stored in zip(batch["_text"].to_pylist(), got["n_tokens"], got["prefix_tokens"]):
+        assert n == count(t) and np.frombuffer(stored, dtype="<i4")[:200].tolist() == [count(t[:i]) for i in range(200)]
+    assert len(alone) < 10
+
+
+def test_batches_equal_texts_alone(monkeypatch):
+    """Whatever is remembered, forgotten, odd or long: counts of a batch are those of each text."""
+    from flowlens.llm import tokens
+
+    for name, value in (("MEMO", 50), ("MEMO_CHARS", 9), ("COUNTED", 300), ("STEP_CHARS", 90)):
+        monkeypatch.setattr(tokens, name, value)
+    bpe = tokens.PrefixBPE(tokens.vocabulary_path(C.VOCABULARY))
+    rng = random.Random(10)
+    some = PARTS + ["don't", "'LL", "x'll", "’re", "l1é", "٣", "ǅ", "e\u0301", "\u200b", "\x85", "\u2028", "longer" * 4, "日本" * 30,
+                    "###", "\n", "\n\n", " ", " ", " "]
+    for k in range(40):
+        texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(0, 12))]
+        for t, got in zip(texts, bpe.many(texts), strict=True):
+            assert got.dtype == np.dtype("<i4")
+            assert got.tolist() == [count(t[:i]) for i in range(len(t) + 1)], t
