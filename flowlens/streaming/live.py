@@ -11,6 +11,9 @@ version per micro-batch. A micro-batch reads the version before its own and
 overwrites its own outputs, so a batch that is run again after a failure gives the
 same files, and a restarted query goes on where the checkpoint says. The count is
 the range-partitioned look-back, so a hot key is cut within a micro-batch.
+
+Disk: the log holds some 3 KB of text per event, most of it the same sentences, so it is
+gzip files of one JSON object a line; the tables are zstd parquet.
 """
 
 from __future__ import annotations
@@ -73,7 +76,7 @@ def scored_requests(accepted: DataFrame, model: ae.Model) -> DataFrame:
 
 class LiveJob:
     """``foreachBatch`` handler. Under ``path``: ``requests`` and ``scored`` (what the lines held, and
-    the accepted ones scored), ``records`` (parquet), ``log`` (one JSON object per event),
+    the accepted ones scored), ``records`` (parquet), ``log`` (one JSON object per event, gzip),
     ``rejected`` (``flow_id, error``) and ``state``, each by ``batch_id``."""
 
     def __init__(self, spark: SparkSession, model: ae.Model, path: str, bands: dict | None = None,
@@ -93,7 +96,7 @@ class LiveJob:
 
     def _written(self, df: DataFrame, name: str, batch_id: int) -> DataFrame:
         path = self._at(name, batch_id)
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression="zstd")
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __call__(self, lines: DataFrame, batch_id: int) -> None:
@@ -107,7 +110,7 @@ class LiveJob:
                                 before=self._before(batch_id), keep=keep)
         record = assemble_alert(attach_explanations(decide(rep)), self.bands)
         done = self._written(record, "records", batch_id)
-        done.write.mode("overwrite").json(self._at("log", batch_id))
+        done.write.mode("overwrite").json(self._at("log", batch_id), compression="gzip")
         newest = keep[0].agg(F.max("_lb_ts")).first()[0]
         horizon = None if newest is None else newest - self.window_s - self.lateness_s
         carried(keep[0], self.cap, horizon).write.mode("overwrite").parquet(self._at("state", batch_id))

@@ -1,4 +1,5 @@
 """The live job: micro-batches equal one batch, a repeated batch and a restart change nothing."""
+import gzip
 import json
 
 import pytest
@@ -114,3 +115,17 @@ def test_each_line_is_parsed_once(spark, tmp_path):
     job(spark.read.parquet(str(tmp_path / "lines")).select(told.asNondeterministic()("value").alias("value")), 0)
     assert 0 < seen.value <= 2 * len(LINES)
     assert job.records().count() == 26 and job.rejected().count() == 2
+
+
+def test_the_log_is_compressed_and_whole(spark, tmp_path):
+    """One JSON object per record, as gzip files: its sentences repeat, plain text is ten times as large."""
+    job = live.LiveJob(spark, MODEL, str(tmp_path / "out"))
+    job(spark.createDataFrame([(request(i),) for i in range(300)], "value string").coalesce(1), 0)
+    log = list((tmp_path / "out" / "log").glob("*/part-*"))
+    assert log and all(f.name.endswith(".json.gz") for f in log)
+    lines = [x for f in log for x in gzip.open(f, "rt").read().splitlines()]
+    assert sorted(json.loads(x)["flow_id"] for x in lines) == sorted(r.flow_id for r in job.records().collect())
+    assert len(lines) == 300
+    assert sum(f.stat().st_size for f in log) < sum(map(len, lines)) / 4
+    for name in ("requests", "records"):
+        assert all(".zstd." in f.name for f in (tmp_path / "out" / name).glob("*/part-*"))
