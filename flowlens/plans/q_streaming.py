@@ -42,10 +42,10 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(flows.schema).parquet(path)
 
 
-def _in_time_order(df, spark, name, order, chunks, write):
+def _in_time_order(df, spark, name, order, chunks, write, files=None):
     """Write ``df`` as ``chunks`` batches of files, each a stretch of ``order`` and later than the
     one before; returns the folder and the files of a batch."""
-    path, files = scratch_dir(spark, name), max(1, default_parallelism(spark) // 2)
+    path, files = scratch_dir(spark, name), files or max(1, default_parallelism(spark) // 2)
     top = df.agg(F.max(order)).first()[0] or 0
     size = top // chunks + 1
     for k in range(chunks):
@@ -106,8 +106,10 @@ def _live_job(spark, sf, chunks=4):
     """The job over the fixture lines in several micro-batches."""
     _, model = _demo(spark, sf)
     lines = fixtures.live_lines(spark, sf)
+    # a gzip file is read by one task: as many files a batch as cores
     path, files = _in_time_order(lines, spark, "live-lines", "line_no", chunks,
-                                 lambda df, p: df.select("value").write.mode("append").text(p))
+                                 lambda df, p: df.select("value").write.mode("append").text(p, compression="gzip"),
+                                 default_parallelism(spark))
     job = live.LiveJob(spark, model, scratch_dir(spark, "live"))
     stream = spark.readStream.option("maxFilesPerTrigger", str(files)).text(path)
     q = job.start(stream, scratch_dir(spark, "live-ckpt"), availableNow=True)

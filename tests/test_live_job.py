@@ -1,6 +1,7 @@
 """The live job: micro-batches equal one batch, a repeated batch and a restart change nothing."""
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +130,26 @@ def test_the_log_is_compressed_and_whole(spark, tmp_path):
     assert sum(f.stat().st_size for f in log) < sum(map(len, lines)) / 4
     for name in ("requests", "records"):
         assert all(".zstd." in f.name for f in (tmp_path / "out" / name).glob("*/part-*"))
+
+
+def test_the_live_querys_lines_are_compressed(spark, monkeypatch):
+    """The input that the registered queries make: gzip text, as many files a micro-batch as cores, every line there."""
+    from flowlens.plans import fixtures, q_streaming
+
+    sf, made, counts, write = "/root/testdata/sf0.001", [], [], q_streaming._in_time_order
+
+    class Job:
+        def __init__(self, *a):
+            pass
+
+        def start(self, stream, checkpoint, **trigger):
+            w = stream.writeStream.foreachBatch(lambda df, k: counts.append(df.count()))
+            return w.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+    monkeypatch.setattr(q_streaming, "_in_time_order", lambda *a: made.append(write(*a)) or made[0])
+    monkeypatch.setattr(q_streaming.live, "LiveJob", Job)
+    q_streaming._live_job(spark, sf)
+    path, files = made[0]
+    parts = [n for n in os.listdir(path.removeprefix("file:")) if n.startswith("part-")]
+    assert all(n.endswith(".txt.gz") for n in parts) and len(parts) == 4 * files
+    assert len(counts) == 4 and sum(counts) == fixtures.live_lines(spark, sf).count()
