@@ -143,7 +143,7 @@ def counted(rows: DataFrame, ts_col: str, seq_col: str, window_s: float, cap: in
             n_parts: int | None = None) -> DataFrame:
     """``rows`` (all anomalous, with ``repetition_key``) and, with null columns, the rows of
     ``before``, each with ``_lb_prev`` and its place in the order. Written to the shared
-    folder, so that both readers below see the same partitions."""
+    folder (``staged_path``), so that both readers below see the same partitions."""
     src = rows.withColumns({"_lb_new": F.lit(1), "_lb_ord": F.lit(None).cast("int"),
                             "_lb_ts": F.col(ts_col).cast("double")}).select("*", *key_name(F.col("repetition_key")))
     if before is not None:
@@ -159,7 +159,9 @@ def counted(rows: DataFrame, ts_col: str, seq_col: str, window_s: float, cap: in
     again = _border_counts(scanned, window_s, cap)
     heads = scanned.where("_lb_head").join(again, ["_lb_part", "_lb_pos"], "left")
     heads = heads.withColumn("_lb_prev", F.coalesce("_lb_again", "_lb_prev")).select(*schema.names)
-    return scanned.where("not _lb_edge and not _lb_head").unionByName(heads).drop("_lb_edge", "_lb_head")
+    out = scanned.where("not _lb_edge and not _lb_head").unionByName(heads).drop("_lb_edge", "_lb_head")
+    out.staged_path = path
+    return out
 
 
 def carried(found: DataFrame, cap: int, horizon: float | None = None) -> DataFrame:

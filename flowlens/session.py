@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import tempfile
@@ -134,6 +135,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/flowlens-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_folders(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that no plan reads any more, through Spark's file systems, and let Spark
+    clean up the shuffle files of the jobs before. A remote session cannot and leaves them."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:
+        return
+    for path in paths:
+        hadoop = jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there, asked through Spark's file systems."""
     try:

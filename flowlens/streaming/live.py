@@ -13,7 +13,8 @@ same files, and a restarted query goes on where the checkpoint says. The count i
 the range-partitioned look-back, so a hot key is cut within a micro-batch.
 
 Disk: the log holds some 3 KB of text per event, most of it the same sentences, so it is
-gzip files of one JSON object a line; the tables are zstd parquet.
+gzip files of one JSON object a line; the tables are zstd parquet. The scored requests and the
+counted rows of a micro-batch go once its records, which hold all their columns, are written.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from ..operators import autoencoder as ae
 from ..operators import flows as fl
 from ..operators.alerts import assemble_alert
 from ..operators.repetition import BEFORE_SCHEMA, attach_repetition, carried
-from ..session import path_exists
+from ..session import drop_folders, path_exists
 from ..sources.eve import parse_eve_lines
 
 REQUEST_FIELDS = ["flow_id", "ts_unix", "src_ip", "src_port", "dest_ip", "dest_port", "proto", "app_proto", "direction"]
@@ -75,9 +76,9 @@ def scored_requests(accepted: DataFrame, model: ae.Model) -> DataFrame:
 
 
 class LiveJob:
-    """``foreachBatch`` handler. Under ``path``: ``requests`` and ``scored`` (what the lines held, and
-    the accepted ones scored), ``records`` (parquet), ``log`` (one JSON object per event, gzip),
-    ``rejected`` (``flow_id, error``) and ``state``, each by ``batch_id``."""
+    """``foreachBatch`` handler. Under ``path``: ``requests`` (what the lines held), ``records`` (the
+    accepted ones scored and decided, parquet), ``log`` (one JSON object per event, gzip), ``rejected``
+    (``flow_id, error``) and ``state``, each by ``batch_id``; during a batch ``scored``, too."""
 
     def __init__(self, spark: SparkSession, model: ae.Model, path: str, bands: dict | None = None,
                  window_s: int = fixed.REPEAT_WINDOW_S, cap: int = fixed.REPEAT_MAX_EVENTS_PER_KEY,
@@ -110,10 +111,11 @@ class LiveJob:
                                 before=self._before(batch_id), keep=keep)
         record = assemble_alert(attach_explanations(decide(rep)), self.bands)
         done = self._written(record, "records", batch_id)
-        done.write.mode("overwrite").json(self._at("log", batch_id), compression="gzip")
         newest = keep[0].agg(F.max("_lb_ts")).first()[0]
         horizon = None if newest is None else newest - self.window_s - self.lateness_s
         carried(keep[0], self.cap, horizon).write.mode("overwrite").parquet(self._at("state", batch_id))
+        drop_folders(self.spark, keep[0].staged_path, self._at("scored", batch_id))
+        done.write.mode("overwrite").json(self._at("log", batch_id), compression="gzip")
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger):
         """Run on a stream of lines; ``trigger`` as for ``writeStream.trigger``."""
@@ -131,5 +133,5 @@ class LiveJob:
 
     def requests(self) -> DataFrame:
         """``flow_id, status``: every request the job answered (input of E16)."""
-        return (self._read("scored").select("flow_id", F.lit("ok").alias("status"))
+        return (self._read("records").select("flow_id", F.lit("ok").alias("status"))
                 .unionByName(self._read("rejected").select("flow_id", F.lit("error").alias("status"))))

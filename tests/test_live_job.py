@@ -132,6 +132,20 @@ def test_the_log_is_compressed_and_whole(spark, tmp_path):
         assert all(".zstd." in f.name for f in (tmp_path / "out" / name).glob("*/part-*"))
 
 
+def test_a_batch_leaves_no_copy_of_its_records(spark, tmp_path):
+    """The scored requests and the counted rows go once the records are written; E16 counts the records."""
+    def counted():
+        folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        return {n for n in os.listdir(folder) if n.startswith("flowlens-repetition-")}
+
+    before = counted()
+    job = live.LiveJob(spark, MODEL, str(tmp_path / "out"))
+    job(spark.createDataFrame([(x,) for x in LINES], "value string"), 0)
+    assert counted() <= before
+    assert not list((tmp_path / "out").glob("scored/*/*.parquet"))
+    assert {r["status"]: r["count"] for r in job.requests().groupBy("status").count().collect()} == {"ok": 26, "error": 2}
+
+
 def test_the_live_querys_lines_are_compressed(spark, monkeypatch):
     """The input that the registered queries make: gzip text, as many files a micro-batch as cores, every line there."""
     from flowlens.plans import fixtures, q_streaming
